@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver.functions.text import contains_any, trim_ws, words
 
@@ -173,7 +174,7 @@ def score_columns(
     }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _loop_cover(text: pd.Series, ratio: pd.Series) -> pd.Series:
     """Largest covered share over n-gram sizes whose top gram repeats often enough, else 0."""
 
