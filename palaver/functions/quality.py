@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.functions.text import contains_any, trim_ws, words
+from palaver.functions.text import contains_any, let, trim_ws, words
 
 # Phrases that mark a transcript of played media.
 MEDIA_SIGNATURES = (
@@ -74,28 +74,33 @@ def media_artifact(text: Column, signatures=MEDIA_SIGNATURES, word_boundary: boo
 def _repeated(tokens: Column, times: int) -> Column:
     """Distinct tokens longer than two characters that occur ``times`` or more: equal neighbours
     at that distance once sorted, so the cost stays n log n on long texts."""
-    s = F.array_sort(F.filter(tokens, lambda w: F.length(w) > 2))
     far = times - 1
-    idx = F.when(F.size(s) > far, F.sequence(F.lit(1), F.size(s) - far)).otherwise(
-        F.array().cast("array<int>")
-    )
-    hits = F.filter(idx, lambda i: F.element_at(s, i) == F.element_at(s, i + far))
-    return F.array_distinct(F.transform(hits, lambda i: F.element_at(s, i)))
+
+    def hits(s):
+        n = F.greatest(F.size(s) - far, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(s, F.lit(1), n), F.slice(s, F.lit(1 + far), n), lambda a, b: F.when(a == b, a)
+        )
+        return F.array_distinct(F.array_compact(pairs))
+
+    return let(F.array_sort(F.filter(tokens, lambda w: F.length(w) > 2)), hits)
 
 
 def repetitive_word(text: Column, times: int = 3) -> Column:
     """First word of the text that occurs ``times`` or more, else null."""
-    toks = words(normal(text))
-    rep = _repeated(toks, times)
-    first = F.array_min(
-        F.transform(rep, lambda r: F.struct(F.array_position(toks, r).alias("p"), r.alias("w")))
-    )
-    return F.when(F.size(toks) >= 3, first["w"])
+
+    def first(toks):
+        at = F.transform(
+            _repeated(toks, times),
+            lambda r: F.struct(F.array_position(toks, r).alias("p"), r.alias("w")),
+        )
+        return F.when(F.size(toks) >= 3, F.array_min(at)["w"])
+
+    return let(words(normal(text)), first)
 
 
 def repetitive_words(text: Column, times: int = 3) -> Column:
-    toks = words(normal(text))
-    return (F.size(toks) >= 3) & (F.size(_repeated(toks, times)) > 0)
+    return repetitive_word(text, times).isNotNull()
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
@@ -106,15 +111,18 @@ def occurrences(text: Column, phrase: Column) -> Column:
 
 def repetitive_phrase(text: Column, times: int = 3) -> Column:
     """First two-word phrase, not among the last two starts, found ``times`` or more, else null."""
-    low = normal(text)
-    toks = words(low)
-    idx = F.when(F.size(toks) > 3, F.sequence(F.lit(1), F.size(toks) - 3)).otherwise(
-        F.array().cast("array<int>")
-    )
-    phrases = F.transform(
-        idx, lambda i: F.concat(F.element_at(toks, i), F.lit(" "), F.element_at(toks, i + 1))
-    )
-    return F.try_element_at(F.filter(phrases, lambda p: occurrences(low, p) >= times), F.lit(1))
+
+    def phrases(toks):
+        n = F.greatest(F.size(toks) - 3, F.lit(0))
+        return F.zip_with(
+            F.slice(toks, F.lit(1), n), F.slice(toks, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
+        )
+
+    def found(low):
+        hits = F.filter(let(words(low), phrases), lambda p: occurrences(low, p) >= times)
+        return F.try_element_at(hits, F.lit(1))
+
+    return let(normal(text), found)
 
 
 def too_short_filler(text: Column, n_words: Column, min_words: int = 3) -> Column:
@@ -123,57 +131,6 @@ def too_short_filler(text: Column, n_words: Column, min_words: int = 3) -> Colum
     return (n_words < min_words) & (only | (n_words == 0))
 
 
-def score_columns(
-    text: Column, n_words: Column, confidence: Column, low: Column, times: int = 3
-) -> dict[str, Column]:
-    """Quality flags, reason and score. Later tests run only on texts the earlier ones passed."""
-    leak = prompt_leak(text)
-    media_end = media_artifact(text)
-    media = ~leak & media_end
-    short_phrase = media & (n_words <= 2) & normal(text).isin(list(MEDIA_SIGNATURES))
-    clean = ~leak & ~media_end & (n_words >= 3)
-    word = F.when(clean, repetitive_word(text, times))
-    phrase = F.when(clean & word.isNull(), repetitive_phrase(text, times))
-    rep = clean & (word.isNotNull() | phrase.isNotNull())
-    short = ~leak & ~media_end & ~rep & too_short_filler(text, n_words)
-    low_short = low & (n_words < 5)
-    n_word = F.size(F.filter(words(normal(text)), lambda w: w == word)).cast("string")
-    reasons = F.array(
-        F.when(leak, "prompt_leak"),
-        F.when(media, "media_artifact"),
-        F.when(short_phrase, "short_media_phrase"),
-        F.when(word.isNotNull(), F.concat(F.lit("repetitive("), word, F.lit("x"), n_word, F.lit(")"))),
-        F.when(
-            phrase.isNotNull(),
-            F.concat(
-                F.lit("phrase_repetition("),
-                phrase,
-                F.lit("x"),
-                occurrences(normal(text), phrase).cast("string"),
-                F.lit(")"),
-            ),
-        ),
-        F.when(short, "too_short_filler"),
-        F.when(low_short, "low_confidence_short"),
-    )
-    garbage = leak | media | rep | short | low_short
-    penalty = (
-        F.when(low, 0.3).otherwise(0.0)
-        + F.when(n_words < 3, 0.2).otherwise(0.0)
-        + F.when(confidence < 0.8, 0.2).otherwise(0.0)
-    )
-    reason = F.array_join(reasons, "; ")
-    return {
-        "is_garbage": garbage,
-        "is_media_artifact": media,
-        "is_prompt_leak": leak,
-        "is_repetitive": rep,
-        "is_too_short": short,
-        "score": F.when(garbage, 0.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - penalty)),
-        "reason": F.when(reason == "", "ok").otherwise(reason),
-    }
-
-
 @F.pandas_udf(T.DoubleType())
 def _loop_cover(text: pd.Series, ratio: pd.Series) -> pd.Series:
     """Largest covered share over n-gram sizes whose top gram repeats often enough, else 0."""

@@ -12,6 +12,15 @@ WS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda that mentions an outer expression evaluates it again for every element; a lambda
+    variable is evaluated once.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_ws(col: Column) -> Column:
     return F.regexp_replace(col, f"^{WS}+|{WS}+$", "")
 
@@ -91,10 +100,16 @@ def format_turn(start_us: Column, speaker: Column, text: Column) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    """``1.2M``, ``3.4K`` or the number itself."""
+    """``1.2M``, ``3.4K`` or the whole number itself; tenths round half up."""
+
+    def tenths(unit: int) -> Column:
+        v = F.floor((n + unit // 20) / F.lit(unit // 10)).cast("bigint")
+        whole = F.floor(v / F.lit(10)).cast("string")
+        return F.concat(whole, F.lit("."), F.pmod(v, F.lit(10)).cast("string"))
+
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / F.lit(1e6)))
-        .when(n >= 1000, F.format_string("%.1fK", n / F.lit(1e3)))
+        F.when(n >= 1_000_000, F.concat(tenths(1_000_000), F.lit("M")))
+        .when(n >= 1000, F.concat(tenths(1000), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 

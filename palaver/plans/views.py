@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.text import trim_ws, word_count, words
+from palaver.functions.text import let, trim_ws, word_count, words
 from palaver.functions.timefmt import local_date
 from palaver.operators.sessions import preflag_source
 
@@ -194,21 +194,12 @@ def pairs(documents: DataFrame) -> DataFrame:
         F.col("doc_id"),
         F.array_join(words(F.col("text")), " ").alias("reference"),
     )
-    tok = F.split("reference", " ")
-    pos = F.sequence(F.lit(1), F.size(tok))
-
     def damaged(step: int, hit):
-        return F.array_join(
-            F.flatten(
-                F.transform(
-                    pos,
-                    lambda i: F.when(i % step == 0, hit(F.element_at(tok, i))).otherwise(
-                        F.array(F.element_at(tok, i))
-                    ),
-                )
-            ),
-            " ",
-        )
+        def parts(tok):
+            every = lambda w, i: F.when((i + 1) % step == 0, hit(w)).otherwise(F.array(w))
+            return F.array_join(F.flatten(F.transform(tok, every)), " ")
+
+        return let(F.split("reference", " "), parts)
 
     drop = damaged(7, lambda w: F.array().cast("array<string>"))
     dup = damaged(11, lambda w: F.array(w, w))
