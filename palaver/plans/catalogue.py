@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palaver.plans import q_dashboard, q_sessions, q_text  # noqa: F401
+from palaver.plans import q_dashboard, q_sessions, q_text, q_vectors  # noqa: F401
 from palaver.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

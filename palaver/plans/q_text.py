@@ -142,10 +142,14 @@ def filter_stats(t):
     return count_filtered(scored(t))
 
 
-LOOP_SQL = """WITH c AS (SELECT doc_id, string_split(array_to_string({w}, ''), '') AS cs FROM v_texts),
-g AS (SELECT doc_id, len(cs) AS len, n, unnest([array_to_string(cs[i:i + n - 1], '') FOR i IN range(1, len(cs) - n + 2)]) AS gram
-      FROM c, (VALUES (1), (2), (3), (4)) AS k(n) WHERE len(cs) >= 12),
-m AS (SELECT doc_id, len, n, gram, count(*) AS k FROM g GROUP BY ALL),
+LOOP_SQL = """WITH c AS (SELECT doc_id, array_to_string({w}, '') AS s FROM v_texts),
+ch AS (SELECT doc_id, len, unnest(cs) AS c, generate_subscripts(cs, 1) AS p FROM (SELECT doc_id, length(s) AS len, string_split(s, '') AS cs FROM c WHERE length(s) >= 12)),
+w AS (SELECT doc_id, len, c AS g1, c || lead(c, 1) OVER o AS g2, c || lead(c, 1) OVER o || lead(c, 2) OVER o AS g3,
+  c || lead(c, 1) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o AS g4 FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+m AS (SELECT doc_id, len, 1 AS n, count(*) AS k FROM w GROUP BY doc_id, len, g1
+  UNION ALL SELECT doc_id, len, 2, count(*) FROM w WHERE g2 IS NOT NULL GROUP BY doc_id, len, g2
+  UNION ALL SELECT doc_id, len, 3, count(*) FROM w WHERE g3 IS NOT NULL GROUP BY doc_id, len, g3
+  UNION ALL SELECT doc_id, len, 4, count(*) FROM w WHERE g4 IS NOT NULL GROUP BY doc_id, len, g4),
 h AS (SELECT doc_id, bool_or(k >= CASE WHEN n = 1 THEN 8 ELSE 5 END AND k * n / len > {th}) AS hit FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(hit, false) AS loop FROM v_texts LEFT JOIN h USING (doc_id)"""
 
