@@ -113,7 +113,7 @@ def import_csv(t):
     stored = ready.filter("language = 'hi'")  # what an earlier import left behind
     new = journal_csv.split_new(ready, stored)
     n = ready.select("id", F.lit(0).alias("new")).unionByName(new.select("id", F.lit(1).alias("new")))
-    counts = n.agg(F.count_if(F.expr("new = 1")).alias("imported"), F.count_if("new = 0").alias("total"))
+    counts = n.agg(F.count_if(F.col("new") == 1).alias("imported"), F.count_if(F.col("new") == 0).alias("total"))
     return counts.select("imported", (F.col("total") - F.col("imported")).alias("duplicates"))
 
 
