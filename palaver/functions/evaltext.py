@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palaver.functions.romanize import romanize
-from palaver.functions.text import let, squeeze, words
+from palaver.functions.text import let, words
 
 # Canonical words and their variants, in the order they apply; later entries win.
 VARIANTS = (
@@ -63,8 +63,10 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 def composed(text: Column) -> Column:
-    """``nfc`` only where something could compose: text with a mark. Plain rows stay in the JVM."""
-    return F.when(text.rlike(r"\p{M}"), nfc(text)).otherwise(text)
+    """``nfc`` of the texts that could change: all below U+0300 is composed already, so such rows
+    go to Python as nulls and keep their text."""
+    open_text = F.when(text.rlike(r"[^\x{00}-\x{2FF}]"), text)
+    return F.coalesce(nfc(open_text), text)
 
 
 def normalize_text(text: Column, compose: bool = True, variants=VARIANTS) -> Column:
@@ -73,15 +75,20 @@ def normalize_text(text: Column, compose: bool = True, variants=VARIANTS) -> Col
     mapping = variant_map(variants)
     numbers = F.create_map(*[F.lit(x) for i, w in enumerate(NUMBERS) for x in (str(i), w)])
     # Isolate standing numbers, then look each up; this is the word-boundary replacement.
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{M}\p{N}_])(\d{1,2})(?![\p{L}\p{M}\p{N}_])", "\u0001$1\u0001")
-    t = F.array_join(
-        F.transform(F.split(t, "\u0001"), lambda p: F.coalesce(F.element_at(numbers, p), p)), ""
+    t = F.regexp_replace(t, r"(?=\d)(?<![\p{L}\p{M}\p{N}_])(\d{1,2})(?![\p{L}\p{M}\p{N}_])", "\u0001$1\u0001")
+    spoken = F.transform(
+        F.split(t, "\u0001"),
+        lambda p: F.when(p.rlike(r"^\d{1,2}$"), F.coalesce(F.element_at(numbers, p), p)).otherwise(p),
     )
+    t = F.array_join(spoken, "")
     t = F.regexp_replace(t, PUNCTUATION, " ")
-    known = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return squeeze(
-        F.array_join(F.transform(words(t), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
+    # A set test sends only the words that change to the map, which is searched in sequence.
+    changed = {k: v for k, v in mapping.items() if k != v}
+    known = F.create_map(*[F.lit(x) for kv in changed.items() for x in kv])
+    fixed = F.transform(
+        words(t), lambda w: F.when(w.isin(list(changed)), F.element_at(known, w)).otherwise(w)
     )
+    return F.array_join(fixed, " ")
 
 
 # Private-use code points, one per distinct word of a pair.

@@ -13,7 +13,7 @@ def hash_id48(text: Column) -> Column:
 
 def hash_ids48(ids: Column) -> Column:
     """The same for a set of source ids, which are sorted and joined by line breaks first."""
-    return hash_id48(F.array_join(F.array_sort(ids), "\n"))
+    return hash_id48(F.array_join(F.sort_array(ids), "\n"))
 
 
 def json_text(col: Column) -> Column:

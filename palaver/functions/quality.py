@@ -83,7 +83,7 @@ def _repeated(tokens: Column, times: int) -> Column:
         )
         return F.array_distinct(F.array_compact(pairs))
 
-    return let(F.array_sort(F.filter(tokens, lambda w: F.length(w) > 2)), hits)
+    return let(F.sort_array(F.filter(tokens, lambda w: F.length(w) > 2)), hits)
 
 
 def repetitive_word(text: Column, times: int = 3) -> Column:
@@ -132,27 +132,42 @@ def too_short_filler(text: Column, n_words: Column, min_words: int = 3) -> Colum
 
 
 @F.pandas_udf(T.DoubleType())
-def _loop_cover(text: pd.Series, ratio: pd.Series) -> pd.Series:
-    """Largest covered share over n-gram sizes whose top gram repeats often enough, else 0."""
+def _loop_cover(text: pd.Series, limit: pd.Series) -> pd.Series:
+    """Share of the compact text that one repeated n-gram covers, where it exceeds the limit.
 
-    def cover(s: str) -> float:
+    A gram that covers more than the limit is made of characters that each occur as often as the
+    gram. There are only a few such characters, so most texts are settled by character counts.
+    """
+
+    def cover(s: str, th: float) -> float:
         compact = "".join(s.split())
         n = len(compact)
         if n < 12:
             return 0.0
         codes = np.frombuffer(compact.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        ids = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-        base, gram, best = int(ids.max()) + 1, ids, 0.0
-        for size in range(1, 5):
-            if size > 1:
-                # Re-number after each step so that the packed key cannot overflow.
-                gram = np.unique(gram[:-1] * base + ids[size - 1 :], return_inverse=True)[1]
-            top = int(np.bincount(gram).max())
-            if top >= (8 if size == 1 else 5):
-                best = max(best, top * size / n)
-        return best
-
-    return text.fillna("").map(cover)
+        _, ids, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        top = int(counts.max())
+        if top >= 8 and top / n > th:
+            return top / n
+        for size in (2, 3, 4):
+            often = counts * size > th * n
+            inside = often[ids]
+            starts = inside[: n - size + 1].copy()
+            for j in range(1, size):
+                starts &= inside[j : n - size + 1 + j]
+            at = np.flatnonzero(starts)
+            if len(at) < 5 or len(at) * size <= th * n:
+                continue
+            number = np.cumsum(often) - 1
+            packed = np.zeros(len(at), dtype=np.int64)
+            for j in range(size):
+                packed = packed * int(often.sum()) + number[ids[at + j]]
+            top = int(np.unique(packed, return_counts=True)[1].max())
+            if top >= 5 and top * size / n > th:
+                return top * size / n
+        return 0.0
+
+    return pd.Series([cover(s or "", th) for s, th in zip(text, limit)], dtype="float64")
 
 
 def repetition_loop(

@@ -41,7 +41,7 @@ COMMON_WORDS = (
 
 DEVANAGARI_RUN = r"([\x{0900}-\x{097F}]+)"
 # Short Latin words; the boundaries are spelled out because engines differ on what a word is.
-SHORT_WORD = r"(?<![\p{L}\p{M}\p{N}_])([a-z]{2,6})(?![\p{L}\p{M}\p{N}_])"
+SHORT_WORD = r"(?=[a-z])(?<![\p{L}\p{M}\p{N}_])([a-z]{2,6})(?![\p{L}\p{M}\p{N}_])"
 
 
 def _one_by_one(col: Column, mapping: dict[str, str]) -> Column:
@@ -58,12 +58,13 @@ def _one_by_one(col: Column, mapping: dict[str, str]) -> Column:
 
 def romanize(col: Column) -> Column:
     """Devanagari spelled in Latin letters sign by sign; other characters stay."""
-    return _one_by_one(col, ROMAN)
+    return F.when(col.rlike(r"[\x{0900}-\x{097F}]"), _one_by_one(col, ROMAN)).otherwise(col)
 
 
 def match_key(col: Column) -> Column:
     """Key under which spellings of one term meet: Latin, lower case, plain letters."""
-    return squeeze(_one_by_one(trim_ws(F.lower(romanize(col))), PLAIN))
+    low = trim_ws(F.lower(romanize(col)))
+    return squeeze(F.when(low.rlike(r"[^\x{00}-\x{7F}]"), _one_by_one(low, PLAIN)).otherwise(low))
 
 
 def is_common(term: Column, words=COMMON_WORDS) -> Column:

@@ -13,8 +13,11 @@ DAY_US = 86_400_000_000
 
 
 def floor_div(col: Column, n: int) -> Column:
-    """Integer division that rounds down, also for times before the epoch."""
-    return ((col - F.pmod(col, F.lit(n))) / F.lit(n)).cast("bigint")
+    """Integer division that rounds down, also for times before the epoch.
+
+    The quotient of a whole number below 2^53 is never rounded up to the next whole number.
+    """
+    return F.floor(col / F.lit(n))
 
 
 def local_day(us: Column, offset_us: int = JOURNAL_OFFSET_US) -> Column:
@@ -29,14 +32,13 @@ def local_date(us: Column, offset_us: int = JOURNAL_OFFSET_US) -> Column:
 
 def local_time(us: Column, offset_us: int = JOURNAL_OFFSET_US) -> Column:
     """Local clock time as ``HH:MM:SS`` text."""
-    sec = floor_div(F.pmod(us + F.lit(offset_us), F.lit(DAY_US)), 1_000_000)
-    return F.concat_ws(
-        ":",
-        *[
-            F.lpad(p.cast("string"), 2, "0")
-            for p in (floor_div(sec, 3600), F.pmod(floor_div(sec, 60), F.lit(60)), F.pmod(sec, F.lit(60)))
-        ],
-    )
+    from palaver.functions.text import let
+
+    def clock(sec: Column) -> Column:
+        parts = (floor_div(sec, 3600), F.pmod(floor_div(sec, 60), F.lit(60)), F.pmod(sec, F.lit(60)))
+        return F.concat_ws(":", *[F.lpad(p.cast("string"), 2, "0") for p in parts])
+
+    return let(floor_div(F.pmod(us + F.lit(offset_us), F.lit(DAY_US)), 1_000_000), clock)
 
 
 def local_hour(us: Column, offset_us: int = JOURNAL_OFFSET_US) -> Column:

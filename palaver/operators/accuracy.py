@@ -71,7 +71,7 @@ def compare_models(df: DataFrame, clip: str, model: str, text: str, models: list
     The list of models is given, so the pivot needs no extra pass to find it.
     """
     item = F.struct(order, text)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x[text]), " | ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x[text]), " | ")
     return df.groupBy(clip).pivot(model, models).agg(joined)
 
 

@@ -179,7 +179,7 @@ def chunk_at_silence(
             F.least((F.col("chunk_no") + 1) * F.lit(target), F.col("duration")).alias("end"),
         )
     # One clip is one recording, so its boundary list is bounded by the length of the recording.
-    lists = boundaries.groupBy(key).agg(F.array_sort(F.collect_list("boundary")).alias("bounds"))
+    lists = boundaries.groupBy(key).agg(F.sort_array(F.collect_list("boundary")).alias("bounds"))
     rows = clips.join(lists, key, "left").select(key, "duration", "bounds")
     kind = dict(clips.dtypes)[key]
 

@@ -5,37 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.text import fold_accents, let
+from palaver.functions.text import fold_accents
 
 # Runs of letters and digits are tokens; marks and punctuation split.
-SPLIT = r"[^\p{L}\p{N}]+"
+LETTER = r"[\p{L}\p{N}]"
+OTHER = r"[^\p{L}\p{N}]"
 
 
-def tokens(col: Column) -> Column:
-    low = fold_accents(F.lower(F.coalesce(col, F.lit(""))))
-    return F.filter(F.split(low, SPLIT), lambda x: x != "")
+def _folded(col: Column) -> Column:
+    return fold_accents(F.lower(F.coalesce(col, F.lit(""))))
 
 
-def _hits(toks: Column, phrase: list[str], prefix: bool) -> Column:
-    """Places where the phrase starts in a token array."""
-    n = len(phrase)
+def _pattern(phrase: list[str], prefix: bool) -> str:
+    """Matches the first word of each place where the phrase stands.
 
-    def at(x: Column, i: Column) -> Column:
-        ok = F.lit(True)
-        for j, word in enumerate(phrase):
-            t = F.get(toks, i + j)
-            last = prefix and j == n - 1
-            ok = ok & F.coalesce(F.startswith(t, F.lit(word)) if last else t == word, F.lit(False))
-        return ok
-
-    if n == 1:
-        one = (lambda x: F.startswith(x, F.lit(phrase[0]))) if prefix else (lambda x: x == phrase[0])
-        return F.size(F.filter(toks, one))
-    return F.size(F.filter(toks, at))
+    The word itself comes first, so most places fail on a plain comparison; what must not be before
+    it and what must follow are only looked at, so phrases that share words all count.
+    """
+    first, end = phrase[0], "" if prefix else f"(?!{LETTER})"
+    rest = "".join(f"{OTHER}+{w}" for w in phrase[1:])
+    return f"{first}(?<!{LETTER}{first})(?={rest}{end})" if rest else f"{first}(?<!{LETTER}{first}){end}"
 
 
-def _counter(phrase: list[str], prefix: bool):
-    return lambda toks: _hits(toks, phrase, prefix)
+def _count_all(columns: list[str], pattern: str) -> Column:
+    n = [F.regexp_count(F.col(c), F.lit(pattern)) for c in columns]
+    return sum(n[1:], n[0])
 
 
 def bm25_search(
@@ -60,13 +54,12 @@ def bm25_search(
     if not phrases or not phrases[0]:
         return df.select(key).limit(0).withColumn("rank", F.lit(0.0))
     per_column = [f"_t{i}" for i in range(len(columns))]
-    rows = df.select(key, *[tokens(F.col(c)).alias(t) for c, t in zip(columns, per_column)])
-    size = sum((F.size(t) for t in per_column[1:]), F.size(per_column[0]))
+    rows = df.select(key, *[_folded(F.col(c)).alias(t) for c, t in zip(columns, per_column)])
+    size = _count_all(per_column, f"{LETTER}+")
     tf = []
     for i, p in enumerate(phrases):
         last = mode == "prefix" and i == len(phrases) - 1
-        n = [let(F.col(t), _counter(p, last)) for t in per_column]
-        tf.append(sum(n[1:], n[0]))
+        tf.append(_count_all(per_column, _pattern(p, last)))
     names = [f"tf{i}" for i in range(len(phrases))]
     counted = rows.select(key, size.alias("dl"), *[c.alias(n) for c, n in zip(tf, names)])
     totals = counted.agg(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.timefmt import local_date
+from palaver.functions.timefmt import floor_div, local_date
 from palaver.operators.ordered import SLOT_US, running
 
 US = 1_000_000
@@ -44,14 +44,57 @@ def assign_sessions(
 
 
 def gap_sessions(
-    df: DataFrame, keys: list[str], ident: str, max_gap_s: float, slot_us: int = SLOT_US
+    df: DataFrame,
+    keys: list[str],
+    ident: str,
+    max_gap_s: float,
+    slot_us: int = SLOT_US,
+    previous: list[str] = [],
 ) -> DataFrame:
     """Label rows with their gap session: a gap above ``max_gap_s`` from the row before opens one.
 
-    Overlapping rows have a negative gap and stay together.
+    Overlapping rows have a negative gap and stay together. Adds ``prev_end``, the session's first
+    row, and ``prev_<column>`` for each of ``previous``. Works slot by slot like
+    ``operators.ordered``, with both the previous end and the open session in one summary row.
     """
-    opens = F.col("prev_end").isNull() | (F.col("start_us") - F.col("prev_end") > to_us(max_gap_s))
-    return assign_sessions(previous_end(df, keys, ident, slot_us=slot_us), keys, ident, opens, slot_us)
+    at = F.struct(F.col("start_us").alias("s"), F.col(ident).alias("i"))
+    kept = F.struct("end_us", *previous)
+    w = Window.partitionBy(*keys, "_slot").orderBy("start_us", ident)
+    across = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_k__slot")
+    rows = df.withColumn("_slot", floor_div(F.col("start_us"), slot_us)).withColumn(
+        "_before", F.lag(kept).over(w)
+    )
+    far = F.col("start_us") - F.col("_before.end_us") > to_us(max_gap_s)
+    rows = rows.withColumn("_opened", F.when(far, at))
+    edges = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_slot"]]).agg(
+        F.min(at).alias("_first"),
+        F.max_by(kept, at).alias("_last"),
+        F.max("_opened").alias("_last_open"),
+    )
+    edges = edges.withColumn("_carry", F.lag("_last").over(across))
+    new = F.col("_carry").isNull() | (F.col("_first.s") - F.col("_carry.end_us") > to_us(max_gap_s))
+    edges = edges.withColumn("_open_first", F.when(new, F.col("_first")))
+    open_here = F.coalesce("_last_open", "_open_first")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn(
+        "_open_in", F.coalesce("_open_first", F.last(open_here, ignorenulls=True).over(earlier))
+    ).select(*[f"_k_{k}" for k in [*keys, "_slot"]], "_carry", "_open_in")
+    rows = rows.withColumn(
+        "_open_here", F.max("_opened").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    same = F.lit(True)
+    for k in [*keys, "_slot"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(edges, same)
+    session = F.coalesce("_open_here", "_open_in")
+    before = F.coalesce("_before", "_carry")
+    return out.select(
+        *df.columns,
+        before["end_us"].alias("prev_end"),
+        *[before[c].alias(f"prev_{c}") for c in previous],
+        session["s"].alias("session_start_us"),
+        session["i"].alias("session_first"),
+    )
 
 
 def merge_segments(
@@ -130,25 +173,24 @@ def split_units(
     can speak without a pause, so each group stays small.
     """
     limit = to_us(max_unit_s)
-    rows = gap_sessions(df, keys, ident, max_gap_s, slot_us).select(
-        *keys, "session_start_us", "session_first", "start_us", "end_us", F.col(ident).alias("_id")
-    )
     unit = [*keys, "session_start_us", "session_first"]
-    size = rows.groupBy(*unit).agg(
-        F.max_by("end_us", F.struct("start_us", "_id")).alias("u_end"),
-        F.count("*").alias("merge_count"),
-        F.sum(F.col("end_us") - F.col("start_us")).alias("speech_us"),
+    rows = gap_sessions(df, keys, ident, max_gap_s, slot_us).select(
+        *unit, "start_us", "end_us", F.col(ident).alias("_id")
     )
-    fits = F.col("u_end") - F.col("session_start_us") <= limit
-    short = size.filter(fits).select(
+    last = F.max_by("end_us", F.struct("start_us", "_id")).over(Window.partitionBy(*unit))
+    rows = rows.withColumn("_u_end", last)
+    fits = F.col("_u_end") - F.col("session_start_us") <= limit
+    short = rows.filter(fits).groupBy(*unit).agg(
+        F.first("_u_end").alias("end_us"), F.count("*").alias("merge_count")
+    ).select(
         *keys,
         F.col("session_first").alias("unit_id"),
         F.lit(0).cast("bigint").alias("part_no"),
         F.col("session_start_us").alias("start_us"),
-        F.col("u_end").alias("end_us"),
+        "end_us",
         "merge_count",
     )
-    long_rows = rows.join(size.filter(~fits).select(*unit), unit, "left_semi")
+    long_rows = rows.filter(~fits).drop("_u_end")
     schema = (
         ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
         + ", unit_id string, part_no bigint, start_us bigint, end_us bigint, merge_count bigint"
@@ -206,21 +248,13 @@ def group_conversations(
     Everything is a mergeable aggregate, so a conversation of any length is combined map-side. The
     ordered text comes from ``operators.transcripts``.
     """
-    rows = running(
-        df,
-        keys,
-        ["start_us", ident],
-        {"prev_end": ("last", F.col("end_us")), "prev_speaker": ("last", F.col("speaker"))},
-        slot_us=slot_us,
-    )
-    opens = F.col("prev_end").isNull() | (F.col("start_us") - F.col("prev_end") > to_us(max_gap_s))
-    rows = assign_sessions(rows, keys, ident, opens, slot_us)
+    rows = gap_sessions(df, keys, ident, max_gap_s, slot_us, ["speaker"])
     inside = F.col("session_first") != F.col(ident)
     conv = rows.groupBy(*keys, "session_start_us", "session_first").agg(
         F.max_by("end_us", F.struct("start_us", ident)).alias("end_us"),
         F.count("*").alias("n_segments"),
-        F.array_sort(F.collect_set("speaker")).alias("participants"),
-        F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
+        F.sort_array(F.collect_set("speaker")).alias("participants"),
+        F.sort_array(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
             "languages"
         ),
         F.sum((inside & (F.col("speaker") != F.col("prev_speaker"))).cast("bigint")).alias("changes"),
@@ -286,9 +320,9 @@ def capped_sessions(
     run = [*keys, "session_start_us", "session_first"]
     cap = to_us(max_length_s)
     # Runs inside the cap need no fold and never leave the JVM.
-    length = rows.groupBy(*run).agg(F.max("end_us").alias("_run_end"))
-    over = length.filter(F.col("_run_end") - F.col("session_start_us") > cap).select(*run)
-    fine = rows.join(over, run, "left_anti").select(*cols, "session_start_us", "session_first")
+    run_end = F.max("end_us").over(Window.partitionBy(*run))
+    sized = rows.withColumn("_over", run_end - F.col("session_start_us") > cap)
+    fine = sized.filter("NOT _over").drop("_over")
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*cols, "session_start_us", "session_first"])
 
@@ -304,7 +338,7 @@ def capped_sessions(
             [*cols, "session_start_us", "session_first"]
         ]
 
-    long_runs = rows.join(over, run, "left_semi").groupBy(*run).applyInPandas(fold, schema)
+    long_runs = sized.filter("_over").drop("_over").groupBy(*run).applyInPandas(fold, schema)
     out = fine.unionByName(long_runs).unionByName(alone)
     if has_import:
         single = df.filter(F.col("imported")).select(

@@ -31,7 +31,7 @@ def ordered_parts(
     """
     pos = with_position(df, keys, order)
     parts = pos.groupBy(*keys, floor_div(F.col("position"), part_rows).alias("part")).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("position", *[c.alias(n) for n, c in items.items()]))
         ).alias("items")
     )
@@ -47,7 +47,7 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str], column: str, al
     seen = df.groupBy(*keys, column).agg(F.min(F.struct(*order)).alias("_at"))
     return seen.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("_at", F.col(column).alias("v")))), lambda x: x["v"]
+            F.sort_array(F.collect_list(F.struct("_at", F.col(column).alias("v")))), lambda x: x["v"]
         ).alias(alias)
     )
 
@@ -59,7 +59,7 @@ def conversation_rollup(
     stats = df.groupBy(key).agg(
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
-        F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
+        F.sort_array(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
             "languages"
         ),
         F.when(F.bool_and(F.col("status") == "ok"), "ok").otherwise("needs_review").alias("quality"),
@@ -118,7 +118,7 @@ def review_flags(members: DataFrame, key: str = "conv_id", imported: str | None
         F.col("_sig"), F.array(F.lit("suspected_hallucination"))
     ).otherwise(none)
     echo = F.when(F.col("_echo"), F.array(F.lit("suspected_prompt_echo"))).otherwise(none)
-    return g.select(key, F.array_sort(F.array_union(base, echo)).alias("review_flags"))
+    return g.select(key, F.sort_array(F.array_union(base, echo)).alias("review_flags"))
 
 
 def conversation_payload(

@@ -188,7 +188,7 @@ def vector_mean(
     each = df.select(key, w.alias("_w"), F.posexplode(vector).alias("_p", "_v"))
     mean = each.groupBy(key, "_p").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_m"))
     vec = mean.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda x: x["_m"]).alias("_vec")
+        F.transform(F.sort_array(F.collect_list(F.struct("_p", "_m"))), lambda x: x["_m"]).alias("_vec")
     )
     from palaver.functions.text import let
     from palaver.functions.vectors import norm

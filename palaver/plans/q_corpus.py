@@ -93,7 +93,7 @@ def dedupe_candidates(t):
 def day_union(t):
     # A term has at most one entry per calendar day, which bounds the list.
     days = G.term_occurrences(recent(t)).select("term_key", "date").distinct()
-    return days.groupBy("term_key").agg(F.array_join(F.array_sort(F.collect_list("date")), ",").alias("days"))
+    return days.groupBy("term_key").agg(F.array_join(F.sort_array(F.collect_list("date")), ",").alias("days"))
 
 
 @query(

@@ -293,7 +293,7 @@ def conversation_language_avg(t):
     return per.groupBy("device_id").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(item)), lambda x: F.concat(x["l"], F.lit(":"), x["m"].cast("string"))
+                F.sort_array(F.collect_list(item)), lambda x: F.concat(x["l"], F.lit(":"), x["m"].cast("string"))
             ),
             ",",
         ).alias("languages")
@@ -320,7 +320,7 @@ def speaker_confidence_avg(t):
 )
 def policy_distinct_languages(t):
     langs = F.collect_set(F.nullif("language", F.lit("")))
-    return t.segments.groupBy("date").agg(csv(F.array_sort(langs)).alias("languages"))
+    return t.segments.groupBy("date").agg(csv(F.sort_array(langs)).alias("languages"))
 
 
 @query(
@@ -478,7 +478,7 @@ def flag_union(t):
     a = F.collect_set(F.when(~F.col("status").isin("ok", "imported"), F.col("status")))
     b = F.collect_set(Q.language_policy(F.col("text"), F.col("language")))
     g = m.groupBy("conv_id").agg(a.alias("a"), b.alias("b"))
-    return g.select("conv_id", csv(F.array_sort(F.array_union("a", "b"))).alias("flags"))
+    return g.select("conv_id", csv(F.sort_array(F.array_union("a", "b"))).alias("flags"))
 
 
 @query(

@@ -34,7 +34,7 @@ SELECT device_id, min_by(segment_id, rn) AS unit_id, min(start_us) AS start_us,
        CAST(sum(CASE WHEN rn > 1 AND start_us > prev_end THEN 1 ELSE 0 END) AS BIGINT) AS gaps_merged,
        CAST(sum(CASE WHEN rn > 1 THEN greatest(start_us - prev_end, 0) ELSE 0 END) AS BIGINT) AS total_gap_us,
        CAST(sum(end_us - start_us) AS BIGINT) AS speech_us,
-       round(sum(end_us - start_us) / (max_by(end_us, rn) - min(start_us)), 6) AS speech_ratio,
+       coalesce(round(sum(end_us - start_us) / nullif(max_by(end_us, rn) - min(start_us), 0), 6), 0.0)::DOUBLE AS speech_ratio,
        round(sum(end_us - start_us) / count(*) / 1e6, 6) AS avg_source_s
 FROM s GROUP BY device_id, sid
 """
@@ -53,9 +53,9 @@ def merge_segments(t):
     sql(
         "segments",
         sessions_cte(MERGE)
-        + """SELECT unit_id, round(speech_ratio, 6) AS speech_ratio FROM (
+        + """SELECT unit_id, coalesce(round(speech_ratio, 6), 0.0)::DOUBLE AS speech_ratio FROM (
         SELECT min_by(segment_id, rn) AS unit_id,
-               sum(end_us - start_us) / (max_by(end_us, rn) - min(start_us)) AS speech_ratio
+               sum(end_us - start_us) / nullif(max_by(end_us, rn) - min(start_us), 0) AS speech_ratio
         FROM s GROUP BY device_id, sid)""",
     ),
 )

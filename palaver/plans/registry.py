@@ -25,6 +25,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """The table, dealt out to all cores when it comes in fewer splits than there are cores.
+
+        A large table has more splits than cores and is read as it lies, without a shuffle.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
     @cached_property
     def segments(self) -> DataFrame:
         return views.segments(self.raw("events"))
@@ -39,7 +48,7 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return views.texts(self.raw("documents"))
+        return views.texts(self.spread("documents", "doc_id"))
 
     @cached_property
     def profiles(self) -> DataFrame:

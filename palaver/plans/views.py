@@ -105,18 +105,18 @@ def turns(conversations: DataFrame) -> DataFrame:
 def conv(t: DataFrame) -> DataFrame:
     """One row per conversation. A conversation of the sample has at most eight turns."""
     w = F.struct("turn", "speaker")
-    ordered = F.array_sort(F.collect_list(w))
+    ordered = F.sort_array(F.collect_list(w))
     g = t.groupBy("conv_id").agg(
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
         F.count("*").alias("n_turns"),
         F.sum("words").alias("words"),
         F.avg((F.col("speaker") == "unknown").cast("double")).alias("unknown_ratio"),
-        F.array_sort(F.collect_set("speaker")).alias("participants"),
-        F.array_sort(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
+        F.sort_array(F.collect_set("speaker")).alias("participants"),
+        F.sort_array(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
             "languages"
         ),
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_texts"),
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_texts"),
         ordered.alias("_who"),
     )
     changes = F.size(
