@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.text import format_turn, one_liner, preview, slug
+from palaver.functions.text import format_turn, let, one_liner, preview, slug
 from palaver.functions.timefmt import local_time
 from palaver.operators.transcripts import PART_ROWS, ordered_parts
 
@@ -25,11 +25,14 @@ def note_stem(start_us: Column, summary: Column) -> Column:
 def _marked(lines: Column, low: Column) -> Column:
     """Add the warning sign to the line of each flagged segment, the last line at most."""
 
-    def mark(line, i):
-        own = F.array_contains(F.transform(low, lambda p: F.least(p, F.size(lines) - 1)), i)
-        return F.when(own & ~F.contains(line, F.lit(WARN)), F.concat(line, F.lit(" " + WARN))).otherwise(line)
+    def all_lines(targets):
+        def mark(line, i):
+            own = F.array_contains(targets, i) & ~F.contains(line, F.lit(WARN))
+            return F.when(own, F.concat(line, F.lit(" " + WARN))).otherwise(line)
 
-    return F.transform(lines, mark)
+        return F.transform(lines, mark)
+
+    return let(F.transform(low, lambda p: F.least(p, F.size(lines) - 1)), all_lines)
 
 
 def render_notes(conv: DataFrame, members: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import let, trim_ws, word_count, words
 from palaver.functions.timefmt import local_date
+from palaver.operators.ordered import running
 from palaver.operators.sessions import preflag_source
 
 # Lines no sample document ends with; both engines add them to the text view.
@@ -103,29 +104,30 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def conv(t: DataFrame) -> DataFrame:
-    """One row per conversation. A conversation of the sample has at most eight turns."""
-    w = F.struct("turn", "speaker")
-    ordered = F.sort_array(F.collect_list(w))
-    g = t.groupBy("conv_id").agg(
+    """One row per conversation.
+
+    All but the transcript merges map-side, and the speaker changes come from a slot-wise scan. The
+    transcript is a single value by the data model; plans that do not use it do not build it, and
+    ``operators.transcripts`` gives it in parts of bounded length.
+    """
+    rows = running(
+        t, ["conv_id"], ["start_us", "turn"], {"_before": ("last", F.col("speaker"))}
+    )
+    g = rows.groupBy("conv_id").agg(
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
         F.count("*").alias("n_turns"),
         F.sum("words").alias("words"),
         F.avg((F.col("speaker") == "unknown").cast("double")).alias("unknown_ratio"),
+        F.count_if(F.col("speaker") != F.col("_before")).alias("_changes"),
         F.sort_array(F.collect_set("speaker")).alias("participants"),
         F.sort_array(F.collect_set(F.when(F.col("language") != "", F.col("language")))).alias(
             "languages"
         ),
+        F.min_by(F.substring("text", 1, 100), F.struct("start_us", "turn")).alias("summary"),
         F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("_texts"),
-        ordered.alias("_who"),
-    )
-    changes = F.size(
-        F.filter(
-            F.sequence(F.lit(1), F.size("_who")),
-            lambda i: (i > 1)
-            & (F.element_at("_who", i)["speaker"] != F.element_at("_who", F.greatest(i - 1, F.lit(1)))["speaker"]),
-        )
     )
+    changes = F.col("_changes")
     flag = preflag_source(F.col("unknown_ratio"), changes, F.col("n_turns"), F.col("participants"))
     return g.select(
         F.col("conv_id").alias("conversation_id"),
@@ -138,7 +140,7 @@ def conv(t: DataFrame) -> DataFrame:
         "participants",
         "languages",
         F.array_join(F.transform("_texts", lambda x: x["text"]), "\n").alias("transcript"),
-        F.substring(F.col("_texts")[0]["text"], 1, 100).alias("summary"),
+        "summary",
         F.when(F.col("conv_id") % 10 == 9, "self_talk").otherwise(flag).alias("source_type"),
         (F.array_contains("participants", "owner") & F.array_contains("participants", "partner")).alias(
             "is_pair"
