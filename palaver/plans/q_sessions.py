@@ -65,12 +65,25 @@ def speech_ratio(t):
     )
 
 
-# Units of one row are cut evenly and units of two rows have one possible cut; longer units that
-# exceed the limit need the recursion, so SQL checks row coverage of every unit and the exact
-# pieces of units of up to two rows.
-@query("split_units")
+LIMIT_US = 240_000_000
+SPLIT_SQL = (
+    sessions_cte(MERGE)
+    + f""", u AS (SELECT device_id, min_by(segment_id, rn) AS unit_id, list({{'s': start_us, 'e': end_us}} ORDER BY rn) AS l FROM s GROUP BY device_id, sid),
+r AS (SELECT device_id, unit_id, l FROM u
+  UNION ALL
+  SELECT device_id, unit_id, CASE WHEN side = 0 THEN l[1:cut] ELSE l[cut + 1:] END FROM (
+    SELECT *, list_position(far, list_min(far)) AS cut FROM (
+      SELECT *, [abs(2 * l[i].e - l[1].s - l[len(l)].e) FOR i IN range(1, len(l))] AS far FROM r
+      WHERE len(l) > 1 AND l[len(l)].e - l[1].s > {LIMIT_US})), (VALUES (0), (1)) AS x(side)),
+leaf AS (SELECT device_id, unit_id, l[1].s AS a, l[len(l)].e AS z, CAST(len(l) AS BIGINT) AS merge_count FROM r WHERE len(l) = 1 OR l[len(l)].e - l[1].s <= {LIMIT_US}),
+piece AS (SELECT *, unnest(range(0, greatest(CAST(ceil((z - a) / {LIMIT_US}) AS BIGINT), 1))) AS p FROM leaf)
+SELECT device_id, unit_id, a + p * {LIMIT_US} AS start_us, least(a + (p + 1) * {LIMIT_US}, z) AS end_us, merge_count FROM piece"""
+)
+
+
+@query("split_units", sql("segments", SPLIT_SQL, recursive=True))
 def split_units(t):
-    return S.split_units(t.segments, max_gap_s=MERGE, max_unit_s=240.0)
+    return S.split_units(t.segments, max_gap_s=MERGE, max_unit_s=LIMIT_US / 1e6).drop("part_no")
 
 
 CONV_SQL = """

@@ -83,7 +83,25 @@ def bounded_units_stream(t):
     return R.run_append(Z.bounded_units_stream(frame_rows(segment_stream(t))), "units")
 
 
-@query("quota_stream")
+FOLD = """WITH q AS (SELECT *, (start_us + 19800000000) // 86400000000 AS dn, row_number() OVER (PARTITION BY account ORDER BY start_us, request_id) AS rn FROM v_usage),
+f AS (
+  SELECT account, 0::BIGINT AS rn, 0::BIGINT AS request_id, '' AS verdict, 0.0::DOUBLE AS retry_after, []::STRUCT(t BIGINT, b DOUBLE)[] AS recent, 0::BIGINT AS dn, 0::BIGINT AS n, 0.0::DOUBLE AS total
+  FROM (SELECT DISTINCT account FROM q)
+  UNION ALL
+  SELECT account, rn, request_id, verdict, CASE WHEN verdict = 'paced' THEN greatest(1.0, 61 - (now_us - oldest) / 1e6) ELSE 0.0 END,
+    CASE WHEN verdict = 'admit' THEN list_append(hr, {'t': now_us, 'b': billed}) ELSE hr END, dn,
+    n + CASE WHEN verdict = 'admit' THEN 1 ELSE 0 END, total + CASE WHEN verdict = 'admit' THEN billed ELSE 0.0 END
+  FROM (SELECT *, CASE WHEN n + 1 > 2000 * 0.9 OR total + billed > 28800 * 0.9 OR coalesce(list_sum([x.b FOR x IN hr]), 0) + billed > 1500 * 0.9 THEN 'budget'
+        WHEN len(mi) + 1 > 2 * 0.9 THEN 'paced' ELSE 'admit' END AS verdict, list_min(mi) AS oldest FROM (
+      SELECT *, [x.t FOR x IN hr IF x.t > now_us - 60000000] AS mi FROM (
+        SELECT q.account, q.rn, q.request_id, q.start_us AS now_us, q.billed_seconds AS billed, q.dn,
+          CASE WHEN q.dn = f.dn THEN f.n ELSE 0 END AS n, CASE WHEN q.dn = f.dn THEN f.total ELSE 0.0 END AS total,
+          [x FOR x IN f.recent IF x.t > q.start_us - 3600000000] AS hr
+        FROM f JOIN (SELECT * FROM q) q ON q.account = f.account AND q.rn = f.rn + 1))))
+SELECT account, request_id, verdict, round(retry_after, 6)::DOUBLE AS retry_after FROM f WHERE rn > 0"""
+
+
+@query("quota_stream", sql("usage", FOLD, recursive=True))
 def quota_stream(t):
     u = views.usage(segment_stream(t)).select("account", "request_id", "start_us", "audio_seconds")
     return R.run_append(Z.quota_stream(u, per_minute=2, hourly_seconds=1500), "quota")

@@ -402,12 +402,21 @@ def chunk_at_silence(t):
     return r6(N.chunk_at_silence(clips(t), None, "segment_id"))
 
 
-@query("chunk_at_silence_snapped")
+SNAP = f"""WITH {CLIPS}, n AS (SELECT segment_id, d, greatest(floor(d / 4.0), 1)::BIGINT AS k FROM c),
+w AS (SELECT segment_id, d, k, 0::BIGINT AS chunk_no, 0.0::DOUBLE AS s, 0.0::DOUBLE AS e FROM n
+  UNION ALL
+  SELECT segment_id, d, k, chunk_no + 1, e, CASE WHEN goal < d AND len(near) > 0 THEN list_sort([{{'g': abs(b - goal), 'b': b}} FOR b IN near])[1].b ELSE goal END
+  FROM (SELECT *, [i * 4.0::DOUBLE FOR i IN range(1, k + 1) IF i * 4.0 >= e + 3 AND i * 4.0 <= least(e + 30, d)] AS near FROM (
+    SELECT *, least(e + 15.0, d) AS goal FROM w WHERE e < d)))
+SELECT segment_id, chunk_no - 1 AS chunk_no, round(s, 6) AS start, round(e, 6) AS "end" FROM w WHERE chunk_no > 0"""
+
+
+@query("chunk_at_silence_snapped", sql("segments", SNAP, recursive=True))
 def chunk_at_silence_snapped(t):
     c = clips(t)
     every = F.sequence(F.lit(1), F.greatest(F.floor(F.col("duration") / 4.0), F.lit(1)).cast("int"))
     b = c.select("segment_id", F.explode(every).alias("i")).select("segment_id", (F.col("i") * 4.0).alias("boundary"))
-    return N.chunk_at_silence(c, b, "segment_id", snap=True)
+    return r6(N.chunk_at_silence(c, b, "segment_id", snap=True))
 
 
 @query(

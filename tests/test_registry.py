@@ -6,9 +6,9 @@ from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 # These have no SQL: their results are checked against plain loops in the other tests.
-NO_SQL = {"asr_eval", "bounded_units_stream", "chunk_at_silence_snapped", "quota_stream", "split_units"}
+NO_SQL = {"asr_eval", "bounded_units_stream"}
 SAMPLE = (
-    "merge_segments group_conversations capped_sessions weekly_summary conversation_payload review_flags "
+    "merge_segments split_units quota_stream group_conversations capped_sessions weekly_summary conversation_payload review_flags "
     "quality_score assess_status candidate_terms bm25_search best_and_second span_voting rolling_quota "
     "timeline_layout import_csv export_csv render_note daily_rollup_stream session_stream"
 ).split()
