@@ -31,14 +31,11 @@ def running(
     before the current one count, and the current one as well when ``inclusive``. ``last`` and
     ``max`` are null, and ``sum`` is 0, where nothing came before.
     """
-    slot = "_slot"
     src = {f"_v_{n}": c for n, (_, c) in specs.items()}
-    base = df.withColumns({slot: floor_div(F.col(order[0]), slot_us), **src})
-    w = Window.partitionBy(*keys, slot).orderBy(*order)
+    base = df.withColumns({"_key": slot_key(keys, order[0], slot_us), **src})
+    w = Window.partitionBy("_key").orderBy(*order)
     w = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    across = (
-        Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    across = slots_in_order(keys).rowsBetween(Window.unboundedPreceding, -1)
     local, summary, carry, final = {}, [], {}, {}
     for n, (kind, _) in specs.items():
         v, at = F.col(f"_v_{n}"), F.struct(*order)
@@ -60,20 +57,31 @@ def running(
             final[n] = F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)
         else:
             raise ValueError(f"unknown kind {kind}")
-    edges = (
-        base.groupBy(*keys, slot)
-        .agg(*summary)
-        .withColumns(carry)
-        .select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, slot]], *carry)
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, slot]]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    out = base.withColumns(local).join(edges, cond).withColumns(final)
+    edges = unpacked(base.groupBy(F.col("_key").alias("_edge")).agg(*summary), keys)
+    edges = edges.withColumns(carry).select("_edge", *carry)
+    out = base.withColumns(local).join(edges, F.col("_key") == F.col("_edge")).withColumns(final)
     return out.select(*[c for c in df.columns if c not in specs], *specs)
 
 
+def slot_key(keys: list[str], time: str, slot_us: int) -> Column:
+    """Key columns and time slot as one struct.
+
+    The struct is never null and its equality treats null fields as equal, so windows, summaries and
+    the join share one plain hash partitioning, and rows with a null key stay.
+    """
+    return F.struct(*keys, floor_div(F.col(time), slot_us).alias("_slot"))
+
+
+def unpacked(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Slot summaries with the fields of their key as columns, so their windows share one shuffle."""
+    return edges.select("*", *[F.col("_edge")[k].alias(f"_k_{k}") for k in [*keys, "_slot"]])
+
+
+def slots_in_order(keys: list[str]):
+    """Window over the unpacked slot summaries of one key, in time order."""
+    return Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_k__slot")
+
+
 def fit_slot(df: DataFrame, keys: list[str], time: str, target_rows: int = 1_000_000) -> int:
     """Slot width so that no (key, slot) exceeds about ``target_rows``, from one count per hour."""
     hour = 3_600_000_000

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.timefmt import floor_div, local_date
-from palaver.operators.ordered import SLOT_US, running
+from palaver.functions.timefmt import local_date
+from palaver.operators.ordered import SLOT_US, running, slot_key, slots_in_order, unpacked
 
 US = 1_000_000
 
@@ -59,33 +59,30 @@ def gap_sessions(
     """
     at = F.struct(F.col("start_us").alias("s"), F.col(ident).alias("i"))
     kept = F.struct("end_us", *previous)
-    w = Window.partitionBy(*keys, "_slot").orderBy("start_us", ident)
-    across = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_k__slot")
-    rows = df.withColumn("_slot", floor_div(F.col("start_us"), slot_us)).withColumn(
+    w = Window.partitionBy("_key").orderBy("start_us", ident)
+    across = slots_in_order(keys)
+    rows = df.withColumn("_key", slot_key(keys, "start_us", slot_us)).withColumn(
         "_before", F.lag(kept).over(w)
     )
     far = F.col("start_us") - F.col("_before.end_us") > to_us(max_gap_s)
     rows = rows.withColumn("_opened", F.when(far, at))
-    edges = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in [*keys, "_slot"]]).agg(
+    edges = rows.groupBy(F.col("_key").alias("_edge")).agg(
         F.min(at).alias("_first"),
         F.max_by(kept, at).alias("_last"),
         F.max("_opened").alias("_last_open"),
     )
-    edges = edges.withColumn("_carry", F.lag("_last").over(across))
+    edges = unpacked(edges, keys).withColumn("_carry", F.lag("_last").over(across))
     new = F.col("_carry").isNull() | (F.col("_first.s") - F.col("_carry.end_us") > to_us(max_gap_s))
     edges = edges.withColumn("_open_first", F.when(new, F.col("_first")))
     open_here = F.coalesce("_last_open", "_open_first")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.withColumn(
         "_open_in", F.coalesce("_open_first", F.last(open_here, ignorenulls=True).over(earlier))
-    ).select(*[f"_k_{k}" for k in [*keys, "_slot"]], "_carry", "_open_in")
+    ).select("_edge", "_carry", "_open_in")
     rows = rows.withColumn(
         "_open_here", F.max("_opened").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    same = F.lit(True)
-    for k in [*keys, "_slot"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = rows.join(edges, same)
+    out = rows.join(edges, F.col("_key") == F.col("_edge"))
     session = F.coalesce("_open_here", "_open_in")
     before = F.coalesce("_before", "_carry")
     return out.select(
@@ -311,12 +308,13 @@ def capped_sessions(
         | (gap < 0)
         | (gap > to_us(max_gap_s)),
     )
-    # Nested rows are neither first of nor inside a run; the label they get here is replaced.
     rows = assign_sessions(rows, keys, ident, F.col("_opens") & ~F.col("_nested"), slot_us)
-    alone = rows.filter("_nested").select(
-        *cols, F.col("start_us").alias("session_start_us"), F.col(ident).alias("session_first")
+    # A nested row is neither first of nor inside a run; it becomes a run of its own.
+    rows = rows.select(
+        *cols,
+        F.when(F.col("_nested"), F.col("start_us")).otherwise(F.col("session_start_us")).alias("session_start_us"),
+        F.when(F.col("_nested"), F.col(ident)).otherwise(F.col("session_first")).alias("session_first"),
     )
-    rows = rows.filter("NOT _nested").select(*cols, "session_start_us", "session_first")
     run = [*keys, "session_start_us", "session_first"]
     cap = to_us(max_length_s)
     # Runs inside the cap need no fold and never leave the JVM.
@@ -339,7 +337,7 @@ def capped_sessions(
         ]
 
     long_runs = sized.filter("_over").drop("_over").groupBy(*run).applyInPandas(fold, schema)
-    out = fine.unionByName(long_runs).unionByName(alone)
+    out = fine.unionByName(long_runs)
     if has_import:
         single = df.filter(F.col("imported")).select(
             *cols, F.col("start_us").alias("session_start_us"), F.col(ident).alias("session_first")

@@ -185,3 +185,11 @@ def test_snapped_chunks_cover_the_clip(spark):
 def test_fit_slot_narrows_for_dense_keys(spark):
     df = spark.createDataFrame([("a", BASE + i) for i in range(1000)], "k string, start_us bigint")
     assert fit_slot(df, ["k"], "start_us", 100) == 360_000_000
+
+
+def test_rows_with_a_null_key_stay(spark):
+    rows = [(None, f"s{i}", BASE + i * 1_000_000, BASE + i * 1_000_000 + 500_000, "owner", "en") for i in range(5)]
+    df = spark.createDataFrame(rows, DDL)
+    out = running(df, ["device_id"], ["start_us", "segment_id"], {"n": ("sum", F.lit(1).cast("bigint"))}, slot_us=2_000_000)
+    assert sorted(r.n for r in out.collect()) == [0, 1, 2, 3, 4]
+    assert S.merge_segments(df, slot_us=2_000_000).first().merge_count == 5
