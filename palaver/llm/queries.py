@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import license_scan, packing
+from palaver.llm import license_scan, packing, secret_scan
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,50 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .drop("row")
     )
+
+
+def _secret_sql() -> str:
+    kinds = []
+    for n, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("'", "''")
+        kinds.append(
+            f"SELECT rid, {n} AS place, '{r.kind}' AS kind, {r.least} AS least, "
+            f"regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {r.group}) AS v, "
+            f"string_split_regex(text, '{p}') AS g FROM t"
+        )
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.RULES if r.base)
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.RULES if r.base
+    )
+    line = "string_agg(concat(kind, ':', a, ':', b), ',' ORDER BY a, place)"
+    return f"""
+    WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    k AS ({" UNION ALL ".join(kinds)}),
+    e AS (SELECT rid, place, kind, least, unnest(generate_series(1, len(m))) AS n, m, v, g FROM k WHERE len(m) > 0),
+    s AS (SELECT rid, place, kind, least, length(v[n]) AS size,
+      CAST(sum(length(g[n]) + length(m[n])) OVER (PARTITION BY rid, place ORDER BY n) AS BIGINT) AS b,
+      length(m[n]) AS w FROM e),
+    f AS (SELECT rid, place, kind, b - w AS a, b FROM s WHERE size >= least),
+    r AS (SELECT rid, {counts}, {line} FILTER (kind IN ({base})) AS base, {line} AS spans FROM f GROUP BY rid)
+    SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.RULES if r.base)},
+      sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM t LEFT JOIN r USING (rid)
+    """
+
+
+@query("op6_secret_scan", _secret_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan_blobs(docs).findings
+    base = [r.kind for r in secret_scan.RULES if r.base]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = F.col("spans")
+    return secret_scan.findings_by_path(docs, found).select(
+        "doc_id",
+        *(count(k) for k in base),
+        F.sha2(secret_scan.written(F.filter(spans, lambda s: s.kind.isin(base))), 256).alias("base_sha256"),
+        secret_scan.written(spans).alias("spans"),
+    )
