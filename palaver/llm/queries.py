@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import license_scan, packing, secret_scan
+from palaver.llm import language, license_scan, packing, secret_scan
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.written(F.filter(spans, lambda s: s.kind.isin(base))), 256).alias("base_sha256"),
         secret_scan.written(spans).alias("spans"),
     )
+
+
+def held_out(doc_id="doc_id"):
+    """True for the documents that language ID does not learn from."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
