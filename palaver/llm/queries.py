@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, license_scan, packing, secret_scan
+from palaver.llm import language, license_scan, packing, secret_scan, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
     found = language.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, unnest(generate_series(1, len(w))) AS i, unnest(w) AS x, w FROM d),
+k AS (SELECT rid, i, x, CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i : i + 34], ' ') END AS k FROM s),
+c AS (SELECT rid, i, x, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS twice FROM k),
+g AS (SELECT rid, i, x, max(CAST(twice AS INT)) OVER (
+    PARTITION BY rid ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+r AS (SELECT rid, sum(gone) AS gone, string_agg(x, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)
+"""
+
+
+@query("op8_substring_dedup", SUBSTRING_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
