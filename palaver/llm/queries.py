@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, license_scan, packing, secret_scan, substrings, topk
+from palaver.llm import language, license_scan, packing, secret_scan, substrings, topk, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,11 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
 @query("op4_exact_top_k", TOP_K_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), categories)
+    return toxicity.predict(docs, chain, keep=["doc_id"])
