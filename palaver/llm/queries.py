@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import language, license_scan, packing, secret_scan, substrings, topk, toxicity
+from palaver.llm import decontaminate, language, license_scan, packing, secret_scan, substrings, topk, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"), categories)
     return toxicity.predict(docs, chain, keep=["doc_id"])
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item").alias("item_id"), "first_word", "n_aligned", "n_equal")
