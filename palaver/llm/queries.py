@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language, license_scan, packing, secret_scan, substrings, topk, toxicity
+from palaver.llm import decontaminate, language, license_scan, line_dedup, packing, secret_scan, substrings, topk, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -162,3 +162,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("item").alias("item_id"), "first_word", "n_aligned", "n_equal")
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedupe_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
