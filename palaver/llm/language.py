@@ -26,7 +26,7 @@ from palaver.llm.words import NOT_SPACE, Words, steps
 WORD_BYTES = 48
 #: Each byte of a piece carries this factor, so that products stay inside the range of doubles.
 SCALE = 1e4
-STEP_BYTES = 6_000_000
+STEP_BYTES = 4_000_000
 UNKNOWN = "und"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +48,7 @@ class Pieces:
         keys = np.array([self._key(x) for x in self.texts], np.uint64)
         order = np.argsort(keys)
         self.keys, self.numbers = keys[order], order.astype(np.int32)
-        self.lengths = np.array([len(x) for x in self.texts])
+        self.lengths = np.array([len(x) for x in self.texts], np.int32)
         self.longest = int(min(self.lengths.max(), WORD_BYTES + 1))
         self.bits = np.zeros(1 << 22, bool)
         self.bits[self.keys >> np.uint64(42)] = True
@@ -63,7 +63,7 @@ class Pieces:
     def matches(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of all pieces in words that lie one after another; ``ends`` per byte."""
         h = np.zeros(len(data), np.uint64)
-        at = np.arange(len(data))
+        at = np.arange(len(data), dtype=np.int32)
         places, numbers = [], []
         for size in range(1, self.longest + 1):
             room = at + size <= ends[at]
@@ -97,11 +97,11 @@ class Lattice:
         inside[begins] = False
         body[inside] = data
         if len(body):
-            place, number = pieces.matches(body, np.repeat(ends, n))
+            place, number = pieces.matches(body, np.repeat(ends.astype(np.int32), n))
         else:
-            place, number = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        word = np.repeat(np.arange(len(n)), n)[place]
-        step = place - begins[word]
+            place, number = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)[place]
+        step = (place - begins.astype(np.int32)[word]).astype(np.int16)
         order = np.argsort(step, kind="stable")
         # A word of n bytes has n + 1 nodes.
         self.node = (place + word)[order]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, language, license_scan, line_dedup, packing, secret_scan, substrings, topk, toxicity
+from palaver.llm import decontaminate, jaccard_join, language, license_scan, line_dedup, packing, secret_scan, substrings, topk, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedupe_lines(docs)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
