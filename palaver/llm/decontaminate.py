@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm.scratch import staged
+
 #: Fixed masks over 10 consecutive words; each ignores three words, and any three are ignored by few.
 MASKS = ((0, 1, 2, 4, 5, 7, 9), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 6, 7, 9), (0, 2, 4, 5, 7, 8, 9))
 SPAN = 10
 #: Share of equal words along an alignment, and the least number of aligned words, that make a leak.
 LEAST_SHARE = 0.75
 LEAST_WORDS = 10
-#: Hashed benchmark places up to which they are broadcast (about 32 bytes each); more are shuffled.
-BROADCAST_PLACES = 2_000_000
+#: Hashed benchmark places up to which they and the items' words are broadcast, at most about 100 bytes for
+#: each place; more are shuffled.
+BROADCAST_PLACES = 1_000_000
 
 
 def word_hashes(text) -> F.Column:
@@ -61,12 +64,21 @@ def leaks(
     Other columns are not read. The benchmark is counted first: up to ``BROADCAST_PLACES`` places it is
     broadcast, beyond that both sides are shuffled by hash.
     """
-    test = benchmark.select(F.col(f"`{item_id}`").alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("w"))
-    test = _places(test, ["item"]).select("hash", F.col("place").alias("item_place"), "item", F.col("w").alias("item_w"))
+    items = staged(
+        benchmark.select(
+            F.monotonically_increasing_id().alias("item_row"),
+            F.col(f"`{item_id}`").alias("item"),
+            word_hashes(F.col(f"`{item_text}`")).alias("w"),
+        )
+    )
+    test = _places(items, ["item_row"]).select("hash", F.col("place").alias("item_place"), "item_row")
+    items = items.select("item_row", "item", F.col("w").alias("item_w"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), *keep, word_hashes(F.col(f"`{text}`")).alias("w"))
     train = _places(texts, ["row", *keep])
     small = test.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    hits = train.join(F.broadcast(test) if small else test, "hash")
+    hits = train.join(F.broadcast(test) if small else test, "hash").join(
+        F.broadcast(items) if small else items, "item_row"
+    )
     shift = F.col("place") - F.col("item_place")
     low = F.greatest(shift, F.lit(0))
     high = F.least(shift + F.size("item_w"), F.size("w"))
@@ -76,6 +88,7 @@ def leaks(
         .select(
             "row",
             *keep,
+            "item_row",
             "item",
             "shift",
             "place",
@@ -83,7 +96,7 @@ def leaks(
             F.slice("w", F.col("low") + 1, high - F.col("low")).alias("a"),
             F.slice("item_w", F.col("low") - F.col("shift") + 1, high - F.col("low")).alias("b"),
         )
-        .groupBy("row", *keep, "item", "shift", "low")
+        .groupBy("row", *keep, "item_row", "item", "shift", "low")
         .agg(F.first("a").alias("a"), F.first("b").alias("b"), F.min("place").alias("first_hit"), F.max("place").alias("last_hit"))
     )
     same = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
@@ -95,6 +108,7 @@ def leaks(
     checked = lines.select(
         "row",
         *keep,
+        "item_row",
         "item",
         F.col("low").alias("first_word"),
         F.size("a").alias("n_aligned"),
@@ -107,7 +121,7 @@ def leaks(
     best = F.max_by(F.struct("first_word", "n_aligned", "n_equal"), F.struct("n_equal", -F.col("first_word"))).alias("best")
     return (
         checked.where(whole | part)
-        .groupBy("row", *keep, "item")
+        .groupBy("row", *keep, "item_row", "item")
         .agg(best)
         .select("row", *keep, "item", "best.*")
     )

@@ -17,7 +17,7 @@ THRESHOLD = 0.8
 #: Bands of two hashes each: a pair at the threshold is missed with (1 - 0.64) ** 6, or 0.2 %.
 BANDS, ROWS = 6, 2
 #: Neighbours in a band with which each line is compared, besides the first line of the band.
-NEIGHBOURS = 2
+NEIGHBOURS = 6
 #: Shingles of twelve characters from the begin of each ASCII word ...
 _AT_WORDS = r"\b(?=(\w.{0,11}))"
 #: ... or, for a line with fewer than one such word in 24 characters, eight characters from everywhere.

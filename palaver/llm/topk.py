@@ -239,7 +239,8 @@ def top_k(
         rows = (asked.where(F.col("block") == number) if blocks > 1 else asked).toArrow()
         q = _matrix(rows.column("v"), space.width)
         ids = rows.column("vec_id").to_numpy()
-        d = _distances(_augmented(q, space.longest), space.pivots)
+        # A query has 0 as its further coordinate: its distances then order by inner product alone.
+        d = _distances(np.column_stack([q.astype(float), np.zeros(len(q))]), space.pivots)
         block = (rows.column("row").to_numpy(), ids, q, d, _first_thresholds(q, ids, space, k))
         part = _search(table, block, space, k)
         found.append(staged(part) if blocks > 1 else part)
