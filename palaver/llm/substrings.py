@@ -2,10 +2,11 @@
 
 1. Each text is cut into runs of windows that share their least k-gram (the anchor). A run whose anchor
    occurs nowhere else holds no repeated window. Runs with equal words are copies and are settled at once.
-2. The suffixes of the other runs become keys of consecutive word-chunk hashes, as deep as a window. Each
+2. The suffixes of the other runs become keys: a hash of the first words, then one as deep as a window. Each
    task first builds the tree of its own suffixes, so that equal suffixes leave it once.
-3. Range partitioning by the keys cuts the suffixes at variable-length prefixes into parts of similar size.
-   Sorted, each part is a suffix tree in order; its internal nodes as deep as a window are the repeats.
+3. Range partitioning by the keys cuts the suffixes at prefixes into parts of similar size: at the first
+   words, and inside a frequent prefix at the whole window. Sorted, each part is a suffix tree in order; its
+   internal nodes as deep as a window are the repeats.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from palaver.llm.scratch import staged
 from palaver.llm.tokenize import ragged
 from palaver.llm.words import NOT_SPACE, SpanHashes, Words, mix, rolling, steps
 
+#: Words of an anchor, and of the first level of the tree.
 CHUNK = 7
-DEPTH = 5
-#: Words of one repeated window: five chunks of seven words.
-WINDOW = CHUNK * DEPTH
+#: Words of one repeated window.
+WINDOW = 35
 #: Suffixes of which one task builds a tree before it passes them on.
 TREE_ROWS = 500_000
 _SPREAD = WINDOW - CHUNK + 1
-_KEYS = [f"k{j}" for j in range(DEPTH)]
+_KEYS = ["k0", "k1"]
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -165,38 +166,41 @@ def _tree(keys: np.ndarray, *rest: np.ndarray):
     return keys, rest, under, leaf
 
 
-_LEAVES = "id long, h long, pos int, done boolean, " + ", ".join(f"{k} long" for k in _KEYS)
+_LEAVES = "id long, h long, pos int, done boolean, k0 long, k1 long"
 
 
 def _suffixes(open_docs: DataFrame) -> DataFrame:
-    """Suffixes at the starts of the open runs. ``done`` rows are repeats found inside the task."""
-
-    def table(keys, ids, hs, pos, done):
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids),
-                pa.array(hs),
-                pa.array(pos.astype(np.int32)),
-                pa.array(np.full(len(ids), done)),
-                *(pa.array(keys[:, j].astype(np.int64)) for j in range(DEPTH)),
-            ],
-            names=["id", "h", "pos", "done", *_KEYS],
-        )
+    """Suffixes at the starts of the open runs, each distinct one once with its key.
+
+    ``done`` rows are repeats found inside the task. All but the first of equal suffixes get a key of their
+    own instead, so that a frequent suffix is spread over the partitions.
+    """
 
     def built(held):
         keys, ids, hs, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, (ids, hs, pos), under, leaf = _tree(keys, ids, hs, pos)
-        for mask, done in ((under, True), (leaf, False)):
-            at = np.flatnonzero(mask)
-            for row in range(0, len(at), 50_000):
-                part = at[row : row + 50_000]
-                yield table(keys[part], ids[part], hs[part], pos[part], done)
+        lone = mix(mix(hs.view(np.uint64)) + pos.astype(np.uint64))
+        keys = np.where(leaf[:, None], keys, lone[:, None])
+        for row in range(0, len(ids), 50_000):
+            part = slice(row, row + 50_000)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[part]),
+                    pa.array(hs[part]),
+                    pa.array(pos[part].astype(np.int32)),
+                    pa.array(under[part]),
+                    pa.array(keys[part, 0].astype(np.int64)),
+                    pa.array(keys[part, 1].astype(np.int64)),
+                ],
+                names=["id", "h", "pos", "done", *_KEYS],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in steps(batches, "text"):
             words = Words(batch.column("text"), NOT_SPACE)
-            grams = rolling(words.hashes(), CHUNK)
+            h = words.hashes()
+            grams, windows = rolling(h, CHUNK), SpanHashes(h)
             spans = batch.column("spans")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
             parts = spans.flatten()
@@ -205,7 +209,7 @@ def _suffixes(open_docs: DataFrame) -> DataFrame:
             doc = np.repeat(owner, sizes)
             pos = ragged(low, sizes)
             at = words.first[doc] + pos
-            keys = np.stack([grams[at + CHUNK * j] for j in range(DEPTH)], 1)
+            keys = np.stack([grams[at], windows.of(at, at + WINDOW)], 1)
             held.append((keys, batch.column("id").to_numpy()[doc], batch.column("h").to_numpy()[doc], pos))
             rows += len(pos)
             if rows >= TREE_ROWS:
@@ -235,7 +239,7 @@ def _repeated_leaves(leaves: DataFrame) -> DataFrame:
                 continue
             keys = np.stack([rows.column(k).to_numpy() for k in _KEYS], 1)
             use = n if done else n - 1
-            under = np.zeros(n, bool)
+            under = rows.column("done").to_numpy().copy()
             low, high = deep_nodes(keys)
             under[ragged(low, high - low + 1)] = True
             if past is not None and (keys[0] == past).all():
@@ -247,7 +251,7 @@ def _repeated_leaves(leaves: DataFrame) -> DataFrame:
                 past = keys[use - 1]
             tail = rows.slice(use).combine_chunks()
 
-    ranged = leaves.where(~F.col("done")).repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
+    ranged = leaves.repartitionByRange(*_KEYS).sortWithinPartitions(*_KEYS)
     return ranged.mapInArrow(run, "id long, h long, pos int")
 
 
@@ -257,12 +261,12 @@ def repeated_starts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     Spans of one key may overlap. Two equal rows are two texts: each repeats the other.
     """
     keyed = _keyed(docs, text, doc_id)
-    marks = staged(_settled(staged(_runs(keyed))))
+    marks = staged(_settled(_runs(keyed)))
     spans = marks.where("open").groupBy("id", "h").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    open_docs = keyed.select("id", "h", "text").join(spans, ["id", "h"]).select("id", "h", "text", "spans")
-    leaves = staged(_suffixes(open_docs))
+    # All columns go on, so that this join and the one of ``remove_repeats`` share one shuffle of the texts.
+    open_docs = keyed.join(spans, ["id", "h"]).select("id", "h", "doc_id", "text", "spans")
     single = F.struct(F.col("pos").alias("low"), F.col("pos").alias("high"))
-    found = leaves.where("done").select("id", "h", "pos").unionByName(_repeated_leaves(leaves))
+    found = _repeated_leaves(_suffixes(open_docs))
     return (
         marks.where(~F.col("open"))
         .select("id", "h", F.struct("low", "high").alias("span"))
@@ -279,8 +283,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     repeated if its words also start anywhere else in the table, the same text included. Windows are judged
     on the input. A null text has no words. Texts shorter than a window stay whole. Rows with null ids and
     repeated rows are texts like any other, so a repeated row of 35 words or more loses them all. Other columns
-    are not read. An empty table gives no rows. Equality of words is that of five 64-bit hashes of seven
-    words each, or of a run's 128-bit hash.
+    are not read. An empty table gives no rows. Windows are compared by 128 bits of hashes.
     """
     keyed = _keyed(docs, text, doc_id)
     spans = repeated_starts(docs, text=text, doc_id=doc_id)
@@ -323,5 +326,5 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = keyed.join(spans, ["id", "h"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, ["id", "h"], "left").select("id", "h", "doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
