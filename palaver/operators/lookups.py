@@ -9,18 +9,16 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import like_any
 
-MAX_LIMIT = 200
-
 
 def days_before(as_of: str, days: int) -> str:
     return (dt.date.fromisoformat(as_of) - dt.timedelta(days=days)).isoformat()
 
 
-def newest_first(df: DataFrame, limit: int, offset: int = 0, max_limit: int = MAX_LIMIT) -> DataFrame:
-    """Page of conversations by date, start and id, newest first."""
+def newest_first(df: DataFrame, limit: int, offset: int = 0, max_limit: int | None = None) -> DataFrame:
+    """Page of conversations by date, start and id, newest first; ``max_limit`` caps what may be asked."""
     out = df.orderBy(F.desc("date"), F.desc("start_us"), F.desc("conversation_id"))
     out = out.offset(offset) if offset else out
-    return out.limit(min(limit, max_limit))
+    return out.limit(limit if max_limit is None else min(limit, max_limit))
 
 
 def by_date(df: DataFrame, date: str | None, limit: int) -> DataFrame:

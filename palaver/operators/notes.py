@@ -35,7 +35,9 @@ def _marked(lines: Column, low: Column) -> Column:
     return let(F.transform(low, lambda p: F.least(p, F.size(lines) - 1)), all_lines)
 
 
-def render_notes(conv: DataFrame, members: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def render_notes(
+    conv: DataFrame, members: DataFrame, part_rows: int = PART_ROWS, tag: str = "journal"
+) -> DataFrame:
     """Note text per conversation: front matter, summary, marked transcript, raw transcript, words.
 
     ``members`` has conversation_id, segment_id, start_us, speaker, text and low_confidence.
@@ -69,7 +71,7 @@ def render_notes(conv: DataFrame, members: DataFrame, part_rows: int = PART_ROWS
         return F.substring(local_time(F.col(us)), 1, 5)
 
     dur = F.col("duration_seconds").cast("bigint").cast("string")
-    tags = "- voice-journal\n- conversation\n"
+    tags = f"- {tag}\n- conversation\n"
     front = F.concat(
         F.lit("---\ndate: '"), F.col("date"), F.lit("'\nduration_seconds: "), dur,
         F.lit("\nend_time: '"), clock("end_us"), F.lit("'\nis_pair_conversation: "),
@@ -101,7 +103,9 @@ def render_notes(conv: DataFrame, members: DataFrame, part_rows: int = PART_ROWS
     )
 
 
-def render_daily_notes(conv: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def render_daily_notes(
+    conv: DataFrame, part_rows: int = PART_ROWS, tag: str = "journal", heading: str = "Journal"
+) -> DataFrame:
     """Note per day: counters, and a link with a short preview per conversation, newest first."""
     stem = note_stem(F.col("start_us"), F.col("summary"))
     link = F.concat(
@@ -120,8 +124,8 @@ def render_daily_notes(conv: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
     n = lambda c: F.col(c).cast("string")
     text = F.concat(
         F.lit("---\ndate: '"), F.col("date"), F.lit("'\nmedia_flagged: "), n("media"),
-        F.lit("\nself_talk: "), n("self_talk"), F.lit("\ntags:\n- voice-journal\n- daily\ntotal_conversations: "),
-        n("total"), F.lit("\nwith_partner: "), n("pair"), F.lit("\n---\n\n# Voice Journal: "), F.col("date"),
+        F.lit("\nself_talk: "), n("self_talk"), F.lit(f"\ntags:\n- {tag}\n- daily\ntotal_conversations: "),
+        n("total"), F.lit("\nwith_partner: "), n("pair"), F.lit(f"\n---\n\n# {heading}: "), F.col("date"),
         F.lit("\n\n## Summary\n\n*Daily summary will be updated as conversations are recorded.*\n\n## Conversations\n\n"),
         F.array_join(F.transform("items", lambda x: x["link"]), ""),
     )

@@ -288,7 +288,7 @@ def capped_sessions(
 
     A row joins the session of the row with the greatest end so far, when both start on the same
     local date, the row starts 0 to ``max_gap_s`` after that end, and the session stays within
-    ``max_length_s``. A row nested inside that earlier row stands alone and changes nothing for
+    ``max_length_s``. Of rows with equal ends the later one, by start and ``ident``, is the one to join. A row nested inside that earlier row stands alone and changes nothing for
     later rows. So all but the cap is a comparison with the greatest end, which cuts each key into
     runs natively. Only the cap is a fold, and it walks one run: rows of one device and day that do
     not overlap, which the length of a day bounds. Imported rows never join and never extend a
@@ -300,7 +300,7 @@ def capped_sessions(
     latest = F.struct(F.col("end_us").alias("e"), local_date(F.col("start_us")).alias("d"))
     rows = running(live, keys, ["start_us", ident], {"_prev": ("max", latest)}, slot_us=slot_us)
     gap = F.col("start_us") - F.col("_prev.e")
-    nested = F.coalesce((gap < 0) & (F.col("end_us") <= F.col("_prev.e")), F.lit(False))
+    nested = F.coalesce((gap < 0) & (F.col("end_us") < F.col("_prev.e")), F.lit(False))
     rows = rows.withColumn("_nested", nested).withColumn(
         "_opens",
         F.col("_prev").isNull()

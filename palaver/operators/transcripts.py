@@ -88,7 +88,7 @@ def daily_rollup(df: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         F.max_by("end_us", F.struct("start_us", "segment_id")).alias("last_us"),
     )
     line = F.concat(
-        F.lit("["), local_time(F.col("start_us")), F.lit("] ("), F.col("language"), F.lit(") "), F.col("text")
+        F.lit("["), local_time(F.col("start_us")), F.lit("] ("), F.col("language"), F.lit(") "), trim_ws(F.col("text"))
     )
     spoken = df.filter(trim_ws(F.col("text")) != "")
     parts = ordered_parts(spoken, ["date"], ["start_us", "segment_id"], part_rows, line=line)

@@ -44,7 +44,8 @@ def best_and_second(
 def _by_matrix(vectors: DataFrame, protos: DataFrame, key: str) -> DataFrame:
     rows = protos.orderBy("name").collect()  # size checked by the caller
     names = sorted({r["name"] for r in rows})
-    group = np.array([names.index(r["name"]) for r in rows], dtype=np.int64)
+    number = {name: i for i, name in enumerate(names)}
+    group = np.array([number[r["name"]] for r in rows], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((names, group, matrix))
     kind = T.StructType(
@@ -81,30 +82,24 @@ def _by_matrix(vectors: DataFrame, protos: DataFrame, key: str) -> DataFrame:
 
 
 def _by_shards(vectors: DataFrame, protos: DataFrame, key: str, shards: int) -> DataFrame:
-    # A voice stays whole within its shard, so its best prototype is known there.
-    shard = F.pmod(F.xxhash64("name"), F.lit(shards))
-    sides = protos.groupBy(shard.alias("_shard"), "name").agg(
-        F.collect_list("embedding").alias("protos")
-    )
-    # Vectors meet every shard; the salt spreads each shard's work over many tasks.
-    salts = 16
-    left = vectors.withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint")))
-    ).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    right = sides.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    best = F.array_max(F.transform("protos", lambda p: dot(F.col("embedding"), p)))
-    scored = left.join(right, ["_shard", "_salt"]).select(key, "name", best.alias("sim"))
-    ranked = F.struct((-F.col("sim")).alias("o"), F.col("name"), F.col("sim"))
-    top = scored.groupBy(key).agg(F.min(ranked).alias("_b"))
-    rest = scored.join(top.select(key, F.col("_b.name").alias("_n")), key).filter("name <> _n")
-    second = rest.groupBy(key).agg(F.max("sim").alias("second"))
-    return (
-        vectors.drop("embedding")
-        .join(top.select(key, F.col("_b.name").alias("best_name"), F.col("_b.sim").alias("best")), key, "left")
-        .join(second, key, "left")
+    """Two best voices of each vector per shard, then merged: no row for a pair of vector and voice."""
+    slim = vectors.select(key, "embedding")
+    found = None
+    for n in range(shards):
+        # A voice stays whole within its shard, so its best prototype is known there.
+        some = protos.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == n)
+        part = _by_matrix(slim, some, key).filter("best_name is not null")
+        found = part if found is None else found.unionByName(part)
+    ranked = F.struct((-F.col("best")).alias("o"), F.col("best_name"), F.col("best"), F.col("second"))
+    tops = found.groupBy(key).agg(F.sort_array(F.collect_list(ranked)).alias("_t"))
+    first, other = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
+    merged = tops.select(
+        key,
+        first["best_name"].alias("best_name"),
+        first["best"].alias("best"),
+        F.greatest(first["second"], other["best"]).alias("second"),
     )
+    return vectors.drop("embedding").join(merged, key, "left")
 
 
 def decide(matched: DataFrame, threshold: float = 0.80, margin: float = 0.08) -> DataFrame:

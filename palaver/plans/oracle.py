@@ -104,13 +104,13 @@ FROM (SELECT doc_id, text, lang FROM documents
         """
 SELECT vec_id AS profile_id, 'spk-' || label AS name, embedding::DOUBLE[] AS embedding,
        vec_id % 10 <> 7 AS enabled, 'ecapa' AS model
-FROM embeddings WHERE vec_id < 30""",
+FROM embeddings WHERE vec_id % 17 = 3""",
     ),
     "v_vectors": (
         (),
         """
 SELECT vec_id, vec_id // 10 AS source_id, vec_id % 10 AS window_no, embedding::DOUBLE[] AS embedding
-FROM embeddings WHERE vec_id >= 30""",
+FROM embeddings WHERE vec_id % 17 <> 3""",
     ),
     "v_pairs": (
         (),
@@ -121,8 +121,10 @@ SELECT scenario, doc_id, array_to_string(tok, ' ') AS reference, system,
          WHEN 'dup11' THEN array_to_string([CASE WHEN i % 11 = 0 THEN tok[i] || ' ' || tok[i] ELSE tok[i] END FOR i IN range(1, len(tok) + 1)], ' ')
          ELSE array_to_string([CASE WHEN i % 13 = 0 THEN 'um' ELSE tok[i] END FOR i IN range(1, len(tok) + 1)], ' ')
        END AS hypothesis
-FROM (SELECT 'doc-' || doc_id AS scenario, doc_id, {words_of('text')} AS tok
-      FROM documents WHERE lang = 'en' AND n_chars <= 600),
+FROM (SELECT 'doc-' || doc_id || '-' || n AS scenario, doc_id, {words_of('line')} AS tok
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+              unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents)
+      WHERE len({words_of('line')}) > 0),
      (VALUES ('drop7'), ('dup11'), ('sub13')) AS s(system)""",
     ),
     "v_usage": (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palaver.functions import evaltext as E
-from palaver.functions.text import FOLD_FROM, FOLD_TO, word_count
+from palaver.functions.text import FOLD_FROM, FOLD_TO, word_count, words
 from palaver.operators import accuracy as C
 from palaver.operators import activity as A
 from palaver.operators import glossary as G
@@ -251,6 +251,15 @@ def text_normalize(t):
 
 
 # The damage of each system fixes the word distance: dropped, doubled or replaced positions.
+# DuckDB compares bytes, so each letter beyond ASCII becomes one unused control character.
+LETTERS = "áéíóúñüöäßèêçÁÉÍÓÚÑÜÖÄÈÊÇ"
+
+
+def one_byte(text: str) -> str:
+    codes = [c for c in range(1, 32) if c not in (9, 10, 11, 12, 13)][: len(LETTERS)]
+    return f"translate({text}, '{LETTERS}', {' || '.join(f'chr({c})' for c in codes)})"
+
+
 WER = """WITH n AS (SELECT scenario, system, string_split(reference, ' ') AS r, string_split(hypothesis, ' ') AS h FROM v_pairs),
 d AS (SELECT scenario, system, len(r) AS ref_words, len(h) AS hyp_words, CASE system WHEN 'drop7' THEN len(r) // 7 WHEN 'dup11' THEN len(r) // 11
   ELSE len([i FOR i IN range(1, len(r) + 1) IF i % 13 = 0 AND r[i] <> 'um']) END AS dist FROM n)
@@ -274,7 +283,7 @@ def edit_ops(t):
 
 @query(
     "cer",
-    sql("pairs", "SELECT scenario, system, round(levenshtein(reference, hypothesis) / length(reference), 6) AS cer FROM v_pairs"),
+    sql("pairs", f"SELECT scenario, system, round(levenshtein({one_byte('reference')}, {one_byte('hypothesis')}) / length(reference), 6) AS cer FROM v_pairs"),
 )
 def cer(t):
     return t.pairs.select(
@@ -282,7 +291,7 @@ def cer(t):
     )
 
 
-RANK = WER + ", m AS (SELECT scenario, system, dist / ref_words AS wer, levenshtein(array_to_string(r, ' '), array_to_string(h, ' ')) / length(array_to_string(r, ' ')) AS cer FROM d JOIN n USING (scenario, system))"
+RANK = WER + f", m AS (SELECT scenario, system, dist / ref_words AS wer, levenshtein({one_byte('array_to_string(r, chr(32))')}, {one_byte('array_to_string(h, chr(32))')}) / length(array_to_string(r, ' ')) AS cer FROM d JOIN n USING (scenario, system))"
 
 
 @query(
@@ -305,13 +314,14 @@ def best_per_scenario(t):
 
 @query(
     "system_scenario_cross",
-    sql("", "SELECT system, 'doc-' || doc_id AS scenario FROM documents, (VALUES ('drop7'), ('dup11'), ('sub13')) s(system) WHERE lang = 'en' AND n_chars <= 600"),
+    sql("", f"SELECT system, 'doc-' || doc_id || '-' || n AS scenario FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents), (VALUES ('drop7'), ('dup11'), ('sub13')) s(system) WHERE len({words_of('line')}) > 0"),
 )
 def system_scenario_cross(t):
     # The systems are a fixed short list, so each scenario names them itself.
-    refs = t.raw("documents").filter("lang = 'en' AND n_chars <= 600")
+    lines = t.raw("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    refs = lines.filter(F.size(words(F.col("line"))) > 0)
     systems = F.array(*[F.lit(s) for s in ("drop7", "dup11", "sub13")])
-    return refs.select(F.explode(systems).alias("system"), F.concat(F.lit("doc-"), "doc_id").alias("scenario"))
+    return refs.select(F.explode(systems).alias("system"), F.concat_ws("-", F.lit("doc"), "doc_id", "n").alias("scenario"))
 
 
 @query(
@@ -355,11 +365,11 @@ def asr_stats(t):
 
 @query(
     "model_compare",
-    sql("turns", """SELECT conv_id, coalesce(string_agg(substring(text, 1, 20), ' | ' ORDER BY turn) FILTER (speaker = 'owner'), '') AS owner,
-    coalesce(string_agg(substring(text, 1, 20), ' | ' ORDER BY turn) FILTER (speaker = 'partner'), '') AS partner FROM v_turns GROUP BY conv_id"""),
+    sql("turns", """SELECT conv_id, coalesce(string_agg(text, ' | ' ORDER BY turn) FILTER (speaker = 'owner'), '') AS owner,
+    coalesce(string_agg(text, ' | ' ORDER BY turn) FILTER (speaker = 'partner'), '') AS partner FROM v_turns GROUP BY conv_id"""),
 )
 def model_compare(t):
-    rows = t.turns.select("conv_id", "speaker", "turn", F.substring("text", 1, 20).alias("text"))
+    rows = t.turns.select("conv_id", "speaker", "turn", "text")
     out = C.compare_models(rows, "conv_id", "speaker", "text", ["owner", "partner"], "turn")
     return out.select("conv_id", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("partner", F.lit("")).alias("partner"))
 

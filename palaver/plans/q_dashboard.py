@@ -75,7 +75,7 @@ def recent_window(t):
     return L.recent_window(t.conv, as_of(t), 7).select(*COLS)
 
 
-@query("recent_conversations", sql("conv", f"SELECT {C} FROM v_conv {PAGE} LIMIT 200"))
+@query("recent_conversations", sql("conv", f"SELECT {C} FROM v_conv {PAGE} LIMIT 500"))
 def recent_conversations(t):
     return L.newest_first(t.conv, 500).select(*COLS)
 

@@ -89,7 +89,7 @@ def corrupt_report(t):
 
 
 def csv_rows(t):
-    """Import rows from the turns; speech that crosses local midnight is left out."""
+    """Import rows from the turns, those that cross local midnight among them."""
     return t.turns.select(
         "date",
         local_time(F.col("start_us")).alias("start_time"),
@@ -98,7 +98,7 @@ def csv_rows(t):
         "language",
         "speaker",
         F.lit("").alias("engine"),
-    ).filter("end_time >= start_time")
+    )
 
 
 @query(
@@ -108,7 +108,9 @@ def csv_rows(t):
 )
 def import_csv(t):
     path = scratch_dir(t.spark, "import")
-    csv_rows(t).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/in")
+    # An import takes all rows or none, so only rows without a violation go into the file.
+    good = journal_csv.checked(csv_rows(t)).filter(F.size("violations") == 0)
+    good.select(*csv_rows(t).columns).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/in")
     ready = journal_csv.prepare(journal_csv.read_csv(t.spark, f"{path}/in"), max_rows=None)
     stored = ready.filter("language = 'hi'")  # what an earlier import left behind
     new = journal_csv.split_new(ready, stored)
@@ -123,16 +125,21 @@ BAD = "CASE conv_id % 5 WHEN 1 THEN 'x' || date WHEN 2 THEN date WHEN 3 THEN dat
 @query(
     "import_csv_violations",
     sql("turns", f"""WITH r AS (SELECT segment_id, conv_id, {BAD} AS d, {time_of('start_us')} AS s, {time_of('end_us')} AS e, text FROM v_turns)
-    SELECT segment_id, CASE conv_id % 5 WHEN 1 THEN 'date,start_time,end_time' WHEN 2 THEN CASE WHEN e > s THEN 'order' ELSE '' END WHEN 3 THEN 'blank_text' WHEN 4 THEN 'start_time' ELSE '' END AS violations FROM r WHERE e >= s"""),
+    SELECT segment_id, CASE conv_id % 5 WHEN 1 THEN 'date,start_time,end_time' WHEN 2 THEN CASE WHEN e > s THEN 'order' ELSE '' END
+      WHEN 3 THEN concat_ws(',', CASE WHEN e < s THEN 'order' END, 'blank_text') WHEN 4 THEN 'start_time'
+      ELSE concat_ws(',', CASE WHEN e < s THEN 'order' END,
+        CASE WHEN conv_id % 2 = 0 AND (s >= '06:30:00' OR e >= '06:30:00') THEN 'other_day' END) END AS violations FROM r"""),
 )
 def import_csv_violations(t):
     s, e = local_time(F.col("start_us")), local_time(F.col("end_us"))
     k = F.col("conv_id") % 5
-    rows = t.turns.filter(e >= s).select(
+    # Times of another zone, whose local day may be the next one.
+    zone = F.when((k == 0) & (F.col("conv_id") % 2 == 0), "-12:00").otherwise("")
+    rows = t.turns.select(
         "segment_id",
         F.expr(BAD).alias("date"),
-        F.when(k == 2, e).when(k == 4, "25:00").otherwise(s).alias("start_time"),
-        F.when(k == 2, s).otherwise(e).alias("end_time"),
+        F.when(k == 2, e).when(k == 4, "25:00").otherwise(F.concat(s, zone)).alias("start_time"),
+        F.when(k == 2, s).otherwise(F.concat(e, zone)).alias("end_time"),
         F.when(k == 3, " \n").otherwise(F.col("text")).alias("text"),
     )
     out = journal_csv.checked(rows)
@@ -179,7 +186,7 @@ def write_conversations(t):
 @query(
     "upsert_daily",
     sql("segments", """SELECT date, CAST(sum(end_us - start_us) AS BIGINT) AS speech_us, count(*) AS segment_count, min(start_us) AS first_us,
-    greatest(max_by(end_us, (start_us, segment_id)) FILTER (event_id % 3 = 0), max_by(end_us, (start_us, segment_id)) FILTER (event_id % 3 <> 0)) AS last_us FROM v_segments GROUP BY date"""),
+    max_by(end_us, (start_us, segment_id)) AS last_us FROM v_segments GROUP BY date"""),
 )
 def upsert_daily(t):
     path = scratch_dir(t.spark, "daily") + "/table"
@@ -197,7 +204,7 @@ def mark_processed(t):
 
 
 HM = f"substring({time_of('start_us')}, 1, 5)"
-STEM = f"replace({HM}, ':', '') || '-' || coalesce(nullif({SLUG.replace('substring(text, 1, 100)', 'summary')}, ''), 'conversation')"
+STEM = f"replace({HM}, ':', '') || '-' || coalesce(nullif({SLUG.replace('lower(text)', 'lower(summary)')}, ''), 'conversation')"
 LF = "chr(10)"
 NOTE = f"""WITH ln AS (SELECT conv_id, turn, '[' || {time_of('start_us')} || '] ' || upper(speaker[1]) || lower(speaker[2:]) || ': ' || text AS line, status = 'low_confidence' AS low FROM v_turns),
 fu AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS full_text, list_filter(list(CASE WHEN low THEN turn END ORDER BY turn), lambda x: x IS NOT NULL) AS low FROM ln GROUP BY conv_id),
@@ -208,7 +215,7 @@ SELECT conversation_id, CAST(0 AS BIGINT) AS part, date, {STEM} AS stem,
  '---' || {LF} || 'date: ''' || date || '''' || {LF} || 'duration_seconds: ' || duration_seconds || {LF} || 'end_time: ''' || substring({time_of('end_us')}, 1, 5) || '''' || {LF}
  || 'is_pair_conversation: ' || is_pair || {LF} || 'languages:' || {LF} || array_to_string(['- ' || x || {LF} FOR x IN languages], '')
  || CASE WHEN len(low) > 0 THEN 'needs_review: true' || {LF} ELSE '' END || 'participants:' || {LF} || array_to_string(['- ' || x || {LF} FOR x IN participants], '')
- || 'quality: ' || quality || {LF} || 'source_type: ' || source_type || {LF} || 'start_time: ''' || {HM} || '''' || {LF} || 'tags:' || {LF} || '- voice-journal' || {LF} || '- conversation' || {LF}
+ || 'quality: ' || quality || {LF} || 'source_type: ' || source_type || {LF} || 'start_time: ''' || {HM} || '''' || {LF} || 'tags:' || {LF} || '- journal' || {LF} || '- conversation' || {LF}
  || CASE WHEN len(low) > 0 THEN '- needs-review' || {LF} ELSE '' END || '---' || {LF} || {LF} || '## Summary' || {LF} || {LF} || summary || {LF}
  || CASE WHEN len(low) > 0 THEN '> ⚠️ **Low confidence segments detected.** Some transcript lines may need review. Flagged lines are marked with ⚠️' || {LF} ELSE '' END
  || '## Cleaned Transcript' || {LF} || {LF} || '```transcript' || {LF} || marked || {LF} || '```' || {LF} || {LF} || '<details>' || {LF} || '<summary>Raw Transcript</summary>' || {LF} || {LF}
@@ -232,7 +239,7 @@ def render_note(t):
     "render_daily_note",
     sql("conv", f"""WITH l AS (SELECT *, '- [[Conversations/' || date || '/' || {STEM} || '|' || replace({HM}, ':', '') || ']] — ' || substring(summary, 1, 80) || CASE WHEN length(summary) > 80 THEN '...' ELSE '' END || chr(10) AS link FROM v_conv)
     SELECT date, CAST(0 AS BIGINT) AS part, '---' || {LF} || 'date: ''' || date || '''' || {LF} || 'media_flagged: ' || count(*) FILTER (source_type = 'media_or_unknown') || {LF} || 'self_talk: ' || count(*) FILTER (source_type = 'self_talk')
-    || {LF} || 'tags:' || {LF} || '- voice-journal' || {LF} || '- daily' || {LF} || 'total_conversations: ' || count(*) || {LF} || 'with_partner: ' || count(*) FILTER (is_pair) || {LF} || '---' || {LF} || {LF} || '# Voice Journal: ' || date || {LF} || {LF}
+    || {LF} || 'tags:' || {LF} || '- journal' || {LF} || '- daily' || {LF} || 'total_conversations: ' || count(*) || {LF} || 'with_partner: ' || count(*) FILTER (is_pair) || {LF} || '---' || {LF} || {LF} || '# Journal: ' || date || {LF} || {LF}
     || '## Summary' || {LF} || {LF} || '*Daily summary will be updated as conversations are recorded.*' || {LF} || {LF} || '## Conversations' || {LF} || {LF} || string_agg(link, '' ORDER BY start_us DESC, conversation_id DESC) AS note FROM l GROUP BY date"""),
 )
 def render_daily_note(t):

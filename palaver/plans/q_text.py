@@ -347,12 +347,12 @@ def voice_command(t):
     )
 
 
-SLUG = f"regexp_replace(substring(regexp_replace(regexp_replace(translate(lower(substring(text, 1, 100)), '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '')"
+SLUG = f"regexp_replace(substring(regexp_replace(regexp_replace(translate(lower(text), '{X.FOLD_FROM}', '{X.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '')"
 
 
 @query("slug", sql("texts", f"SELECT doc_id, coalesce(nullif({SLUG}, ''), 'conversation') AS slug FROM v_texts"))
 def slug(t):
-    return t.texts.select("doc_id", X.slug(F.substring("text", 1, 100)).alias("slug"))
+    return t.texts.select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 @query(

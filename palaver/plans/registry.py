@@ -60,7 +60,7 @@ class Tables:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return views.pairs(self.raw("documents"))
+        return views.pairs(self.spread("documents", "doc_id"))
 
     @cached_property
     def usage(self) -> DataFrame:

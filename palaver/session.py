@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,12 +30,8 @@ def local_session(cores: int | str = "*", app: str = "palaver") -> SparkSession:
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for checkpoints and staged tables.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, does this fall back to a temporary folder of the machine.
+    The cluster names a shared folder in ``spark.checkpoint.dir``; where that is unset, the warehouse, which
+    all executors share as well, takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/palaver/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"spark-{purpose}-", dir=os.environ.get("PALAVER_TMP"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/palaver/{purpose}-{uuid.uuid4().hex}"

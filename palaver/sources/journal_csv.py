@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palaver.functions.idents import csv_row_id, hash_id48
 from palaver.functions.text import trim_ws
@@ -11,22 +12,30 @@ from palaver.functions.timefmt import JOURNAL_OFFSET_US, local_date, parse_canon
 from palaver.schemas import IMPORT_CSV
 
 MAX_TEXT = 100_000
-MAX_ROWS = 10_000
 REQUIRED = ("date", "start_time", "end_time", "text")
 _TIME = r"^\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([+-]\d{2}:\d{2})?$"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; quoted line breaks and doubled quotes are part of a field."""
-    return (
-        spark.read.schema(IMPORT_CSV)
-        .option("header", True)
+    """All columns as text, by the names in the header; quoted line breaks are part of a field.
+
+    Columns may stand in any order, and those that are not required may be missing: they are null. All
+    files of one path share a header, since a quoted line break also makes each file one task.
+    """
+    rows = (
+        spark.read.option("header", True)
         .option("enforceSchema", False)
+        .option("inferSchema", False)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
+    missing = [c for c in REQUIRED if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    names = T.StructType.fromDDL(IMPORT_CSV).names
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names))
 
 
 def _instant(date, time):
@@ -65,7 +74,7 @@ def checked(rows: DataFrame) -> DataFrame:
     return out.withColumn("violations", bad).drop("_day")
 
 
-def prepare(rows: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
+def prepare(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Rows ready to append, or an error if any row is invalid: the import is all or nothing."""
     marked = checked(rows)
     n, bad = marked.agg(F.count("*"), F.count_if(F.size("violations") > 0)).first()

@@ -22,38 +22,31 @@ def insert_new(spark: SparkSession, path: str, rows: DataFrame, key: str, schema
 
 
 DAILY = "speech_us bigint, segment_count bigint, first_us bigint, last_us bigint, date string"
+_COUNTED = "segment_id string, start_us bigint, end_us bigint, date string"
 
 
 def upsert_daily(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
-    """Add a batch of segments to the daily totals and rewrite only the dates it touches."""
-    add = rows.groupBy("date").agg(
-        F.sum(F.col("end_us") - F.col("start_us")).alias("speech_us"),
-        F.count("*").alias("segment_count"),
-        F.min_by("start_us", F.struct("start_us", "segment_id")).alias("first_us"),
-        F.max_by("end_us", F.struct("start_us", "segment_id")).alias("last_us"),
+    """Add a batch of segments to the daily totals and rewrite only the dates it touches.
+
+    The segments counted so far lie beside the totals, by date. A batch that comes again adds none, and the
+    touched dates are computed anew from them, so the totals stay the same.
+    """
+    counted = insert_new(
+        spark, f"{path.rstrip('/')}__segments", rows.select("segment_id", "start_us", "end_us", "date"), "segment_id", _COUNTED
     )
-    try:
-        old = spark.read.schema(DAILY).parquet(path)
-        touched = old.join(add.select("date"), "date", "left_semi")
-        add = (
-            touched.unionByName(add)
-            .groupBy("date")
-            .agg(
-                F.sum("speech_us").alias("speech_us"),
-                F.sum("segment_count").alias("segment_count"),
-                F.min("first_us").alias("first_us"),
-                F.max("last_us").alias("last_us"),
-            )
+    order = F.struct("start_us", "segment_id")
+    totals = (
+        counted.join(rows.select("date").distinct(), "date", "left_semi")
+        .groupBy("date")
+        .agg(
+            F.sum(F.col("end_us") - F.col("start_us")).alias("speech_us"),
+            F.count("*").alias("segment_count"),
+            F.min_by("start_us", order).alias("first_us"),
+            F.max_by("end_us", order).alias("last_us"),
         )
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    # The merged totals are read from the table they replace, so they are written aside first.
-    aside = f"{path.rstrip('/')}__next"
-    add.write.mode("overwrite").parquet(aside)
+    )
     (
-        spark.read.parquet(aside)
-        .write.mode("overwrite")
+        totals.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)

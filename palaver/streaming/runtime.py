@@ -16,14 +16,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A Parquet table as a stream of its files. The schema is read once from the files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
-    )
+    """A Parquet table, a folder of files or one file, as a stream. The schema is read once.
+
+    A table that is not there raises an error when the schema is read.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def event_time(us: str = "start_us"):
