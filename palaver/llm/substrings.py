@@ -142,7 +142,8 @@ def _settled(runs: DataFrame) -> DataFrame:
                 past = (anchor[use - 1], context[use - 1])
             tail = rows.slice(use).combine_chunks()
 
-    order = ["anchor", "context"]
+    # The id lets a frequent run be split between partitions.
+    order = ["anchor", "context", "id"]
     ranged = runs.repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, "id long, h long, low int, high int, open boolean")
 
