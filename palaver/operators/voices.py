@@ -229,20 +229,13 @@ def enrollment_quality(
     return g.withColumn("verdict", reason)
 
 
-def zscore_match(features: DataFrame, profiles: DataFrame, key: str, max_profiles: int = 10_000) -> DataFrame:
+def zscore_match(features: DataFrame, profiles: DataFrame, key: str, shard_profiles: int = 10_000) -> DataFrame:
     """Best Gaussian profile per row by weighted z-scores of pitch and spectral centroid.
 
-    The profile table is small by nature (one row per known voice) and its size is checked before
-    it becomes one array that every row scores.
+    The profiles are counted and cut into shards of about ``shard_profiles``. Each shard is one array that
+    every row scores, and the best of the shards is the result. ``key`` names a row.
     """
-    n = profiles.count()
-    if n > max_profiles:
-        raise ValueError(f"{n} profiles; split the profile table first")
-    packed = profiles.agg(
-        F.collect_list(
-            F.struct("name", "pitch_mean", "pitch_std", "centroid_mean", "centroid_std", "multiplier")
-        ).alias("_ps")
-    )
+    shards = max(1, -(-profiles.count() // shard_profiles))
 
     def score(p):
         zp = F.abs(F.col("pitch") - p["pitch_mean"]) / p["pitch_std"]
@@ -255,8 +248,15 @@ def zscore_match(features: DataFrame, profiles: DataFrame, key: str, max_profile
             p["name"].alias("name"),
         )
 
-    best = F.array_max(F.transform("_ps", score))
-    rows = features.join(F.broadcast(packed)).withColumn("_b", best)
+    profile = F.struct("name", "pitch_mean", "pitch_std", "centroid_mean", "centroid_std", "multiplier")
+    rows = None
+    for i in range(shards):
+        packed = profiles.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == i).agg(F.collect_list(profile).alias("_ps"))
+        part = features.join(F.broadcast(packed)).withColumn("_b", F.array_max(F.transform("_ps", score))).drop("_ps")
+        rows = part if rows is None else rows.unionByName(part)
+    if shards > 1:
+        tops = rows.groupBy(key).agg(F.max("_b").alias("_b"))
+        rows = features.join(tops, key)
     good = (F.col("voiced_ratio") >= 0.1) & (F.col("_b.s") >= 0.5)
     hit = good & F.col("_b.near")
     return rows.select(

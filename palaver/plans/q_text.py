@@ -59,15 +59,12 @@ pc AS (SELECT doc_id, p, i, (length(text) - length(replace(text, p, ''))) // len
 pr AS (SELECT doc_id, min_by(p, i) AS p, min_by(n, i) AS n FROM pc WHERE n >= 3 GROUP BY doc_id)"""
 
 
-# Only texts without a repeated word are tested for phrases, as in the scoring order.
 @query(
     "repetitive_phrase",
-    sql("texts", f"WITH {REPEATED}, {PHRASES.replace('@where', 'WHERE doc_id NOT IN (SELECT doc_id FROM r)')} SELECT doc_id, coalesce(pr.p, '') AS phrase FROM v_texts LEFT JOIN pr USING (doc_id)"),
+    sql("texts", f"WITH {REPEATED}, {PHRASES.replace('@where', '')} SELECT doc_id, coalesce(pr.p, '') AS phrase FROM v_texts LEFT JOIN pr USING (doc_id)"),
 )
 def repetitive_phrase(t):
-    text = F.col("text")
-    phrase = F.when(Q.repetitive_word(text).isNull(), Q.repetitive_phrase(text))
-    return t.texts.select("doc_id", F.coalesce(phrase, F.lit("")).alias("phrase"))
+    return t.texts.select("doc_id", F.coalesce(Q.repetitive_phrase(F.col("text")), F.lit("")).alias("phrase"))
 
 
 SHORT = f"(word_count < 3 AND (len(list_filter({words_of(LOW)}, lambda x: NOT list_contains({FILLER_LIST}, x))) = 0 OR word_count = 0))"

@@ -62,3 +62,12 @@ def test_a_repeated_batch_changes_no_total(spark, tmp_path):
     once = sorted(map(tuple, upsert_daily(spark, path, df).collect()))
     assert sorted(map(tuple, upsert_daily(spark, path, df.where("segment_id <> 'c'")).collect())) == once
     assert once == [(S, 1, 0, S, "2024-01-02"), (7 * S, 2, 0, 9 * S, "2024-01-01")]
+
+
+def test_profile_shards_give_the_same_speaker(spark):
+    from palaver.operators.voices import zscore_match
+
+    features = spark.createDataFrame([(i, i % 13 / 2.0 + 0.1, i % 7 / 3.0 + 0.1, 0.5) for i in range(40)], "k int, pitch double, centroid double, voiced_ratio double")
+    profiles = spark.createDataFrame([(f"p{i}", i / 3.0, 0.2 + i % 3 / 10, i / 5.0, 0.3, 2.0) for i in range(20)], "name string, pitch_mean double, pitch_std double, centroid_mean double, centroid_std double, multiplier double")
+    one = sorted(map(tuple, zscore_match(features, profiles, "k").collect()))
+    assert sorted(map(tuple, zscore_match(features, profiles, "k", shard_profiles=6).collect())) == one
