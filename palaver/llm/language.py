@@ -26,7 +26,7 @@ from palaver.llm.words import NOT_SPACE, Words, steps
 WORD_BYTES = 48
 #: Each byte of a piece carries this factor, so that products stay inside the range of doubles.
 SCALE = 1e4
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_500_000
 UNKNOWN = "und"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 

@@ -21,7 +21,7 @@ from palaver.llm.tokenize import WordEncoder
 from palaver.llm.words import steps
 
 #: Text that one plan of cuts spans. Windows do not cross it, which costs one short window at most.
-BLOCK_BYTES = 10_000_000
+BLOCK_BYTES = 4_000_000
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -174,6 +174,8 @@ def pack(
             sequence += len(cuts)
             for row in range(0, out.num_rows, 4096):
                 yield out.slice(row, 4096)
+        # A worker may go on to other work, which needs the memory.
+        encoder.forget()
 
     source = docs.selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"cast(`{text}` as string) text")
     return source.mapInArrow(run, PIECES)

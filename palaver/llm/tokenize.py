@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from palaver.llm.words import text_bytes
 
 #: Distinct words that a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _LETTER, _DIGIT, _OTHER, _ODD = 0, 1, 2, 3
 
 
@@ -56,6 +56,10 @@ class WordEncoder:
         fold[ord("A") : ord("Z") + 1] += 32
         self.fold = fold
 
+    def forget(self) -> None:
+        self.known = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another as unsigned 32-bit numbers, and the number per text."""
         pieces = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
