@@ -38,9 +38,11 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item; a row is known by its id and a hash of its text."""
+    own = F.xxhash64(F.col("doc_id").isNull(), F.col("text"))
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_text": own})
+    found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("_id", "_text"))
+    return keyed.join(found.select("_id", "_text").distinct(), ["_id", "_text"], "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_stages_take_effect(spark, stages):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.leaks(clean, items).count() == 0
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in packed.collect()}
+
+
+def test_only_leaking_rows_go(spark, stages):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item, "en", "s", 1), (None, "clean", "en", "s", 1), (5, "x " + item, "en", "s", 1), (5, "", "en", "s", 1), (6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, stages[0].schema)
+    got = corpus_pipeline.uncontaminated(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("5", ""), ("6", "None"), ("None", "clean")]
