@@ -18,18 +18,24 @@ THRESHOLD = 0.8
 BANDS, ROWS = 6, 2
 #: Neighbours in a band with which each line is compared, besides the first line of the band.
 NEIGHBOURS = 6
-#: Shingles of twelve characters from the begin of each ASCII word ...
-_AT_WORDS = r"\b(?=(\w.{0,11}))"
-#: ... or, for a line with fewer than one such word in 24 characters, eight characters from everywhere.
-_ANYWHERE = r"(?=(.{1,8}))"
+#: Characters of a shingle, and places of a chunk of a line from which shingles are taken at once.
+WIDTH, CHUNK = 8, 32
 #: Candidate lines up to which their ids are broadcast (16 bytes each); more are shuffled with the lines.
 BROADCAST_LINES = 1_000_000
 
 
 def _shingles(line) -> F.Column:
-    words = F.regexp_extract_all(line, F.lit(_AT_WORDS), F.lit(1))
-    few = F.length(line) > 24 * F.size(words)
-    return F.when(few, F.regexp_extract_all(line, F.lit(_ANYWHERE), F.lit(1))).otherwise(words)
+    """Overlapping shingles from every character of a line; the last ones end with the line and are shorter."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{WIDTH}}}))."), F.lit(1))
+
+
+def _each_shingle(lines: DataFrame) -> DataFrame:
+    """(lid, s): hashes of the same shingles as rows, cut from short overlapping chunks without a regex for each."""
+    chunks = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(.{{1,{CHUNK + WIDTH - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    rows = lines.select("lid", F.explode(chunks).alias("chunk"))
+    places = F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK)))
+    each = rows.select("lid", "chunk", F.explode(places).alias("k"))
+    return each.select("lid", F.xxhash64(F.substring("chunk", F.col("k"), F.lit(WIDTH))).alias("s"))
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -52,8 +58,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """Least shingle hashes of each distinct line; copies in one task are merged before the shuffle."""
-    each = lines.select("lid", F.explode(_shingles(F.col("line"))).alias("s")).select("lid", F.xxhash64("s").alias("s"))
-    return each.groupBy("lid").agg(*(F.min(F.hash("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
+    return _each_shingle(lines).groupBy("lid").agg(*(F.min(F.hash("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)))
 
 
 def _meetings(signatures: DataFrame) -> DataFrame:

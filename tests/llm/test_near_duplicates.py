@@ -157,3 +157,20 @@ def test_lines_equal_brute_force(frame):
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_lines(rows), key=str)
     assert line_dedup.dedupe_lines(frame([], "doc_id long, text string")).count() == 0
+
+
+def plain(line):
+    return {line[i : i + 8] for i in range(len(line))}
+
+
+def test_lines_are_compared_beyond_word_starts(frame):
+    texts = ["1. Введение в анализ", "1. Введение в алгебру", "第1章 統計の基礎を学ぶ", "第1章 統計の応用を学ぶ"]
+    texts += ["antidisestablishmentarian", "antidisestablishment_other", "x" + "".join(map(chr, range(0x400, 0x4FF))), "y" + "".join(map(chr, range(0x400, 0x4FF)))]
+    texts += ["".join(map(chr, range(0x1F600, 0x1F640))), "!" + "".join(map(chr, range(0x1F600, 0x1F640)))]
+    for i, a in enumerate(texts):
+        for j in range(i):
+            common = len(plain(a) & plain(texts[j]))
+            if common >= 0.8 * len(plain(a) | plain(texts[j])):
+                assert i - j == 1 and i in (7, 9)
+    got = line_dedup.dedupe_lines(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.text == ""} == {7, 9}
