@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash, in SQL functions only.
 
-Lines are sets of character shingles. Their signatures are banded with high recall; lines that meet in a
-band are compared exactly, and a distributed union-find keeps one line of each component.
+Lines are sets of character shingles. Their signatures are banded with high recall; all lines that meet in a
+band are compared exactly unless they are linked already, and a distributed union-find keeps one line of each
+component.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from palaver.llm.scratch import staged
 THRESHOLD = 0.8
 #: Bands of two hashes each: a pair at the threshold is missed with (1 - 0.64) ** 6, or 0.2 %.
 BANDS, ROWS = 6, 2
-#: Neighbours in a band with which each line is compared, besides the first line of the band.
+#: Neighbours in a band with which each line is compared first, besides the first line of the band.
 NEIGHBOURS = 6
+#: Lines, and characters of lines, of one block of a larger band; all pairs of two blocks are compared at once.
+BLOCK, BLOCK_CHARS = 512, 1_000_000
 #: Characters of a shingle, and places of a chunk of a line from which shingles are taken at once.
 WIDTH, CHUNK = 8, 32
 #: Candidate lines up to which their ids are broadcast (16 bytes each); more are shuffled with the lines.
@@ -62,10 +65,10 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _meetings(signatures: DataFrame) -> DataFrame:
-    """Pairs of lines that stand next to each other, or next to the first line, in a band.
+    """(key, lid, others, size): lines of each band of two or more, with those next to them and the first one.
 
-    Inside a band lines are sorted by the next band's key, so the most similar ones are neighbours. The
-    pairs grow with the lines of a band, not with its pairs; other bands give other neighbours.
+    Inside a band lines are sorted by the next band's key, so the most similar ones are neighbours. A band of
+    up to ``NEIGHBOURS + 1`` lines has all its pairs here; the others grow with the lines, not with the pairs.
     """
     keys = [
         F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)
@@ -75,26 +78,122 @@ def _meetings(signatures: DataFrame) -> DataFrame:
     ).select("lid", "band.key", F.hash("band.rest").alias("rest"))
     line = Window.partitionBy("key").orderBy("rest", "lid")
     others = [F.lag("lid", i).over(line) for i in range(1, NEIGHBOURS + 1)] + [F.first("lid").over(line)]
-    pairs = rows.select("lid", F.array(*others).alias("others")).where("others[0] is not null")
-    pairs = pairs.select(F.col("lid").alias("x"), F.explode("others").alias("y")).where("y is not null and x != y")
+    size = F.count("*").over(Window.partitionBy("key"))
+    return rows.select("key", "lid", F.array(*others).alias("others"), size.alias("size")).where("size > 1")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs of a line and the others it is compared with first."""
+    pairs = met.select(F.col("lid").alias("x"), F.explode("others").alias("y")).where("y is not null and x != y")
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _alike(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold, as edges."""
-    wanted = staged(pairs.select(F.explode(F.array("x", "y")).alias("lid")).distinct())
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, line): the wanted lines, each once."""
     small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     found = lines.select("lid", "line").join(F.broadcast(wanted) if small else wanted, "lid")
-    sets = staged(
-        found.dropDuplicates(["lid"]).select(
-            "lid", F.array_distinct(F.transform(_shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("set")
+    return staged(found.dropDuplicates(["lid"]))
+
+
+def _set(line) -> F.Column:
+    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+
+
+def _is_alike(a, b, threshold: float) -> F.Column:
+    """Whether two sets reach the similarity; sets of too different sizes are not intersected."""
+    common = F.size(F.array_intersect(a, b))
+    near = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
+    return near & (common >= threshold * (F.size(a) + F.size(b) - common))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact Jaccard similarity reaches the threshold, as edges; lines travel, not their sets."""
+    left = texts.select(F.col("lid").alias("x"), F.col("line").alias("a"))
+    right = texts.select(F.col("lid").alias("y"), F.col("line").alias("b"))
+    both = pairs.join(left, "x").join(right, "y")
+    sets = both.select("x", "y", F.array(_set(F.col("a")), _set(F.col("b"))).alias("sets"))
+    alike = F.filter("sets", lambda a, i: (i == 0) & _is_alike(a, F.element_at("sets", 2), threshold))
+    return sets.where(F.size(alike) > 0).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def _cells(met: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left, right): lines of larger bands that are not yet one component, in blocks, so that each pair meets.
+
+    Bands of the same lines are taken once. A band's lines grow by the number of its blocks.
+    """
+    inside = (
+        met.where(F.col("size") > NEIGHBOURS + 1)
+        .select("key", "lid")
+        .join(texts.select("lid", F.length("line").alias("n")), "lid")
+        .join(components, F.col("lid") == F.col("node"), "left")
+        .select("key", "lid", "n", F.coalesce("component", "lid").alias("component"))
+    )
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_CHARS)).cast("int")
+    open_ = (
+        inside.groupBy("key")
+        .agg(
+            blocks.alias("blocks"),
+            (F.min("component") != F.max("component")).alias("open"),
+            F.bit_xor(F.xxhash64("lid")).alias("mark"),
+            F.bit_xor(F.xxhash64("lid", F.lit(1))).alias("mark2"),
         )
+        .where("open")
+        .dropDuplicates(["mark", "mark2"])
+        .select("key", "blocks")
     )
-    left = sets.select(F.col("lid").alias("x"), F.col("set").alias("a"))
-    right = sets.select(F.col("lid").alias("y"), F.col("set").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    both = pairs.join(left, "x").join(right, "y")
-    return both.where(common >= threshold * (F.size("a") + F.size("b") - common)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    placed = inside.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("lid", F.lit(11)), "blocks").cast("int"))
+    # Block i is on the left of the cells (i, j) with j >= i, and on the right of the cells (j, i) with j < i.
+    every = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(
+            F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), (j >= F.col("block")).alias("left")
+        ),
+    )
+    one = F.struct("component", "line")
+    return (
+        placed.select("key", "lid", "component", F.explode(every).alias("c"))
+        .join(texts, "lid")
+        .groupBy("key", "c.i", "c.j")
+        .agg(
+            F.collect_list(F.when(F.col("c.left"), one)).alias("left"),
+            F.collect_list(F.when(~F.col("c.left"), one)).alias("right"),
+        )
+    )
+
+
+def _across(cells: DataFrame, threshold: float) -> DataFrame:
+    """Edges between components that hold alike lines: every pair of a cell from different ones is compared.
+
+    A cell returns each pair of components once, so edges do not grow with the pairs of lines.
+    """
+
+    def sets(side: str) -> F.Column:
+        return F.transform(side, lambda x: F.struct(x.component.alias("component"), _set(x.line).alias("set")))
+
+    both = cells.select((F.size("right") == 0).alias("alone"), sets("left").alias("left"), sets("right").alias("right"))
+    both = both.select("left", F.when(F.col("alone"), F.col("left")).otherwise(F.col("right")).alias("right"), "alone")
+
+    def partners(a) -> F.Column:
+        found = F.filter(
+            "right",
+            lambda b: ((a.component < b.component) | (~F.col("alone") & (a.component > b.component)))
+            & _is_alike(a.set, b.set, threshold),
+        )
+        return F.array_distinct(F.transform(found, lambda b: F.struct(a.component.alias("u"), b.component.alias("v"))))
+
+    edges = F.array_distinct(F.flatten(F.transform("left", partners)))
+    return both.select(F.explode(edges).alias("e")).select("e.u", "e.v").distinct()
+
+
+def _components(met: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Components of alike lines: by neighbours first, then by all pairs of larger bands that these leave apart."""
+    pairs = staged(_pairs(met))
+    texts = _texts(staged(met.select("lid").distinct()), lines)
+    first = staged(connected_components(_alike(pairs, texts, threshold)))
+    more = staged(_across(_cells(met, first, texts), threshold))
+    if not more.limit(1).count():
+        return first
+    return connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def dedupe_lines(
@@ -103,15 +202,13 @@ def dedupe_lines(
     """The rows with ``text`` reduced to the lines that stay, and ``n_lines``, ``n_removed``.
 
     Of all lines of a component the first stays, by ``doc_id``, then by its number in the text. Equal lines
-    are one line. Blank lines are never compared and always stay; a line without a shingle (signs only) is
-    compared by equality alone. Null texts count as empty and stay null; null ids come as 0 in the order.
+    are one line. Blank lines are never compared and always stay. Null texts count as empty and stay null; null ids come as 0 in the order.
     Rows that agree in id and text are one document and come out alike. All other columns pass unchanged;
     input columns named ``n_lines`` or ``n_removed`` are replaced. An empty table gives no rows.
     """
     keyed = _keyed(docs, text, doc_id)
     lines = _lines(keyed)
-    pairs = staged(_meetings(_signatures(lines)))
-    components = connected_components(_alike(pairs, lines, threshold))
+    components = _components(staged(_meetings(_signatures(lines))), lines, threshold)
     first = lines.groupBy("lid").agg(F.min(F.struct("id", "n", "h")).alias("at"))
     kept = (
         first.join(components, first.lid == components.node, "left")
