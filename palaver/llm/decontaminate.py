@@ -43,6 +43,25 @@ def _places(texts: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "w", F.xxhash64(mask, *words).alias("hash"), place.alias("place"))
 
 
+def _any_stretch(same: str, share: float, least: int) -> F.Column:
+    """Whether any ``least`` or more neighbouring values of a column of 0 and 1 have a mean of ``share``.
+
+    Running sums of value less share: the end of a stretch against the least sum ``least`` or more before it.
+    """
+    start = F.struct(F.lit(0.0).alias("end"), F.lit(0.0).alias("begin"), F.lit(0.0).alias("low"), F.lit(False).alias("ok"))
+
+    def step(s, k):
+        end = s.end + F.get(F.col(same), k) - share
+        begin = F.when(k >= least, s.begin + F.get(F.col(same), F.greatest(k - least, F.lit(0))) - share).otherwise(F.lit(0.0))
+        low = F.least(s.low, begin)
+        return F.struct(
+            end.alias("end"), begin.alias("begin"), low.alias("low"), (s.ok | ((k >= least - 1) & (end - low >= -1e-9))).alias("ok")
+        )
+
+    places = F.sequence(F.lit(0), F.size(same) - 1)
+    return (F.size(same) >= least) & F.aggregate(places, start, step, lambda s: s.ok)
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -58,8 +77,8 @@ def leaks(
 
     ``row`` numbers the rows of ``docs`` in one run of the plan. An alignment covers the words of the item
     that fall inside the text; it is a leak if at least ``least_words`` of them
-    are aligned and ``least_share`` of those are equal, or, for a part of an item, if the part between the
-    first and the last hit is. Null texts and items count as empty; texts and items under ``SPAN`` words have
+    are aligned and ``least_share`` of those are equal, or, for a part of an item, if any stretch of the
+    alignment is. Null texts and items count as empty; texts and items under ``SPAN`` words have
     no place and leak nothing. Repeated rows and rows with null ids are texts of their own; a null item id is kept.
     Other columns are not read. The benchmark is counted first: up to ``BROADCAST_PLACES`` places it is
     broadcast, beyond that both sides are shuffled by hash.
@@ -91,36 +110,28 @@ def leaks(
             "item_row",
             "item",
             "shift",
-            "place",
             "low",
             F.slice("w", F.col("low") + 1, high - F.col("low")).alias("a"),
             F.slice("item_w", F.col("low") - F.col("shift") + 1, high - F.col("low")).alias("b"),
         )
         .groupBy("row", *keep, "item_row", "item", "shift", "low")
-        .agg(F.first("a").alias("a"), F.first("b").alias("b"), F.min("place").alias("first_hit"), F.max("place").alias("last_hit"))
+        .agg(F.first("a").alias("a"), F.first("b").alias("b"))
     )
     same = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
-
-    def total(x):
-        return F.aggregate(x, F.lit(0), lambda s, y: s + y)
-
-    inner = F.slice(same, F.col("first_hit") - F.col("low") + 1, F.col("last_hit") - F.col("first_hit") + SPAN)
-    checked = lines.select(
+    checked = lines.select("row", *keep, "item_row", "item", F.col("low").alias("first_word"), same.alias("same")).select(
         "row",
         *keep,
         "item_row",
         "item",
-        F.col("low").alias("first_word"),
-        F.size("a").alias("n_aligned"),
-        total(same).alias("n_equal"),
-        F.size(inner).alias("n_inner"),
-        total(inner).alias("inner_equal"),
+        "first_word",
+        F.size("same").alias("n_aligned"),
+        F.aggregate("same", F.lit(0), lambda s, x: s + x).alias("n_equal"),
+        _any_stretch("same", least_share, least_words).alias("part"),
     )
     whole = (F.col("n_aligned") >= least_words) & (F.col("n_equal") >= F.col("n_aligned") * least_share)
-    part = (F.col("n_inner") >= least_words) & (F.col("inner_equal") >= F.col("n_inner") * least_share)
     best = F.max_by(F.struct("first_word", "n_aligned", "n_equal"), F.struct("n_equal", -F.col("first_word"))).alias("best")
     return (
-        checked.where(whole | part)
+        checked.where(whole | F.col("part"))
         .groupBy("row", *keep, "item_row", "item")
         .agg(best)
         .select("row", *keep, "item", "best.*")

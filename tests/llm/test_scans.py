@@ -112,3 +112,14 @@ def test_leaks_with_substitutions(frame):
     items = frame([(9, " ".join(item)), (10, None), (11, "too short"), (None, "q " * 40)], "item_id long, text string")
     got = sorted(((r.doc_id, r.item, r.first_word) for r in decontaminate.leaks(docs, items).collect()), key=str)
     assert got == sorted([(1, 9, 1), (1, 9, 1), (2, 9, 3), (3, 9, 0), (None, 9, 0)], key=str)
+
+
+def test_parts_of_one_diagonal_are_judged_alone(frame):
+    item = [f"i{k}" for k in range(50)]
+    both = item[:12] + [f"x{k}" for k in range(26)] + item[38:]
+    chance = item[:12] + [f"y{k}" for k in range(28)] + item[40:]
+    thin = [w if k % 3 else f"z{k}" for k, w in enumerate(item)]
+    rows = [(1, " ".join(both)), (2, " ".join(["a", *chance, "b"])), (3, " ".join(thin)), (4, " ".join(item[:9] + thin[:1] * 41))]
+    docs, items = frame(rows, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.first_word, r.n_aligned, r.n_equal) for r in got) == [(1, 0, 50, 24), (2, 1, 50, 22)]
