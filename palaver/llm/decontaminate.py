@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing, in SQL functions only.
 
-A fixed mask picks some of ``SPAN`` consecutive words and ignores the others, so a place keeps its hash if
+A fixed mask picks some of a few consecutive words and ignores the others, so a place keeps its hash if
 only ignored words were replaced. Hashes of all places of the training texts are joined with those of the
 benchmark; each hit gives an alignment, along which the words of both are compared.
 """
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from palaver.llm.scratch import staged
 
-#: Fixed masks over 10 consecutive words; each ignores three words, and any three are ignored by few.
-MASKS = ((0, 1, 2, 4, 5, 7, 9), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 6, 7, 9), (0, 2, 4, 5, 7, 8, 9))
-SPAN = 10
+#: Fixed masks of five words over at most ten. Any quarter of the words of 10, 12 or 16 neighbouring words may be
+#: replaced and some mask still hits one place; longer stretches hold one of 10 to 19 words that lost no more.
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 6, 7), (0, 3, 4, 5, 6), (0, 1, 2, 3, 4))
 #: Share of equal words along an alignment, and the least number of aligned words, that make a leak.
 LEAST_SHARE = 0.75
 LEAST_WORDS = 10
@@ -29,18 +29,21 @@ def word_hashes(text) -> F.Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _places(texts: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per mask and place of a text: hash, place, and the columns ``keep``; ``w`` must be there.
+def _places(texts: DataFrame, keep: list[str], least: int) -> DataFrame:
+    """One row per mask and place of a text of ``least`` words or more: hash, place, and the columns ``keep``.
 
-    The offsets are looked up by the number of the mask, so that one short hash expression serves all.
+    ``w`` must be there. The offsets are looked up by the number of the mask, so that one short hash expression
+    serves all.
     """
     masks, picks = len(MASKS), len(MASKS[0])
-    count = (F.size("w") - SPAN + 1) * masks
-    rows = texts.where(F.size("w") >= SPAN).select(*keep, "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    rows = texts.where(F.size("w") >= max(least, picks)).select(
+        *keep, "w", F.explode(F.sequence(F.lit(0), F.size("w") * masks - 1)).alias("k")
+    )
     offsets = F.array(*(F.lit(i) for mask in MASKS for i in mask))
     mask, place = F.expr(f"k % {masks}"), F.expr(f"cast(k div {masks} as int)")
+    inside = place + F.get(offsets, mask * picks + picks - 1) < F.size("w")
     words = [F.get(F.col("w"), place + F.get(offsets, mask * picks + j)) for j in range(picks)]
-    return rows.select(*keep, "w", F.xxhash64(mask, *words).alias("hash"), place.alias("place"))
+    return rows.where(inside).select(*keep, "w", F.xxhash64(mask, *words).alias("hash"), place.alias("place"))
 
 
 def _any_stretch(same: str, share: float, least: int) -> F.Column:
@@ -78,8 +81,8 @@ def leaks(
     ``row`` numbers the rows of ``docs`` in one run of the plan. An alignment covers the words of the item
     that fall inside the text; it is a leak if at least ``least_words`` of them
     are aligned and ``least_share`` of those are equal, or, for a part of an item, if any stretch of the
-    alignment is. Null texts and items count as empty; texts and items under ``SPAN`` words have
-    no place and leak nothing. Repeated rows and rows with null ids are texts of their own; a null item id is kept.
+    alignment is. Null texts and items count as empty; texts and items under ``least_words``
+    words leak nothing. Repeated rows and rows with null ids are texts of their own; a null item id is kept.
     Other columns are not read. The benchmark is counted first: up to ``BROADCAST_PLACES`` places it is
     broadcast, beyond that both sides are shuffled by hash.
     """
@@ -90,10 +93,10 @@ def leaks(
             word_hashes(F.col(f"`{item_text}`")).alias("w"),
         )
     )
-    test = _places(items, ["item_row"]).select("hash", F.col("place").alias("item_place"), "item_row")
+    test = _places(items, ["item_row"], least_words).select("hash", F.col("place").alias("item_place"), "item_row")
     items = items.select("item_row", "item", F.col("w").alias("item_w"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), *keep, word_hashes(F.col(f"`{text}`")).alias("w"))
-    train = _places(texts, ["row", *keep])
+    train = _places(texts, ["row", *keep], least_words)
     small = test.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
     hits = train.join(F.broadcast(test) if small else test, "hash").join(
         F.broadcast(items) if small else items, "item_row"

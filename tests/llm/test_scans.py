@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -119,7 +121,39 @@ def test_parts_of_one_diagonal_are_judged_alone(frame):
     both = item[:12] + [f"x{k}" for k in range(26)] + item[38:]
     chance = item[:12] + [f"y{k}" for k in range(28)] + item[40:]
     thin = [w if k % 3 else f"z{k}" for k, w in enumerate(item)]
-    rows = [(1, " ".join(both)), (2, " ".join(["a", *chance, "b"])), (3, " ".join(thin)), (4, " ".join(item[:9] + thin[:1] * 41))]
+    rows = [(1, " ".join(both)), (2, " ".join(["a", *chance, "b"])), (3, " ".join(thin)), (4, " ".join(item[:7] + thin[:1] * 43))]
     docs, items = frame(rows, "doc_id long, text string"), frame([(1, " ".join(item))], "item_id long, text string")
     got = decontaminate.leaks(docs, items).collect()
     assert sorted((r.doc_id, r.first_word, r.n_aligned, r.n_equal) for r in got) == [(1, 0, 50, 24), (2, 1, 50, 22)]
+
+
+def test_masks_hit_every_allowed_substitution():
+    for size in (10, 12, 16):
+        for lost in combinations(range(size), size // 4):
+            places = ((at, m) for m in decontaminate.MASKS for at in range(size - m[-1]))
+            assert any(all(at + i not in lost for i in m) for at, m in places), (size, lost)
+
+
+def brute_leak(text, item):
+    for shift in range(1 - len(item), len(text)):
+        low, high = max(shift, 0), min(shift + len(item), len(text))
+        same = [text[i] == item[i - shift] for i in range(low, high)]
+        if any(4 * sum(same[i:j]) >= 3 * (j - i) for i in range(len(same)) for j in range(i + 10, len(same) + 1)):
+            return True
+    return False
+
+
+def test_leaks_equal_brute_force(frame):
+    rng = random.Random(6)
+    items = [[f"w{rng.randrange(400)}" for _ in range(n)] for n in (9, 10, 11, 12, 15, 16, 17, 20, 24, 40)]
+    texts = []
+    for item in items:
+        for lost in (len(item) // 4, len(item) // 4 + 1):
+            for _ in range(6):
+                gone = set(rng.sample(range(len(item)), lost))
+                texts.append(["a", *(f"x{k}" if k in gone else w for k, w in enumerate(item)), "b"])
+        texts.append([f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item)])
+    docs = frame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = frame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if brute_leak(t, item)}
