@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, jaccard_join, language, line_dedup, packing
@@ -31,10 +31,20 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near duplicates."""
-    classes = jaccard_join.jaccard_join(docs)
-    losers = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """One document, that with the least id, of each class of near duplicates; rows without an id come last.
+
+    Of rows that agree in id and text too, one stays. Texts without words are in no class and all stay.
+    """
+    rows = staged(jaccard_join.classes(docs).select("doc_id", "key", "h", "class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "h")).alias("first")
+    kept = rows.where("class is not null").groupBy("class").agg(first).select("first.key", "first.h", F.lit(True).alias("_one"))
+    free = rows.where("class is null").select("key", "h", F.lit(False).alias("_one")).distinct()
+    marks = kept.unionByName(free).withColumnsRenamed({"key": "_key", "h": "_h"})
+    key, h = jaccard_join.row_key()
+    found = docs.withColumns({"_key": key, "_h": h}).join(marks, ["_key", "_h"])
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    number = F.row_number().over(Window.partitionBy("_key", "_h").orderBy(F.xxhash64(F.lit(0), *others)))
+    return found.withColumn("_n", number).where(~F.col("_one") | (F.col("_n") == 1)).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palaver.llm import jaccard_join as jj
 from palaver.llm import line_dedup
 from palaver.llm.graph import connected_components
@@ -194,3 +195,16 @@ def test_lines_are_compared_beyond_word_starts(frame):
                 assert i - j == 1 and i in (7, 9)
     got = line_dedup.dedupe_lines(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in got if r.text == ""} == {7, 9}
+
+
+def test_one_row_of_each_class_stays(frame, spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a, "s"), (None, a, "s"), (None, a, "t"), (7, b, "s"), (7, b, "s"), (5, c, "s"), (9, d, "s")]
+    # Id 9 is the first of the class of d and the last of the class of c; blank texts are in no class.
+    rows += [(9, c + " end", "s"), (9, d + " end", "t"), (None, c, "s"), (3, " ", "s"), (3, " ", "s"), (None, None, "s")]
+    got = corpus_pipeline.unique_documents(spark, frame(rows, "doc_id long, text string, source string"), "")
+    assert got.columns == ["doc_id", "text", "source"]
+    out = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(x for x, t in out if x is not None) == [3, 3, 5, 7, 9] and (7, b) in out and (5, c) in out
+    assert sum(t == a for _, t in out) == 1 and sum((t or "").startswith(d) for _, t in out) == 1
+    assert (None, None) in out and len(out) == 7
