@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontaminate, jaccard_join, language, license_scan, line_dedup, packing, secret_scan, substrings, topk, toxicity
+from palaver.llm import decontaminate, jaccard_join, language, license_scan, line_dedup, merkle, packing, secret_scan, substrings, topk, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+MERKLE_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+_FIELD_SQL = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+# CRC-32 of the decimal id, bit by bit, as DuckDB has no such function.
+MERKLE_SQL = f"""
+WITH RECURSIVE bits AS (
+  SELECT n, CAST(n AS UBIGINT) AS c, 0 AS i FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, i + 1 FROM bits WHERE i < 8),
+crcs AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE i = 8),
+l AS (SELECT row_number() OVER () AS rid, doc_id, lang, sha256({" || ".join(_FIELD_SQL.format(f) for f in MERKLE_FIELDS)}) AS leaf,
+  sha256({" || ".join(_FIELD_SQL.format("n_chars + 1" if f == "n_chars" else f) for f in MERKLE_FIELDS)}) AS bad,
+  CAST(doc_id AS VARCHAR) AS s FROM documents),
+crc AS (SELECT rid, s, 4294967295::UBIGINT AS c, 1 AS i FROM l WHERE s IS NOT NULL
+  UNION ALL SELECT rid, s, xor(c >> 8, t[CAST(xor(c & 255, ascii(s[i])::UBIGINT) AS BIGINT) + 1]), i + 1 FROM crc, crcs WHERE i <= length(s)),
+touched AS (SELECT rid FROM crc WHERE i > length(s) AND xor(c, 4294967295::UBIGINT) % 7 = 0),
+leaves AS (SELECT l.*, CASE WHEN k.rid IS NULL THEN leaf ELSE bad END AS start,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l LEFT JOIN touched k USING (rid)),
+up AS (SELECT lang, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, lvl, n, pos // 2),
+tops AS (SELECT lang, h AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up WHERE n = 1),
+over AS (SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM tops
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM over WHERE n > 1 GROUP BY lvl, n, pos // 2),
+nodes AS (SELECT pos0.pos AS tree, u.lvl, u.pos, u.h, u.n FROM up u JOIN tops pos0 ON u.lang IS NOT DISTINCT FROM pos0.lang WHERE u.n > 1
+  UNION ALL SELECT -1, lvl, pos, h, n FROM over WHERE n > 1),
+climb AS (SELECT f.rid, CASE WHEN t.height = 0 THEN -1 ELSE t.pos END AS tree, t.pos AS own, t.height,
+    0 AS lvl, CASE WHEN t.height = 0 THEN t.pos ELSE f.pos END AS pos, f.start AS h, '' AS siblings
+  FROM leaves f JOIN tops t ON f.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT c.rid, CASE WHEN c.tree >= 0 AND c.lvl + 1 = c.height THEN -1 ELSE c.tree END, c.own, c.height,
+    CASE WHEN c.tree >= 0 AND c.lvl + 1 = c.height THEN 0 ELSE c.lvl + 1 END,
+    CASE WHEN c.tree >= 0 AND c.lvl + 1 = c.height THEN c.own ELSE c.pos // 2 END,
+    sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || c.h ELSE c.h || coalesce(s.h, '') END), c.siblings || coalesce(s.h, '')
+  FROM climb c JOIN nodes n ON n.tree = c.tree AND n.lvl = c.lvl AND n.pos = c.pos
+    LEFT JOIN nodes s ON s.tree = c.tree AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)),
+height AS (SELECT max(lvl) AS h FROM over)
+SELECT f.doc_id, f.leaf, t.subroot, r.h AS root, sha256(c.siblings) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM climb c JOIN leaves f USING (rid) JOIN tops t ON f.lang IS NOT DISTINCT FROM t.lang, (SELECT h FROM over WHERE n = 1) r, height
+WHERE c.tree = -1 AND c.lvl = height.h
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = [F.col(f) + F.when(tampered, 1).otherwise(0) if f == "n_chars" else F.col(f) for f in MERKLE_FIELDS]
+    manifest = merkle.build(docs, fields=MERKLE_FIELDS, group="lang", order="doc_id", start=merkle.record_hash(*changed))
+
+    def text(c: str):
+        return F.lower(F.hex(c))
+
+    return merkle.climb(manifest).select(
+        "doc_id",
+        text("leaf").alias("leaf"),
+        text("subroot").alias("subroot"),
+        F.lit(manifest.root).alias("root"),
+        F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"),
+        text("folded").alias("folded_root"),
+        (text("folded") == manifest.root).alias("verified"),
+    )
