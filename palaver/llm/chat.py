@@ -7,14 +7,13 @@ are escaped so that they can be taken back.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,6 @@ from palaver.llm.ranks import bounded, in_chunks
 from palaver.llm.scratch import staged
 
 ESCAPE = "\\"
-SEGMENTS = "array<struct<text:string,loss:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -69,18 +67,20 @@ class Template:
     def states(self) -> list[str]:
         return sorted({self.start, *self.final, *(s for s, _ in self.steps), *self.steps.values()})
 
-    def _pattern(self, escapes: str) -> str:
+    def _parts(self) -> tuple[str, str, str]:
         heads = "".join(sorted({c[0] for c in self.controls}))
         tails = "|".join(re.escape(c[1:]) for c in self.controls)
-        return f"([{re.escape(heads)}])({re.escape(ESCAPE)}{escapes})({tails})"
+        return f"([{re.escape(heads)}])", re.escape(ESCAPE), f"({tails})"
 
     def escape(self, text: Column) -> Column:
         """``text`` with one more escape character inside each control string, also inside escaped ones."""
-        return F.regexp_replace(text, self._pattern("*"), r"$1$2\\$3")
+        head, mark, tail = self._parts()
+        return F.regexp_replace(text, f"{head}({mark}*){tail}", r"$1$2\\$3")
 
     def unescape(self, text: Column) -> Column:
-        short = self._pattern("*").replace(f"({re.escape(ESCAPE)}*)", f"({re.escape(ESCAPE)}*){re.escape(ESCAPE)}")
-        return F.regexp_replace(text, short, "$1$2$3")
+        """``text`` as it was before ``escape``."""
+        head, mark, tail = self._parts()
+        return F.regexp_replace(text, f"{head}({mark}*){mark}{tail}", "$1$2$3")
 
     def segments(self, role: Column, text: Column) -> Column:
         """Segments of one turn: marker, text, marker; a role without markers of its own is written out."""
@@ -138,7 +138,7 @@ _KEYS = ["conv_id", "turn", "role", "text"]
 
 
 def _walk(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
-    """Adds ``first`` and ``after``: whether a turn is allowed, and the state after it, for each state in which
+    """Adds ``allowed`` and ``after``: whether a turn is allowed, and the state after it, for each state in which
     the conversation may have come into this chunk. A role is looked up once for each run of states."""
     names = template.states
     number = {s: i for i, s in enumerate(names)}
@@ -150,7 +150,7 @@ def _walk(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.
         if role not in moves:
             to = [template.steps.get((s, role)) for s in names]
             again = fresh.get(role, wrong)
-            moves[role] = [(number[t], True) if t is not None else (again, False) for t in to] + [(again, False)]
+            moves[role] = [(number[t], True) if t is not None else (again, False) for t in to] + [(again, role in fresh)]
         return moves[role]
 
     here, states = object(), []
@@ -211,8 +211,7 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> Dat
         F.coalesce(F.col("text").cast("string"), empty).alias("text"),
     )
     rows = in_chunks(rows, _KEYS)
-    narrow = rows.select("conv_id", "role", "chunk", "row")
-    types = {f.name: f.dataType.simpleString() for f in narrow.schema}
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", after array<int>, allowed array<boolean>"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,35 +219,20 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCT) -> Dat
 
     names = template.states
     start = names.index(template.start)
-    # Rows of one file come in the order of ``row``; this makes sure of it however files are split.
-    walked = staged(narrow.repartition("chunk").sortWithinPartitions("chunk", "row").mapInArrow(_by_chunk(walk), schema))
+    walked = staged(rows.mapInArrow(walk, schema))
     entries = bounded(_entries(walked, start))
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))
     come = F.coalesce("entry", F.lit(start)) + 1
     known = F.array(*(F.lit(s) for s in names))
-    judged = walked.join(entries, same, "left").select(
-        "row",
+    return walked.join(entries, same, "left").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.col("row").alias("n"),
+        template.segments(F.col("role"), F.col("text")).alias("segments"),
         F.element_at("allowed", come).alias("allowed"),
         F.get(known, F.element_at("after", come)).alias("state"),
     )
-    return rows.join(judged, "row").select(
-        "conv_id", "turn", "role", F.col("row").alias("n"), template.segments(F.col("role"), F.col("text")).alias("segments"), "allowed", "state"
-    )
-
-
-def _by_chunk(walk):
-    """``walk`` on each chunk of a partition by itself, as a conversation begins anew in each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk = batch.column("chunk")
-            at = 0
-            while at < batch.num_rows:
-                end = at + pc.sum(pc.equal(chunk.slice(at), chunk[at])).as_py()
-                yield batch.slice(at, end - at)
-                at = end
-
-    return lambda batches: walk(run(batches))
 
 
 def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
@@ -265,49 +249,46 @@ def read_back(formatted: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     )
 
 
-def digests(rows: DataFrame, key: str, order: str, hashed: dict[str, str], sums: list[str]) -> DataFrame:
-    """One row for each key: its rows, SHA-256 of columns one after another in order, sums of other columns.
+def digests(rows: DataFrame, key: str, order: str, hashed: dict[str, str], sums: list[str], last: list[str]) -> DataFrame:
+    """One row for each key: its rows, SHA-256 of columns one after another in order, sums and last values.
 
     A digest needs all its bytes in order, so the rows of a key pass through one task, one batch at a time: the
     task keeps a running digest, never the rows. Rows are sorted outside Python and may spill.
     """
-    import hashlib
-
     kind = rows.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n bigint, " + ", ".join([f"{n} string" for n in hashed] + [f"{s} bigint" for s in sums])
-    target = rows.select(key, order, *hashed.values(), *sums)
+    schema = f"`{key}` {kind}, n bigint, " + ", ".join([f"{n} string" for n in hashed] + [f"{s} bigint" for s in sums] + [f"{c} string" for c in last])
+    target = rows.select(key, order, *hashed.values(), *sums, *last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = None
         now = None
 
         def closed() -> pa.RecordBatch:
-            k, n, marks, totals = now
-            values = [k, n, *(m.hexdigest() for m in marks), *totals]
-            types = [field.type, pa.int64(), *[pa.string()] * len(marks), *[pa.int64()] * len(totals)]
+            k, n, marks, totals, ends = now
+            values = [k, n, *(m.hexdigest() for m in marks), *totals, *ends]
+            types = [field.type, pa.int64(), *[pa.string()] * len(marks), *[pa.int64()] * len(totals), *[pa.string()] * len(ends)]
             arrays = [pa.array([v], t) for v, t in zip(values, types, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, names=[key, "n", *hashed, *sums])
+            return pa.RecordBatch.from_arrays(arrays, names=[key, "n", *hashed, *sums, *last])
 
         for batch in batches:
             field = batch.schema.field(key)
             keys = batch.column(key).to_pylist()
             texts = [batch.column(c) for c in hashed.values()]
             numbers = [batch.column(s).to_pylist() for s in sums]
+            ends = [batch.column(c) for c in last]
             for i, k in enumerate(keys):
                 if now is None or k != now[0]:
                     if now is not None:
                         yield closed()
-                    now = [k, 0, [hashlib.sha256() for _ in hashed], [0] * len(sums)]
+                    now = [k, 0, [hashlib.sha256() for _ in hashed], [0] * len(sums), [None] * len(last)]
                 now[1] += 1
                 for mark, column in zip(now[2], texts, strict=True):
                     mark.update(column[i].as_py().encode())
                 for j, values in enumerate(numbers):
                     now[3][j] += values[i]
+                now[4] = [e[i].as_py() for e in ends]
         if now is not None:
             yield closed()
 
     return target.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -21,11 +21,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def in_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` sorted into range partitions, with ``row``, a number that rises in this order, and ``chunk``.
 
-    The table is written, so that both stay as they are. Equal rows are dealt out by where they were read.
+    Both hold for one run of the plan, so it must be written before they are used twice. Equal rows are dealt
+    out by where they were read.
     """
     tie = F.monotonically_increasing_id()
     ranged = df.withColumn("row", tie).repartitionByRange(*order, "row").sortWithinPartitions(*order, "row")
-    return staged(ranged.withColumn("row", tie).withColumn("chunk", F.shiftright("row", 33)))
+    return ranged.withColumn("row", tie).withColumn("chunk", F.shiftright("row", 33))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     Rows are sorted in range partitions; a group may lie in many of them. Only counts by group and partition
     are summed in order. Null is a group, and sorts first.
     """
-    rows = in_chunks(df, [*group, *order])
+    rows = staged(in_chunks(df, [*group, *order]))
     parts = rows.groupBy(*group, "chunk").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     whole = Window.partitionBy(*group)
     before = F.sum("n").over(whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
