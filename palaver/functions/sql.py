@@ -7,7 +7,8 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from palaver.functions.evaltext import edit_ops, nfc
+from palaver.functions.editdist import edit_ops
+from palaver.functions.evaltext import nfc
 from palaver.functions.quality import _loop_cover
 
 

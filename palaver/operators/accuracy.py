@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.evaltext import cer, coded_distance, distinct_words, edit_ops, error_rate
+from palaver.functions.editdist import char_distance, edit_ops
+from palaver.functions.evaltext import error_rate
 from palaver.functions.quality import repetition_loop
 from palaver.functions.text import word_count
 
@@ -14,28 +15,24 @@ def rtf(processing: Column, audio: Column) -> Column:
     return F.when(audio > 0, processing / audio).otherwise(0.0)
 
 
-def score_pairs(pairs: DataFrame, ops: bool = True) -> DataFrame:
-    """WER and CER per (scenario, system), with the split of the word edits when ``ops``."""
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """WER and CER per (scenario, system), with the split of the word edits, over whole texts.
+
+    Columns that are not read later cost nothing: word and character edits are functions of their own.
+    """
     r, h = F.col("reference"), F.col("hypothesis")
-    rows = pairs.withColumns({"ref_words": word_count(r), "hyp_words": word_count(h)})
-    if ops:
-        rows = rows.withColumn("_o", edit_ops(r, h)).withColumns(
-            {
-                "substitutions": F.col("_o.sub").cast("bigint"),
-                "deletions": F.col("_o.dele").cast("bigint"),
-                "insertions": F.col("_o.ins").cast("bigint"),
-            }
-        )
-        dist = F.col("_o.distance")
-    else:
-        rows = rows.withColumn("_dict", distinct_words(r, h))
-        rows = rows.withColumn("_d", coded_distance(r, h, F.col("_dict")))
-        # Only pairs with too many distinct words bring their texts to the array form.
-        big = F.col("_d").isNull()
-        rows = rows.withColumn("_o", edit_ops(F.when(big, r), F.when(big, h)))
-        dist = F.coalesce(F.col("_d"), F.col("_o.distance"))
-    out = rows.withColumn("wer", error_rate(dist, F.col("ref_words"), F.col("hyp_words")))
-    return out.withColumn("cer", cer(r, h)).drop("_o", "_d", "_dict")
+    rows = pairs.withColumns(
+        {"ref_words": word_count(r), "hyp_words": word_count(h), "_o": edit_ops(r, h), "_c": char_distance(r, h)}
+    )
+    return rows.withColumns(
+        {
+            "substitutions": F.col("_o.sub").cast("bigint"),
+            "deletions": F.col("_o.dele").cast("bigint"),
+            "insertions": F.col("_o.ins").cast("bigint"),
+            "wer": error_rate(F.col("_o.distance"), F.col("ref_words"), F.col("hyp_words")),
+            "cer": error_rate(F.col("_c"), F.length(r), F.length(h)),
+        }
+    ).drop("_o", "_c")
 
 
 def ranking(scores: DataFrame) -> DataFrame:
@@ -75,12 +72,41 @@ def compare_models(df: DataFrame, clip: str, model: str, text: str, models: list
     return df.groupBy(clip).pivot(model, models).agg(joined)
 
 
-def report(scores: DataFrame) -> DataFrame:
-    """Metric columns as fixed-decimal text."""
-    fixed = {"wer": 4, "cer": 4, "rtf": 3, "processing_time": 2, "audio_duration": 2}
-    return scores.select(
-        *[
-            F.format_string(f"%.{fixed[c]}f", F.col(c)).alias(c) if c in fixed else F.col(c)
-            for c in scores.columns
-        ]
+#: Columns of a report in order, and the digits of those that are fractions.
+REPORT = {
+    "scenario": None, "system": None, "wer": 4, "cer": 4, "insertions": None, "deletions": None, "substitutions": None,
+    "ref_words": None, "hyp_words": None, "rtf": 3, "processing_time": 2, "audio_duration": 2,
+    "repetition_segments": None, "hallucinated_words": None, "num_segments": None,
+}
+
+
+def segment_counts(segments: DataFrame, key: list[str], silent: str = "SILENCE") -> DataFrame:
+    """Segments, looping segments, and the words put out in the scenario where nothing is said, per key."""
+    words = F.when(F.col("scenario") == silent, word_count(F.col("text"))).otherwise(0)
+    loops = repetition_loop(F.col("text"), 0.3, F.col("compression_ratio"))
+    return segments.groupBy(*key).agg(
+        F.count("*").alias("num_segments"),
+        F.count_if(loops).alias("repetition_segments"),
+        F.sum(words).cast("bigint").alias("hallucinated_words"),
     )
+
+
+def full_report(scores: DataFrame, segments: DataFrame, times: DataFrame, silent: str = "SILENCE") -> DataFrame:
+    """All columns of a report as text: scores, counts of segments, and times per (scenario, system).
+
+    ``segments``: scenario, system, text, compression_ratio. ``times``: scenario, system, processing_time,
+    audio_duration. A pair without segments has zeros.
+    """
+    key = ["scenario", "system"]
+    rows = scores.join(times, key, "left").join(segment_counts(segments, key, silent), key, "left")
+    rows = rows.withColumn("rtf", rtf(F.col("processing_time"), F.col("audio_duration")))
+    return report(rows.fillna(0, ["num_segments", "repetition_segments", "hallucinated_words"])).select(*REPORT)
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """Metric columns as fixed-decimal text; halves are rounded to even, as the exact binary value says."""
+
+    def fixed(c: str, digits: int):
+        return F.call_function("format_number", F.col(c), F.lit("0." + "0" * digits)).alias(c)
+
+    return scores.select(*[fixed(c, REPORT[c]) if REPORT.get(c) else F.col(c) for c in scores.columns])

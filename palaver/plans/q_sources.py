@@ -11,12 +11,12 @@ from palaver.functions.timefmt import local_time
 from palaver.operators import accuracy as C
 from palaver.operators import notes as M
 from palaver.operators import transcripts as T
-from palaver.plans import jobs
-from palaver.plans.oracle import sql, time_of, trim_of
-from palaver.plans.q_corpus import OCC, recent
+from palaver.plans import jobs, views
+from palaver.plans.oracle import sql, time_of, trim_of, words_of
+from palaver.plans.q_corpus import OCC, WER, recent
 from palaver.plans.q_dashboard import QD, as_of, backlog_rows, since
 from palaver.plans.q_sessions import GROUP
-from palaver.plans.q_text import SLUG
+from palaver.plans.q_text import LOOP_SQL, SLUG
 from palaver.plans.registry import query
 from palaver.session import scratch_dir
 from palaver.sources import files, journal_csv, tables
@@ -304,19 +304,28 @@ def legacy_asset_lookup(t):
     return out.select("conversation_id", "date", F.coalesce("name", F.lit("")).alias("name"))
 
 
-@query(
-    "eval_report_csv",
-    sql("pairs", """WITH n AS (SELECT scenario, system, string_split(reference, ' ') AS r, reference, hypothesis FROM v_pairs)
-    SELECT scenario, system, CAST(len(r) AS BIGINT) AS ref_words, '0.500' AS rtf, '60.00' AS audio_duration FROM n"""),
-)
+REPORT_SQL = WER + f""", sg AS (SELECT scenario, system, doc_id, i, array_to_string(list_slice(h, i * {views.SEGMENT} + 1, i * {views.SEGMENT} + {views.SEGMENT}), ' ') AS text, ((doc_id + i) % 29) / 10.0 AS ratio
+  FROM (SELECT scenario, system, doc_id, h, unnest(range(0, (len(h) - 1) // {views.SEGMENT} + 1)) AS i FROM n JOIN (SELECT DISTINCT scenario, doc_id FROM v_pairs) USING (scenario))),
+v_texts AS (SELECT scenario || ' ' || system || ' ' || i AS doc_id, text FROM sg),
+lp AS ({LOOP_SQL.format(w=words_of("text"), th=0.3)}),
+sc AS (SELECT scenario, system, count(*) AS num_segments, count(*) FILTER (loop OR ratio > 2.4) AS repetition_segments,
+  CAST(sum(CASE WHEN scenario = 'doc-7' THEN len({words_of("text")}) ELSE 0 END) AS BIGINT) AS hallucinated_words
+  FROM sg JOIN lp ON lp.doc_id = scenario || ' ' || system || ' ' || i GROUP BY ALL)
+SELECT scenario, system, printf('%.4f', dist / ref_words) AS wer, printf('%.4f', chars / ref_chars) AS cer,
+  CASE WHEN system = 'dup11' THEN dist ELSE 0 END AS insertions, CASE WHEN system = 'drop7' THEN dist ELSE 0 END AS deletions,
+  CASE WHEN system = 'sub13' THEN dist ELSE 0 END AS substitutions, ref_words, hyp_words, printf('%.3f', hyp_words / 4.0::DOUBLE / (ref_words / 2.5::DOUBLE)) AS rtf,
+  printf('%.2f', hyp_words / 4.0::DOUBLE) AS processing_time, printf('%.2f', ref_words / 2.5::DOUBLE) AS audio_duration, repetition_segments, hallucinated_words, num_segments
+FROM d JOIN sc USING (scenario, system)"""
+
+
+@query("eval_report_csv", sql("pairs", REPORT_SQL))
 def eval_report_csv(t):
     path = scratch_dir(t.spark, "report") + "/out"
-    scores = C.score_pairs(t.pairs).withColumns(
-        {"rtf": F.lit(0.5), "processing_time": F.lit(30.0), "audio_duration": F.lit(60.0), "num_segments": F.lit(1)}
-    )
-    files.write_report(C.report(scores.drop("reference", "hypothesis", "doc_id")), path)
+    rows = C.full_report(C.score_pairs(t.pairs), views.pair_segments(t.pairs), views.pair_times(t.pairs), silent="doc-7")
+    files.write_report(rows, path)
     back = t.spark.read.option("header", True).csv(path)
-    return back.select("scenario", "system", F.col("ref_words").cast("bigint").alias("ref_words"), "rtf", "audio_duration")
+    counts = [c for c, digits in C.REPORT.items() if digits is None and c not in ("scenario", "system")]
+    return back.withColumns({c: F.col(c).cast("bigint") for c in counts})
 
 
 @query(

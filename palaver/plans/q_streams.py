@@ -59,7 +59,8 @@ def session_stream(t):
 @query("capped_session_stream", sql("segments", CAPPED_SQL, recursive=True))
 def capped_session_stream(t):
     s = segment_stream(t).select("device_id", "segment_id", "start_us", "end_us")
-    out = R.run_append(Z.capped_session_stream(s, CAP_GAP, CAP_LEN / 60), "capped")
+    marks = R.EndMarks(t.spark)
+    out = R.run_append(Z.capped_session_stream(marks.join(s), CAP_GAP, CAP_LEN / 60), "capped", marks=marks)
     return out.select("device_id", "segment_id", "session_start_us", "session_first")
 
 
@@ -78,33 +79,81 @@ def frame_rows(seg):
     )
 
 
-@query("bounded_units_stream")
+# Runs of frames without a jump; in each, the next unit follows from where the one before ended.
+UNITS_SQL = """WITH fr AS (
+  SELECT segment_id AS device_id, start_us + i * 500000 AS us, ((event_id * 31 + i * 17) % 101) / 101.0 AS e
+  FROM v_segments, LATERAL (SELECT unnest(range(0, (end_us - start_us) // 500000)) AS i)),
+sp AS (SELECT *, e > 0.05 AS s, us - lag(us) OVER (PARTITION BY device_id ORDER BY us) AS d FROM fr),
+rn AS (SELECT *, sum(CASE WHEN d IS NULL OR abs(d - 500000) > 25000 THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY us) AS run FROM sp),
+po AS (SELECT *, row_number() OVER (PARTITION BY device_id, run ORDER BY us) - 1 AS p FROM rn),
+ls AS (SELECT *, coalesce(max(CASE WHEN s THEN p END) OVER (PARTITION BY device_id, run ORDER BY p), -1) AS last FROM po),
+r AS (SELECT device_id, run, min(us) AS base, count(*) AS n, list(e ORDER BY p) AS e, list(last ORDER BY p) AS last FROM ls GROUP BY ALL),
+u AS (
+  SELECT device_id, run, 0::BIGINT AS a, 0::BIGINT AS core, false AS unit, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS cx, 0::BIGINT AS cy, false AS done FROM r
+  UNION ALL
+  SELECT device_id, run, CASE k WHEN 'drop' THEN a + 24 WHEN 'pause' THEN a + len WHEN 'cut' THEN cut - 1 ELSE n END,
+    CASE k WHEN 'cut' THEN 1 ELSE 0 END, k IN ('pause', 'cut') OR (k = 'rest' AND n - a > core AND last[n] >= a), a,
+    CASE k WHEN 'pause' THEN a + len WHEN 'cut' THEN least(cut + 1, a + 48) ELSE n END, a + core,
+    CASE k WHEN 'pause' THEN a + len WHEN 'cut' THEN cut ELSE n END, k = 'rest'
+  FROM (SELECT *, CASE WHEN n - a >= 24 AND last[a + 24] < a THEN 'drop' WHEN len IS NOT NULL THEN 'pause' WHEN n - a >= 48 THEN 'cut' ELSE 'rest' END AS k FROM (
+    SELECT u.device_id, u.run, u.a, u.core, r.n, r.last,
+      list_min([l FOR l IN range(24, least(48, r.n - u.a + 1)) IF l - 1 - (r.last[u.a + l] - u.a) >= 2 AND r.last[u.a + 24] >= u.a]) AS len,
+      list_min([struct_pack(e := r.e[u.a + l], c := u.a + l) FOR l IN range(45, 48)]).c AS cut
+    FROM u JOIN (SELECT * FROM r) r ON r.device_id = u.device_id AND r.run = u.run WHERE NOT u.done AND u.a < r.n)))
+SELECT device_id, base + x * 500000 AS start_us, base + y * 500000 AS end_us, base + cx * 500000 AS core_start_us, base + cy * 500000 AS core_end_us
+FROM u JOIN r USING (device_id, run) WHERE unit"""
+
+
+@query("bounded_units_stream", sql("segments", UNITS_SQL, recursive=True))
 def bounded_units_stream(t):
-    return R.run_append(Z.bounded_units_stream(frame_rows(segment_stream(t))), "units")
+    marks = R.EndMarks(t.spark)
+    return R.run_append(Z.bounded_units_stream(marks.join(frame_rows(segment_stream(t)))), "units", marks=marks)
 
 
-FOLD = """WITH q AS (SELECT *, (start_us + 19800000000) // 86400000000 AS dn, row_number() OVER (PARTITION BY account ORDER BY start_us, request_id) AS rn FROM v_usage),
+# Requests and answers of an account in one order, folded row by row.
+FOLD = """WITH e AS (SELECT account, start_us, 0 AS answers, request_id, billed_seconds AS billed, NULL::INT AS status, NULL::VARCHAR AS header FROM v_usage
+  UNION ALL SELECT account, start_us + 2000000, 1, request_id, 0, CASE WHEN request_id % 41 = 0 THEN 401 WHEN request_id % 41 < 5 THEN 429 END,
+    CASE request_id % 41 WHEN 1 THEN '900' WHEN 2 THEN '1' WHEN 3 THEN 'soon' END FROM v_usage WHERE request_id % 41 < 6),
+q AS (SELECT *, (start_us + 19800000000) // 86400000000 AS dn, row_number() OVER (PARTITION BY account ORDER BY start_us, answers, request_id) AS rn,
+  CASE WHEN answers = 0 THEN 0 WHEN status IS NULL THEN 30 WHEN status IN (401, 403) THEN 300 WHEN header IS NULL THEN 30
+    ELSE coalesce(least(86400, greatest(5, TRY_CAST(header AS DOUBLE))), 60) END AS pause FROM e),
 f AS (
-  SELECT account, 0::BIGINT AS rn, 0::BIGINT AS request_id, '' AS verdict, 0.0::DOUBLE AS retry_after, []::STRUCT(t BIGINT, b DOUBLE)[] AS recent, 0::BIGINT AS dn, 0::BIGINT AS n, 0.0::DOUBLE AS total
+  SELECT account, 0::BIGINT AS rn, 0::BIGINT AS request_id, '' AS verdict, 0.0::DOUBLE AS retry_after, []::STRUCT(t BIGINT, b DOUBLE, id BIGINT)[] AS recent, 0::BIGINT AS dn, 0::BIGINT AS n, 0.0::DOUBLE AS total, 0::BIGINT AS retry_us
   FROM (SELECT DISTINCT account FROM q)
   UNION ALL
-  SELECT account, rn, request_id, verdict, CASE WHEN verdict = 'paced' THEN greatest(1.0, 61 - (now_us - oldest) / 1e6) ELSE 0.0 END,
-    CASE WHEN verdict = 'admit' THEN list_append(hr, {'t': now_us, 'b': billed}) ELSE hr END, dn,
-    n + CASE WHEN verdict = 'admit' THEN 1 ELSE 0 END, total + CASE WHEN verdict = 'admit' THEN billed ELSE 0.0 END
-  FROM (SELECT *, CASE WHEN n + 1 > 2000 * 0.9 OR total + billed > 28800 * 0.9 OR coalesce(list_sum([x.b FOR x IN hr]), 0) + billed > 1500 * 0.9 THEN 'budget'
+  SELECT account, rn, request_id, verdict, CASE WHEN verdict = 'paced' THEN greatest(1.0, 61 - (now_us - oldest) / 1e6) WHEN verdict = 'cooling' THEN (retry_us - now_us) / 1e6 ELSE 0.0 END,
+    CASE WHEN verdict = 'admit' THEN list_append(hr, {'t': now_us, 'b': billed, 'id': request_id}) ELSE hr END, dn,
+    n + CASE WHEN verdict = 'admit' THEN 1 ELSE 0 END, total + CASE WHEN verdict = 'admit' THEN billed ELSE 0.0 END,
+    CASE WHEN verdict = 'answer' AND len([x FOR x IN hr IF x.id = request_id]) > 0 THEN now_us + CAST(pause * 1000000 AS BIGINT) ELSE retry_us END
+  FROM (SELECT *, CASE WHEN answers = 1 THEN 'answer' WHEN retry_us > now_us THEN 'cooling'
+        WHEN n + 1 > 2000 * 0.9 OR total + billed > 28800 * 0.9 OR coalesce(list_sum([x.b FOR x IN hr]), 0) + billed > 1500 * 0.9 THEN 'budget'
         WHEN len(mi) + 1 > 2 * 0.9 THEN 'paced' ELSE 'admit' END AS verdict, list_min(mi) AS oldest FROM (
       SELECT *, [x.t FOR x IN hr IF x.t > now_us - 60000000] AS mi FROM (
-        SELECT q.account, q.rn, q.request_id, q.start_us AS now_us, q.billed_seconds AS billed, q.dn,
+        SELECT q.account, q.rn, q.request_id, q.answers, q.pause, q.start_us AS now_us, q.billed, q.dn,
           CASE WHEN q.dn = f.dn THEN f.n ELSE 0 END AS n, CASE WHEN q.dn = f.dn THEN f.total ELSE 0.0 END AS total,
-          [x FOR x IN f.recent IF x.t > q.start_us - 3600000000] AS hr
+          [x FOR x IN f.recent IF x.t > q.start_us - 3600000000] AS hr, f.retry_us
         FROM f JOIN (SELECT * FROM q) q ON q.account = f.account AND q.rn = f.rn + 1))))
-SELECT account, request_id, verdict, round(retry_after, 6)::DOUBLE AS retry_after FROM f WHERE rn > 0"""
+SELECT account, request_id, verdict, round(retry_after, 6)::DOUBLE AS retry_after FROM f WHERE rn > 0 AND verdict <> 'answer'"""
+
+
+def answer_rows(usage):
+    """Answers two seconds after some requests: refused, too many requests with several headers, no connection."""
+    kind = F.pmod(F.col("request_id"), F.lit(41))
+    return usage.where(kind < 6).select(
+        "account",
+        "request_id",
+        (F.col("start_us") + 2_000_000).alias("start_us"),
+        F.when(kind == 0, 401).when(kind < 5, 429).when(kind == 5, F.lit(None)).cast("int").alias("status"),
+        F.when(kind == 1, "900").when(kind == 2, "1").when(kind == 3, "soon").alias("retry_header"),
+    )
 
 
 @query("quota_stream", sql("usage", FOLD, recursive=True))
 def quota_stream(t):
+    marks = R.EndMarks(t.spark)
     u = views.usage(segment_stream(t)).select("account", "request_id", "start_us", "audio_seconds")
-    return R.run_append(Z.quota_stream(u, per_minute=2, hourly_seconds=1500), "quota")
+    verdicts = Z.quota_stream(marks.join(u), answer_rows(u), per_minute=2, hourly_seconds=1500)
+    return R.run_append(verdicts, "quota", marks=marks)
 
 
 @query(
@@ -116,12 +165,26 @@ def daily_rollup_stream(t):
     return t.spark.read.schema("speech_us bigint, segment_count bigint, first_us bigint, last_us bigint, date string").parquet(path)
 
 
-@query(
-    "backlog_stream",
-    sql("segments", "SELECT device_id, CAST(coalesce(sum(end_us - start_us) FILTER (processed_us IS NULL), 0) AS BIGINT) AS waiting_us, count(*) FILTER (processed_us IS NULL) AS segment_count, coalesce(sum(end_us - start_us) FILTER (processed_us IS NULL), 0) / 3.6e9 >= 8.0 AS is_overflow, false AS growing FROM v_segments GROUP BY device_id"),
-)
+# Three batches; the flag of a device comes from the last batch that changed its balance.
+BACKLOG_SQL = """WITH m AS (SELECT device_id, event_id % 3 AS b, CAST(coalesce(sum(end_us - start_us) FILTER (processed_us IS NULL), 0) AS BIGINT) AS d,
+  count(*) FILTER (processed_us IS NULL) AS k FROM v_segments GROUP BY ALL),
+c AS (SELECT *, sum(d) OVER w AS waiting, sum(k) OVER w AS n FROM m WINDOW w AS (PARTITION BY device_id ORDER BY b)),
+g AS (SELECT *, coalesce(lag(waiting) OVER v > 0 AND waiting > lag(waiting) OVER v, false) AS growing, lead(b) OVER v IS NULL AS newest FROM c WINDOW v AS (PARTITION BY device_id ORDER BY b))
+SELECT device_id, CAST(waiting AS BIGINT) AS waiting_us, CAST(n AS BIGINT) AS segment_count, waiting / 3.6e9 >= 8.0 AS is_overflow, growing FROM g WHERE newest"""
+
+
+@query("backlog_stream", sql("segments", BACKLOG_SQL))
 def backlog_stream(t):
-    return t.spark.read.parquet(W.backlog_stream(segment_stream(t)))
+    from palaver.session import scratch_dir
+
+    R.prepare(t.spark)
+    arrivals, base = scratch_dir(t.spark, "arrivals"), None
+    rows = t.segments.select("device_id", "start_us", "end_us", "processed_us", "event_id")
+    for n in range(3):
+        rows.where(F.col("event_id") % 3 == n).drop("event_id").write.mode("append").parquet(arrivals)
+        stream = t.spark.readStream.schema(rows.drop("event_id").schema).parquet(arrivals)
+        base = W.backlog_stream(stream, base=base)
+    return W.balances(t.spark, base, 2)
 
 
 @query(
@@ -197,4 +260,5 @@ def live_journal(t):
 
     s = segment_stream(t)
     twice = s.withColumn("_k", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 2).cast("int")))).drop("_k")
-    return t.spark.read.parquet(live_journal(twice, CAP_GAP, CAP_LEN / 60))
+    marks = R.EndMarks(t.spark)
+    return t.spark.read.parquet(live_journal(twice, CAP_GAP, CAP_LEN / 60, marks=marks))

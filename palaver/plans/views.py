@@ -193,17 +193,21 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     )
 
 
+#: Stands for a letter that was not understood; it occurs in no text.
+UNHEARD = "\ue000"
+
+
 def pairs(documents: DataFrame) -> DataFrame:
     """Reference and hypothesis texts for three systems that damage the text by position.
 
-    A scenario is a line of a document that has a word; all lines of all documents count.
+    A scenario is a whole document that has a word, so damage goes on across line ends.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    base = lines.select(
-        F.concat_ws("-", F.lit("doc"), "doc_id", "line_no").alias("scenario"),
+    base = documents.select(
+        F.concat_ws("-", F.lit("doc"), "doc_id").alias("scenario"),
         F.col("doc_id"),
-        F.array_join(words(F.col("line")), " ").alias("reference"),
+        F.array_join(words(F.col("text")), " ").alias("reference"),
     ).filter("reference <> ''")
+
     def damaged(step: int, hit):
         def parts(tok):
             every = lambda w, i: F.when((i + 1) % step == 0, hit(w)).otherwise(F.array(w))
@@ -213,7 +217,7 @@ def pairs(documents: DataFrame) -> DataFrame:
 
     drop = damaged(7, lambda w: F.array().cast("array<string>"))
     dup = damaged(11, lambda w: F.array(w, w))
-    sub = damaged(13, lambda w: F.array(F.lit("um")))
+    sub = damaged(13, lambda w: F.array(F.repeat(F.lit(UNHEARD), F.length(w))))
     return base.select(
         "scenario",
         "doc_id",
@@ -228,6 +232,27 @@ def pairs(documents: DataFrame) -> DataFrame:
     ).select("scenario", "doc_id", "reference", "_s.system", "_s.hypothesis")
 
 
+#: Words of one segment of a hypothesis.
+SEGMENT = 40
+
+
+def pair_segments(pairs: DataFrame) -> DataFrame:
+    """Each hypothesis in segments of a fixed number of words, with a compression ratio made from its place."""
+    tok = F.split("hypothesis", " ")
+    last = F.expr(f"(size(split(hypothesis, ' ')) - 1) div {SEGMENT}")
+    rows = pairs.select("scenario", "system", "doc_id", tok.alias("tok"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("i"))
+    text = F.array_join(F.slice("tok", (F.col("i") * SEGMENT + 1).cast("int"), SEGMENT), " ")
+    return rows.select("scenario", "system", text.alias("text"), (F.pmod(F.col("doc_id") + F.col("i"), F.lit(29)) / 10.0).alias("compression_ratio"))
+
+
+def pair_times(pairs: DataFrame) -> DataFrame:
+    """Seconds of work and of speech, made from the words of both sides."""
+    return pairs.select(
+        "scenario", "system", (word_count(F.col("hypothesis")) / 4.0).alias("processing_time"),
+        (word_count(F.col("reference")) / 2.5).alias("audio_duration"),
+    )
+
+
 def usage(seg: DataFrame) -> DataFrame:
     return seg.select(
         F.col("event_id").alias("request_id"),

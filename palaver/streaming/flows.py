@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.sources.files import CORRUPT, is_broken, pending, staged_schema
-from palaver.streaming.runtime import WATERMARK, event_time, run_batches, upsert_partitions
+from palaver.streaming.runtime import END_US, WATERMARK, event_time, run_batches, upsert_partitions
 
 
 def stage_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -22,7 +22,9 @@ def stage_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 
 def timed(stream: DataFrame, us: str = "start_us", delay: str = WATERMARK) -> DataFrame:
-    return stream.withColumn("event_time", event_time(us)).withWatermark("event_time", delay)
+    """``stream`` with a watermark on ``event_time``. End marks move the watermark and go no further."""
+    marked = stream.withColumn("event_time", event_time(us)).withWatermark("event_time", delay)
+    return marked.where(F.col("event_time") < F.timestamp_micros(F.lit(END_US)))
 
 
 def dedupe_stream(stream: DataFrame, key: str = "segment_id", delay: str = WATERMARK) -> DataFrame:
@@ -91,11 +93,69 @@ def daily_rollup_stream(stream: DataFrame) -> str:
     return run_batches(totals, "daily-stream", sink, "update") + "/table"
 
 
-def backlog_stream(stream: DataFrame, overflow_hours: float = 8.0) -> str:
-    """Unprocessed hours and rows per device from arrivals and acknowledgements.
+#: Buckets of stored balances, and batches after which their versions are merged into one snapshot.
+BUCKETS, COMPACT = 64, 16
+BALANCE = "device_id string, waiting_us bigint, segment_count bigint, is_overflow boolean, growing boolean, bucket int"
 
-    A batch compares each balance with the one stored before it; growth from a positive balance
-    raises the flag.
+
+def balances_before(spark: SparkSession, base: str, n: int) -> DataFrame:
+    """Newest balance of each device from batches before ``n``: the last snapshot, and the versions after it.
+
+    Which snapshot holds follows from ``n``, so a batch that is run again reads what it read at first.
+    """
+    upto = (n - 1) // COMPACT * COMPACT if n > 0 else 0
+    versions = spark.createDataFrame([], f"{BALANCE}, batch int")
+    if n > 0:
+        stored = spark.read.schema(f"{BALANCE}, batch int").parquet(f"{base}/deltas")
+        low = upto if upto else -1
+        versions = stored.where((F.col("batch") > low) & (F.col("batch") < n))
+    if upto:
+        held = spark.read.schema(BALANCE).parquet(f"{base}/snapshots/upto={upto}")
+        versions = versions.unionByName(held.withColumn("batch", F.lit(upto)))
+    rest = [c for c in versions.columns if c not in ("device_id", "bucket")]
+    newest = versions.groupBy("bucket", "device_id").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
+    return newest.select("device_id", "v.*", "bucket")
+
+
+def store_balances(batch: DataFrame, n: int, base: str, overflow_hours: float = 8.0) -> None:
+    """Store the balances that changed in batch ``n`` as its version. Repeating any batch changes nothing.
+
+    A balance grows if it was positive before the batch and is greater after it. Each ``COMPACT`` batches all
+    versions so far become one snapshot, so a batch reads one snapshot and a few versions, of its buckets only.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumns(
+        {
+            "is_overflow": F.col("waiting_us") / 3.6e9 >= overflow_hours,
+            "bucket": F.pmod(F.xxhash64("device_id"), F.lit(BUCKETS)).cast("int"),
+        }
+    )
+    old = balances_before(spark, base, n).select("bucket", "device_id", F.col("waiting_us").alias("before"))
+    grown = (F.col("before") > 0) & (F.col("waiting_us") > F.col("before"))
+    rows = rows.join(old, ["bucket", "device_id"], "left").withColumn("growing", F.coalesce(grown, F.lit(False)))
+    kept = rows.select("device_id", "waiting_us", "segment_count", "is_overflow", "growing", "bucket")
+    kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/deltas/batch={n}")
+    if n and n % COMPACT == 0:
+        _with(spark, base, n).write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/snapshots/upto={n}")
+
+
+def _with(spark: SparkSession, base: str, n: int) -> DataFrame:
+    """Balances after batch ``n``: those before it, replaced by its own version."""
+    own = spark.read.schema(BALANCE).parquet(f"{base}/deltas/batch={n}")
+    old = balances_before(spark, base, n).drop("batch").join(own, ["bucket", "device_id"], "left_anti")
+    return old.unionByName(own)
+
+
+def balances(spark: SparkSession, base: str, n: int) -> DataFrame:
+    """The balances after batch ``n``."""
+    return _with(spark, base, n).drop("bucket")
+
+
+def backlog_stream(stream: DataFrame, overflow_hours: float = 8.0, base: str | None = None) -> str:
+    """Unprocessed hours and rows per device from arrivals and acknowledgements, stored by batch.
+
+    A batch compares each balance with the one stored before it; growth from a positive balance raises the
+    flag. With ``base`` an earlier run goes on. Returns the folder, to be read with ``balances``.
     """
     span = F.col("end_us") - F.col("start_us")
     moves = F.array_compact(
@@ -110,19 +170,10 @@ def backlog_stream(stream: DataFrame, overflow_hours: float = 8.0) -> str:
         .agg(F.sum("m.d").alias("waiting_us"), F.sum("m.n").alias("segment_count"))
     )
 
-    def sink(batch: DataFrame, n: int, base: str) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("is_overflow", F.col("waiting_us") / 3.6e9 >= overflow_hours)
-        old = spark.createDataFrame([], "device_id string, before bigint")
-        if n > 0:
-            old = spark.read.parquet(f"{base}/table").select("device_id", F.col("waiting_us").alias("before"))
-        grown = (F.col("before") > 0) & (F.col("waiting_us") > F.col("before"))
-        rows = rows.join(old, "device_id", "left").withColumn("growing", F.coalesce(grown, F.lit(False)))
-        # The old table is an input, so the new rows are written aside before they replace it.
-        rows.drop("before").write.mode("overwrite").parquet(f"{base}/next")
-        upsert_partitions(spark.read.parquet(f"{base}/next"), f"{base}/table", "device_id")
-
-    return run_batches(balance, "backlog-stream", sink, "update") + "/table"
+    def sink(batch: DataFrame, n: int, folder: str) -> None:
+        store_balances(batch, n, folder, overflow_hours)
+
+    return run_batches(balance, "backlog-stream", sink, "update", base=base)
 
 
 def live_updates(stream: DataFrame, summarise) -> str:

@@ -9,7 +9,7 @@ from palaver.functions.idents import hash_id48
 from palaver.functions.quality import low_confidence
 from palaver.operators.voices import best_and_second, decide, enabled
 from palaver.streaming.flows import dedupe_stream
-from palaver.streaming.runtime import run_batches
+from palaver.streaming.runtime import EndMarks, run_batches
 from palaver.streaming.stateful import capped_session_stream
 
 
@@ -30,22 +30,28 @@ def live_journal(
     profiles: DataFrame | None = None,
     threshold: float = 0.80,
     margin: float = 0.08,
+    marks: EndMarks | None = None,
 ) -> str:
     """Run the journal over all available input; returns the folder of the stored segments.
 
+    A row is stored when the watermark has passed it; ``marks`` brings out the newest ones as well.
+
     With ``profiles`` only rows of enrolled voices go on. The verdict travels inside the row id
     through the session state, which keeps that state small.
     """
     if profiles is not None:
         stream = gate(stream, profiles, threshold, margin)
+    if marks is not None:
+        stream = marks.join(stream)
     low = low_confidence(F.col("no_speech_prob"), F.col("avg_logprob"))
     rows = dedupe_stream(stream).select(
         "device_id",
         F.concat_ws("|", "segment_id", F.when(low, "low_confidence").otherwise("ok")).alias("segment_id"),
         "start_us",
         "end_us",
+        "event_time",
     )
-    labelled = capped_session_stream(rows, gap_s, cap_s)
+    labelled = capped_session_stream(rows, gap_s, cap_s, delay=None)
 
     def sink(batch: DataFrame, n: int, base: str) -> None:
         own = F.split_part("segment_id", F.lit("|"), F.lit(1))
@@ -56,5 +62,5 @@ def live_journal(
             F.split_part("segment_id", F.lit("|"), F.lit(2)).alias("status"),
         ).write.mode("overwrite").parquet(f"{base}/table/batch={n}")
 
-    base = run_batches(labelled, "journal", sink)
+    base = run_batches(labelled, "journal", sink, marks=marks)
     return f"{base}/table/*"

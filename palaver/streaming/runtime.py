@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from palaver.session import ROCKSDB, scratch_dir
 
 WATERMARK = "10 minutes"
+#: Time of an end mark, which no row reaches; the first instant of 2100.
+END_US = 4_102_444_800_000_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -34,32 +36,56 @@ def event_time(us: str = "start_us"):
     return F.timestamp_micros(F.col(us))
 
 
-def run_append(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+class EndMarks:
+    """Marks that end a stream: once all input is read, one mark moves the watermark past every row.
+
+    So windows, waiting rows and open units come out, as when a recording is stopped. The mark itself is dropped
+    behind the watermark (``flows.timed``). A stream that goes on later takes rows behind the mark as late.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch_dir(spark, "marks")
+        self._write(0)
+
+    def _write(self, rows: int) -> None:
+        marks = self.spark.range(rows).select(F.lit(END_US).alias("start_us"))
+        marks.coalesce(1).write.mode("append").parquet(self.folder)
+
+    def join(self, stream: DataFrame) -> DataFrame:
+        marks = self.spark.readStream.schema("start_us bigint").parquet(self.folder)
+        return stream.unionByName(marks, allowMissingColumns=True)
+
+    def set(self) -> None:
+        self._write(1)
+
+
+def _to_end(writer, base: str, marks: EndMarks | None) -> None:
+    """Run over all input; with ``marks`` once more, from the same checkpoint, when the mark is set."""
+    for last in (False, True) if marks else (True,):
+        q = writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+        q.start().awaitTermination()
+        if marks and not last:
+            marks.set()
+
+
+def run_append(stream: DataFrame, purpose: str, mode: str = "append", marks: EndMarks | None = None) -> DataFrame:
     """Process all that is available into Parquet files and return them as a table."""
     spark = stream.sparkSession
     base = scratch_dir(spark, purpose)
-    q = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{base}/out")
-    )
-    q.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
+    _to_end(writer, base, marks)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def run_batches(stream: DataFrame, purpose: str, sink, mode: str = "append") -> str:
-    """Process all that is available through ``sink(batch, batch_id, folder)``; returns the folder."""
-    base = scratch_dir(stream.sparkSession, purpose)
-    q = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda df, n: sink(df, n, base))
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+def run_batches(
+    stream: DataFrame, purpose: str, sink, mode: str = "append", marks: EndMarks | None = None, base: str | None = None
+) -> str:
+    """Process all that is available through ``sink(batch, batch_id, folder)``; returns the folder.
+
+    ``base`` is the folder of an earlier run, which then goes on with what is new.
+    """
+    base = base or scratch_dir(stream.sparkSession, purpose)
+    _to_end(stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: sink(df, n, base)), base, marks)
     return base
 
 

@@ -1,47 +1,120 @@
-"""Keyed folds over ordered events: capped sessions, bounded speech units, admission control.
+"""Keyed folds in event time: capped sessions, bounded speech units, admission control.
 
-Each fold is a plain step function on one event, so a test can run it without Spark, and a stateful
-processor that keeps its state per key between batches. Rows of a batch are put in time order first.
-A key is one device or one account; its rows must be seen in order, so they share a task, and the
-size of a batch bounds how many arrive at once.
+Rows of a key wait in state until the watermark has passed them, then they are folded in time order, whatever
+batch they came in. A timer releases waiting rows, and closes a key when nothing that is still to come can
+change it; a closed key leaves no state. Rows behind the watermark are dropped by Spark. A key is one device or
+one account; its rows must be seen in order, so they share a task, and the watermark delay bounds what waits.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from palaver.streaming.flows import timed
+from palaver.streaming.runtime import WATERMARK
+
 DAY_US = 86_400_000_000
 OFFSET_US = 19_800_000_000
+HOUR_US, MINUTE_US = 3_600_000_000, 60_000_000
+#: Stands for a missing status in the rows of answers.
+NO_STATUS = -1
+
+
+def _in_order(row: tuple) -> tuple:
+    return tuple((x is not None, x) for x in row)
 
 
-class _Fold(StatefulProcessor):
-    """Keeps one JSON document of state per key and runs ``step`` on each row in order."""
+class EventTimeFold(StatefulProcessor):
+    """Releases rows in order of ``row_schema`` (its first column is the time in microseconds) to ``fold``.
 
-    order: list[str] = []
+    ``fold`` takes the state of the key, or None, and the ripe rows, and returns the new state, or None, and the
+    rows to emit. ``open_until`` is the time after which a state can be closed, ``finish`` what it then emits.
+    """
+
+    row_schema = ""
+    state_schema = ""
     columns: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("fold", "doc string")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row_schema)
+        self.kept = handle.getValueState("kept", self.state_schema)
+        self.fields = [f.split()[0] for f in self.row_schema.split(", ")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order)
-        state = json.loads(self._state.get()[0]) if self._state.exists() else {}
-        out = []
-        for row in pdf.itertuples(index=False):
-            out.extend(self.step(state, key[0], row))
-        self._state.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def step(self, state: dict, key, row) -> list[tuple]:
+        new = [r for pdf in rows for r in pdf[self.fields].itertuples(index=False, name=None)]
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if min(r[0] for r in new) > now:
+            self.waiting.appendList(new)
+            self._wake(min(r[0] for r in new), now)
+        else:
+            yield self._advance(key, new, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _wake(self, time_us: int, now_us: int) -> None:
+        """Keep one timer for the key, the earliest that is asked for; one that has just fired is still listed."""
+        time_ms = -(-time_us // 1000)
+        set_ = [t for t in self.handle.listTimers() if t * 1000 > now_us]
+        if not set_ or min(set_) > time_ms:
+            for t in set_:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(time_ms)
+
+    def _advance(self, key, new: list[tuple], now_us: int) -> pd.DataFrame:
+        held = [tuple(r) for r in self.waiting.get()] + new
+        ripe, rest = sorted((r for r in held if r[0] <= now_us), key=_in_order), [r for r in held if r[0] > now_us]
+        had = self.kept.exists()
+        state = self.restore(self.kept.get()) if had else None
+        out: list[tuple] = []
+        if ripe:
+            state, out = self.fold(state, ripe)
+        if state is not None and self.open_until(state) <= now_us:
+            out = out + self.finish(state)
+            state = None
+        if rest:
+            self.waiting.put(rest)
+        elif held:
+            self.waiting.clear()
+        if state is not None:
+            self.kept.update(self.store(state))
+        elif had:
+            self.kept.clear()
+        ends = [r[0] for r in rest] + ([self.open_until(state)] if state is not None else [])
+        if ends:
+            self._wake(min(ends), now_us)
+        return pd.DataFrame([(key[0], *r) for r in out], columns=self.columns)
+
+    def restore(self, row: tuple):
+        return tuple(row)
+
+    def store(self, state) -> tuple:
+        return tuple(state)
+
+    def fold(self, state, rows: list[tuple]) -> tuple:
+        raise NotImplementedError
+
+    def open_until(self, state) -> int:
         raise NotImplementedError
 
-    def close(self) -> None:
-        pass
+    def finish(self, state) -> list[tuple]:
+        return []
+
+
+def _run(stream: DataFrame, key: str, processor: EventTimeFold, schema: str, delay: str | None) -> DataFrame:
+    """``stream`` through the processor; a stream that has a watermark on ``event_time`` passes ``delay`` None."""
+    rows = stream if delay is None else timed(stream, delay=delay)
+    names = [f.split()[0] for f in processor.row_schema.split(", ")]
+    return rows.select(key, *names, "event_time").groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
 
 
 def capped_step(state: dict, ident, start: int, end: int, gap_us: int, cap_us: int) -> tuple:
@@ -59,30 +132,39 @@ def capped_step(state: dict, ident, start: int, end: int, gap_us: int, cap_us: i
     return session
 
 
-class CappedSessions(_Fold):
-    order = ["start_us", "segment_id"]
+class CappedSessions(EventTimeFold):
+    """A session is open for the gap after its greatest end: no later row can join it then."""
+
+    row_schema = "start_us bigint, segment_id string, end_us bigint"
+    state_schema = "end bigint, day bigint, first_us bigint, first string"
     columns = ["device_id", "segment_id", "start_us", "end_us", "session_start_us", "session_first"]
 
     def __init__(self, gap_s: float, cap_s: float):
         self.gap_us, self.cap_us = int(gap_s * 1e6), int(cap_s * 1e6)
 
-    def step(self, state, key, row):
-        s, e, i = int(row.start_us), int(row.end_us), row.segment_id
-        first_us, first = capped_step(state, i, s, e, self.gap_us, self.cap_us)
-        return [(key, i, s, e, first_us, first)]
-
-
-def capped_session_stream(stream: DataFrame, gap_s: float = 12.0, cap_s: float = 1800.0) -> DataFrame:
-    """Label the rows of each device with their capped session as they arrive."""
-    return stream.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=CappedSessions(gap_s, cap_s),
-        outputStructType=(
-            "device_id string, segment_id string, start_us bigint, end_us bigint, "
-            "session_start_us bigint, session_first string"
-        ),
-        outputMode="Append",
-        timeMode="None",
+    def restore(self, row):
+        return dict(zip(("end", "day", "first_us", "first"), row, strict=True))
+
+    def store(self, state):
+        return state["end"], state["day"], state["first_us"], state["first"]
+
+    def fold(self, state, rows):
+        state = state or {}
+        return state, [(i, s, e, *capped_step(state, i, s, e, self.gap_us, self.cap_us)) for s, i, e in rows]
+
+    def open_until(self, state):
+        return state["end"] + self.gap_us
+
+
+def capped_session_stream(
+    stream: DataFrame, gap_s: float = 12.0, cap_s: float = 1800.0, delay: str | None = WATERMARK
+) -> DataFrame:
+    """Label the rows of each device with their capped session, once the watermark has passed them."""
+    schema = (
+        "device_id string, segment_id string, start_us bigint, end_us bigint, "
+        "session_start_us bigint, session_first string"
     )
+    return _run(stream, "device_id", CappedSessions(gap_s, cap_s), schema, delay)
 
 
 def admit_step(
@@ -94,43 +176,96 @@ def admit_step(
     daily_requests: float,
     daily_seconds: float,
     fraction: float,
+    request_id: int = -1,
 ) -> tuple[str, float]:
     """Admit, pace or refuse a request. Only admitted requests count against later ones."""
     billed = max(10.0, seconds)
     day = (now_us + OFFSET_US) // DAY_US
     if state.get("day") != day:
         state.update(day=day, n=0, sum=0.0)
-    recent = [(t, b) for t, b in state.get("recent", []) if t > now_us - 3_600_000_000]
+    recent = [r for r in state.get("recent", []) if r[0] > now_us - HOUR_US]
     state["recent"] = recent
     if state.get("retry_us", 0) > now_us:
         return "cooling", round((state["retry_us"] - now_us) / 1e6, 6)
     over = (
         state["n"] + 1 > daily_requests * fraction
         or state["sum"] + billed > daily_seconds * fraction
-        or sum(b for _, b in recent) + billed > hourly_seconds * fraction
+        or sum(r[1] for r in recent) + billed > hourly_seconds * fraction
     )
     if over:
         return "budget", 0.0
-    minute = [t for t, _ in recent if t > now_us - 60_000_000]
+    minute = [r[0] for r in recent if r[0] > now_us - MINUTE_US]
     if len(minute) + 1 > per_minute * fraction:
         wait = 61 - (now_us - min(minute)) / 1e6 if minute else 1.0
         return "paced", round(max(1.0, wait), 6)
-    recent.append((now_us, billed))
+    recent.append((now_us, billed, request_id))
     state["n"] += 1
     state["sum"] += billed
     return "admit", 0.0
 
 
-class Admission(_Fold):
-    order = ["start_us", "request_id"]
+def pause_after(status: int | None, retry_after: str | None) -> float:
+    """Seconds without requests after an answer: none below 400, longer when access is refused.
+
+    No status stands for a lost connection. A stated delay is kept between 5 s and a day.
+    """
+    if status is None:
+        return 30.0
+    if status < 400:
+        return 0.0
+    if status in (401, 403):
+        return 300.0
+    if retry_after is None:
+        return 30.0
+    try:
+        return max(5.0, min(86_400.0, float(retry_after)))
+    except ValueError:
+        return 60.0
+
+
+def respond_step(state: dict, now_us: int, request_id: int, status: int | None, retry_after: str | None) -> None:
+    """Take in the answer to an admitted request of the last hour; a failure starts or replaces the pause."""
+    if any(r[2] == request_id and r[0] > now_us - HOUR_US for r in state.get("recent", [])):
+        pause = pause_after(status, retry_after)
+        if pause:
+            state["retry_us"] = now_us + int(pause * 1e6)
+
+
+class Admission(EventTimeFold):
+    """Requests and answers of one account. Its state is closed when the day, the hour and the pause are over."""
+
+    row_schema = "start_us bigint, answers boolean, request_id bigint, audio_seconds double, status int, retry_header string"
+    state_schema = (
+        "day bigint, n bigint, total double, retry_us bigint, times array<bigint>, billed array<double>, ids array<bigint>"
+    )
     columns = ["account", "request_id", "verdict", "retry_after"]
 
     def __init__(self, limits: dict):
         self.limits = limits
 
-    def step(self, state, key, row):
-        verdict, wait = admit_step(state, int(row.start_us), float(row.audio_seconds), **self.limits)
-        return [(key, int(row.request_id), verdict, wait)]
+    def restore(self, row):
+        day, n, total, retry_us, times, billed, ids = row
+        recent = [(int(t), float(b), int(i)) for t, b, i in zip(times, billed, ids, strict=True)]
+        return {"day": day, "n": n, "sum": total, "retry_us": retry_us, "recent": recent}
+
+    def store(self, state):
+        times, billed, ids = (list(x) for x in zip(*state["recent"], strict=True)) if state["recent"] else ([], [], [])
+        return state["day"], state["n"], state["sum"], state.get("retry_us", 0), times, billed, ids
+
+    def fold(self, state, rows):
+        state, out = state or {}, []
+        for now, answers, request, seconds, status, header in rows:
+            if answers:
+                respond_step(state, now, request, None if status == NO_STATUS else status, header)
+            else:
+                verdict, wait = admit_step(state, now, float(seconds), request_id=request, **self.limits)
+                out.append((int(request), verdict, wait))
+        return (state if "day" in state else None), out
+
+    def open_until(self, state):
+        day_ends = (state["day"] + 1) * DAY_US - OFFSET_US
+        last = max((r[0] for r in state["recent"]), default=0)
+        return max(day_ends, last + HOUR_US, state.get("retry_us", 0))
 
 
 DEFAULT_LIMITS = {
@@ -142,82 +277,116 @@ DEFAULT_LIMITS = {
 }
 
 
-def quota_stream(usage: DataFrame, **limits) -> DataFrame:
-    """Admission verdict per request; state holds the admitted requests of one hour per account."""
-    return usage.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=Admission({**DEFAULT_LIMITS, **limits}),
-        outputStructType="account string, request_id bigint, verdict string, retry_after double",
-        outputMode="Append",
-        timeMode="None",
-    )
+def with_answers(requests: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """Both kinds of events of an account as rows of one stream; at the same time a request comes first.
+
+    ``requests``: account, request_id, start_us, audio_seconds. ``answers``: account, request_id, start_us,
+    status (null: no connection), retry_header (the stated delay, null if none).
+    """
+    asked = requests.select(
+        "account", "start_us", F.lit(False).alias("answers"), "request_id", F.col("audio_seconds").cast("double").alias("audio_seconds"),
+        F.lit(0).alias("status"), F.lit(None).cast("string").alias("retry_header"),
+    )
+    if answers is None:
+        return asked
+    came = answers.select(
+        "account", "start_us", F.lit(True).alias("answers"), "request_id", F.lit(0.0).alias("audio_seconds"),
+        F.coalesce(F.col("status").cast("int"), F.lit(NO_STATUS)).alias("status"), F.col("retry_header").cast("string").alias("retry_header"),
+    )
+    return asked.unionByName(came)
 
 
-def unit_step(
-    state: dict,
-    start_us: int,
-    energy: float,
-    speech: bool,
-    frame_us: int,
-    target_us: int,
-    max_us: int,
-    pause_us: int,
-    jump_us: int,
-    overlap_us: int,
-) -> list[tuple[int, int, int, int]]:
-    """Feed one frame; returns finished units as (start, end, core start, core end) instants.
-
-    A unit ends at a pause once it is long enough, at the quietest late frame when it reaches the
-    maximum (the next unit then repeats a short context before its core), or at a jump in time.
-    Silence alone is forgotten.
+def quota_stream(usage: DataFrame, answers: DataFrame | None = None, delay: str = WATERMARK, **limits) -> DataFrame:
+    """Admission verdict per request; answers with a failure make the account pause.
+
+    State holds the admitted requests of one hour per account, and the pause.
     """
-    out = []
-
-    def emit(n: int, context: int = 0) -> None:
-        frames = state["frames"]
-        total = min(len(frames), n + context)
-        s = state["start"]
-        out.append((s, s + total * frame_us, s + state["core"] * frame_us, s + n * frame_us))
-        kept = n - context
-        state["frames"] = frames[kept:]
-        state["start"] = s + kept * frame_us
-        state["core"] = context
-        if not state["frames"]:
-            state.clear()
-
-    if state.get("frames"):
-        expected = state["start"] + len(state["frames"]) * frame_us
-        if abs(start_us - expected) > jump_us:
-            emit(len(state["frames"]))
-            state.clear()
-    if not state.get("frames"):
-        state.update(start=start_us, frames=[], core=0)
-    state["frames"].append([energy, bool(speech)])
-    length = len(state["frames"]) * frame_us
-    if length < target_us:
-        return out
-    frames = state["frames"]
-    spoken = [i for i, f in enumerate(frames) if f[1]]
-    if not spoken:
-        state.clear()
-    elif length >= max_us:
-        limit = max_us // frame_us
-        choices = range(limit - 2_000_000 // frame_us, limit - 500_000 // frame_us)
-        emit(min(choices, key=lambda i: (frames[i][0], i)) + 1, overlap_us // frame_us)
-    elif (len(frames) - 1 - spoken[-1]) * frame_us >= pause_us:
-        emit(len(frames))
-    return out
-
-
-class BoundedUnits(_Fold):
-    order = ["start_us"]
+    rows = with_answers(usage, answers)
+    schema = "account string, request_id bigint, verdict string, retry_after double"
+    return _run(rows, "account", Admission({**DEFAULT_LIMITS, **limits}), schema, delay)
+
+
+class UnitRules:
+    """Lengths in frames: a unit may end at a pause from ``target`` on and must end at ``most``."""
+
+    def __init__(self, frame_s: float, target_s: float, max_s: float, pause_s: float, overlap_s: float):
+        frames = lambda s: int(np.ceil(round(s / frame_s, 9)))
+        self.target, self.most, self.pause = frames(target_s), frames(max_s), frames(pause_s)
+        self.overlap = int(overlap_s / frame_s)
+        self.late, self.early = int(2.0 / frame_s), int(0.5 / frame_s)
+
+
+def cut_run(energy: np.ndarray, speech: np.ndarray, core: int, rules: UnitRules, ended: bool) -> tuple[list, int, int]:
+    """Units (start, end, core start, core end) of a run of frames without a jump, as frame numbers.
+
+    ``core`` frames at the begin are context from the unit before. Also returns where the open rest begins and
+    its context. With ``ended`` the rest is a unit too, if there is speech in it; silence alone is dropped.
+
+    The last spoken frame before each place is known for the whole run, so a unit's end is looked up instead of
+    fed frame by frame.
+    """
+    n, at, units = len(energy), 0, []
+    spoken = np.maximum.accumulate(np.where(speech, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    while n - at >= rules.target:
+        if spoken[at + rules.target - 1] < at:
+            at, core = at + rules.target, 0
+            continue
+        ends = np.arange(at + rules.target, min(at + rules.most, n + 1))
+        paused = np.flatnonzero(ends - 1 - spoken[ends - 1] >= rules.pause)
+        if len(paused):
+            end = int(ends[paused[0]])
+            units.append((at, end, at + core, end))
+            at, core = end, 0
+        elif n - at >= rules.most:
+            late = max(at, at + rules.most - rules.late)
+            end = late + int(np.argmin(energy[late : at + rules.most - rules.early])) + 1
+            units.append((at, min(end + rules.overlap, at + rules.most), at + core, end))
+            at, core = end - rules.overlap, rules.overlap
+        else:
+            break
+    if ended:
+        if n - at > core and spoken[n - 1] >= at:
+            units.append((at, n, at + core, n))
+        at, core = n, 0
+    return units, at, core
+
+
+class BoundedUnits(EventTimeFold):
+    """Open frames of a device. When the watermark is past the next frame's time, what follows is a new run."""
+
+    row_schema = "start_us bigint, energy double, speech boolean"
+    state_schema = "start_us bigint, core int, energy array<double>, speech array<boolean>"
     columns = ["device_id", "start_us", "end_us", "core_start_us", "core_end_us"]
 
-    def __init__(self, **limits):
-        self.limits = limits
+    def __init__(self, rules: UnitRules, frame_us: int, jump_us: int):
+        self.rules, self.frame_us, self.jump_us = rules, frame_us, jump_us
+
+    def _units(self, start, core, energy, speech, ended):
+        units, at, core = cut_run(np.asarray(energy, float), np.asarray(speech, bool), core, self.rules, ended)
+        state = (start + at * self.frame_us, core, energy[at:], speech[at:]) if at < len(energy) else None
+        return state, [tuple(start + x * self.frame_us for x in u) for u in units]
+
+    def fold(self, state, rows):
+        times, out, low = np.array([r[0] for r in rows]), [], 0
+        while low < len(rows):
+            start, core, energy, speech = state or (rows[low][0], 0, [], [])
+            due = start + (len(energy) + np.arange(len(rows) - low)) * self.frame_us
+            jumps = np.flatnonzero(np.abs(times[low:] - due) > self.jump_us)
+            high = low + int(jumps[0]) if len(jumps) else len(rows)
+            energy, speech = energy + [r[1] for r in rows[low:high]], speech + [r[2] for r in rows[low:high]]
+            state, units = self._units(start, core, energy, speech, ended=high < len(rows))
+            out, low = out + units, high
+        return state, out
 
-    def step(self, state, key, row):
-        units = unit_step(state, int(row.start_us), float(row.energy), bool(row.speech), **self.limits)
-        return [(key, *u) for u in units]
+    def restore(self, row):
+        start, core, energy, speech = row
+        return start, core, [float(e) for e in energy], [bool(x) for x in speech]
+
+    def open_until(self, state):
+        return state[0] + len(state[2]) * self.frame_us + self.jump_us
+
+    def finish(self, state):
+        return self._units(*state, ended=True)[1]
 
 
 def bounded_units_stream(
@@ -228,17 +397,15 @@ def bounded_units_stream(
     pause_s: float = 0.6,
     jump_s: float = 0.025,
     overlap_s: float = 0.5,
+    delay: str = WATERMARK,
 ) -> DataFrame:
-    """Speech units of bounded length from frames (device_id, start_us, energy, speech)."""
+    """Speech units of bounded length from frames (device_id, start_us, energy, speech).
+
+    A unit ends at a pause once it is long enough, at the quietest late frame when it reaches the maximum (the
+    next unit then repeats a short context before its core), at a jump in time, and when no frame follows before
+    the watermark. Each frame with speech is in the core of one unit. Silence alone is dropped.
+    """
     us = lambda s: int(round(s * 1e6))
-    return frames.groupBy("device_id").transformWithStateInPandas(
-        statefulProcessor=BoundedUnits(
-            frame_us=us(frame_s), target_us=us(target_s), max_us=us(max_s), pause_us=us(pause_s),
-            jump_us=us(jump_s), overlap_us=us(overlap_s),
-        ),
-        outputStructType=(
-            "device_id string, start_us bigint, end_us bigint, core_start_us bigint, core_end_us bigint"
-        ),
-        outputMode="Append",
-        timeMode="None",
-    )
+    rules = UnitRules(frame_s, target_s, max_s, pause_s, overlap_s)
+    schema = "device_id string, start_us bigint, end_us bigint, core_start_us bigint, core_end_us bigint"
+    return _run(frames, "device_id", BoundedUnits(rules, us(frame_s), us(jump_s)), schema, delay)

@@ -8,7 +8,7 @@ from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 # These have no SQL: their results are checked against plain loops in the other tests.
-NO_SQL = {"asr_eval", "bounded_units_stream"}
+NO_SQL = {"asr_eval"}
 SAMPLE = (
     "merge_segments split_units quota_stream group_conversations capped_sessions weekly_summary conversation_payload review_flags "
     "quality_score assess_status candidate_terms bm25_search best_and_second span_voting rolling_quota "

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from palaver.functions import quality as Q
 from palaver.functions import romanize as R
 from palaver.functions import text as X
 from palaver.functions import timefmt as D
-from palaver.operators.accuracy import score_pairs
+from palaver.functions.editdist import split_distance
+from palaver.operators.accuracy import full_report, score_pairs
 from palaver.operators.scoring import score_texts
 from palaver.operators.search import bm25_search
 
@@ -152,14 +154,63 @@ def test_edit_operations_and_distance(spark):
     r = random.Random(2)
     rows = [(i, "s", " ".join(r.choices("abcde", k=r.randrange(12))), " ".join(r.choices("abcde", k=r.randrange(12)))) for i in range(80)]
     df = spark.createDataFrame(rows, "scenario int, system string, reference string, hypothesis string")
-    for ops in (True, False):
-        for x in score_pairs(df, ops).collect():
-            d, s, de, n = edits_by_hand(x.reference.split(), x.hypothesis.split())
-            if ops:
-                assert (x.substitutions, x.deletions, x.insertions) == (s, de, n)
-            a, b = len(x.reference.split()), len(x.hypothesis.split())
-            want = 0.0 if a == b == 0 else 1.0 if 0 in (a, b) else d / a
-            assert abs(x.wer - want) < 1e-9
+    for x in score_pairs(df).collect():
+        d, s, de, n = edits_by_hand(x.reference.split(), x.hypothesis.split())
+        assert (x.substitutions, x.deletions, x.insertions) == (s, de, n)
+        a, b = len(x.reference.split()), len(x.hypothesis.split())
+        want = 0.0 if a == b == 0 else 1.0 if 0 in (a, b) else d / a
+        assert abs(x.wer - want) < 1e-9
+        a, b = len(x.reference), len(x.hypothesis)
+        want = 0.0 if a == b == 0 else 1.0 if 0 in (a, b) else edits_by_hand(x.reference, x.hypothesis)[0] / a
+        assert abs(x.cer - want) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bands_equal_a_plain_table(seed):
+    r = random.Random(seed)
+    for _ in range(25):
+        a = [r.randrange(30) for _ in range(r.randrange(90))]
+        b = [x for x in a if r.random() > 0.2]
+        for _ in range(r.randrange(1 + 4 * seed)):
+            b.insert(r.randrange(len(b) + 1), r.randrange(30))
+        if r.random() < 0.3:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        d, s, de, n = edits_by_hand(a, b)
+        assert split_distance(np.array(a, np.int64), np.array(b, np.int64)) == (d, s, de, n)
+
+
+def test_long_texts_with_errors_across_line_ends(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    heard = [w for i, w in enumerate(words) if i % 1000 != 500]
+    for i in range(300, len(heard), 997):
+        heard[i] = "x"
+    heard[7000:7000] = ["more"] * 40
+    df = spark.createDataFrame([("a", "s", "\n".join(words), " ".join(heard))], "scenario string, system string, reference string, hypothesis string")
+    x = score_pairs(df).first()
+    assert (x.deletions, x.substitutions, x.insertions) == (20, len(range(300, 19_980, 997)), 40)
+
+
+def test_report_has_all_columns(spark):
+    scores = score_pairs(spark.createDataFrame([("SILENCE", "s", "", "a b"), ("one", "s", "a b c", "a b c")], "scenario string, system string, reference string, hypothesis string"))
+    segments = spark.createDataFrame([("SILENCE", "s", "a b", 0.0), ("one", "s", "ha" * 20, 0.1), ("one", "s", "a b", 2.5), ("one", "s", " ", 9.0)], "scenario string, system string, text string, compression_ratio double")
+    times = spark.createDataFrame([("SILENCE", "s", 1.125, 0.0), ("one", "s", 2.0, 16.0)], "scenario string, system string, processing_time double, audio_duration double")
+    got = {r.scenario: r for r in full_report(scores, segments, times).collect()}
+    assert tuple(got["SILENCE"])[2:] == ("1.0000", "1.0000", 2, 0, 0, 0, 2, "0.000", "1.12", "0.00", 0, 2, 1)
+    assert tuple(got["one"])[2:] == ("0.0000", "0.0000", 0, 0, 0, 3, 3, "0.125", "2.00", "16.00", 2, 0, 3)
+
+
+def test_accuracy_report_against_a_plain_table(spark):
+    from palaver.plans.jobs import accuracy_report
+
+    rows = [("a", "s", "Hain, 5 meetings\nnahin", "hai paanch miting haan"), ("b", "s", "...", "um"), ("c", "s", "don't stop", "dont stop now")]
+    df = spark.createDataFrame(rows, "scenario string, system string, reference string, hypothesis string")
+    got = {r.scenario: r for r in accuracy_report(df).collect()}
+    normal = {r.scenario: (r.r, r.h) for r in df.select("scenario", E.normalize_text(F.col("reference")).alias("r"), E.normalize_text(F.col("hypothesis")).alias("h")).collect()}
+    for key, (ref, hyp) in normal.items():
+        d, s, de, n = edits_by_hand(ref.split(), hyp.split())
+        x = got[key]
+        assert (x.substitutions, x.deletions, x.insertions, x.ref_words, x.hyp_words) == (s, de, n, len(ref.split()), len(hyp.split()))
+        assert x.wer == (1.0 if not ref else d / len(ref.split()))
 
 
 def test_search_modes(spark):
