@@ -116,7 +116,7 @@ FOLD = """WITH e AS (SELECT account, start_us, 0 AS answers, request_id, billed_
     CASE request_id % 41 WHEN 1 THEN '900' WHEN 2 THEN '1' WHEN 3 THEN 'soon' END FROM v_usage WHERE request_id % 41 < 6),
 q AS (SELECT *, (start_us + 19800000000) // 86400000000 AS dn, row_number() OVER (PARTITION BY account ORDER BY start_us, answers, request_id) AS rn,
   CASE WHEN answers = 0 THEN 0 WHEN status IS NULL THEN 30 WHEN status IN (401, 403) THEN 300 WHEN header IS NULL THEN 30
-    ELSE coalesce(least(86400, greatest(5, TRY_CAST(header AS DOUBLE))), 60) END AS pause FROM e),
+    WHEN TRY_CAST(header AS DOUBLE) IS NULL THEN 60 ELSE least(86400, greatest(5, TRY_CAST(header AS DOUBLE))) END AS pause FROM e),
 f AS (
   SELECT account, 0::BIGINT AS rn, 0::BIGINT AS request_id, '' AS verdict, 0.0::DOUBLE AS retry_after, []::STRUCT(t BIGINT, b DOUBLE, id BIGINT)[] AS recent, 0::BIGINT AS dn, 0::BIGINT AS n, 0.0::DOUBLE AS total, 0::BIGINT AS retry_us
   FROM (SELECT DISTINCT account FROM q)
