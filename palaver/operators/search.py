@@ -67,18 +67,27 @@ def bm25_search(
         F.avg("dl").alias("_avg"),
         *[F.count_if(F.col(n) > 0).alias(f"_d{n}") for n in names],
     )
+    return _ranked(counted.join(F.broadcast(totals)), key, names, mode, limit, offset, k1, b)
+
+
+def _term_score(f: Column, d: Column, dl: Column, n: Column, avg: Column, k1: float, b: float) -> Column:
+    """Share of one term in the score of a row with ``f`` occurrences; ``d`` of ``n`` rows have the term."""
+    idf = F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6))
+    return idf * f * (k1 + 1) / (f + k1 * (1 - b + b * dl / avg))
+
+
+def _ranked(
+    counted: DataFrame, key: str, names: list[str], mode: str, limit: int, offset: int, k1: float, b: float
+) -> DataFrame:
+    """Best rows of (key, dl, term counts ``names``, ``_n``, ``_avg``, and ``_d`` + name for each count)."""
     has = [F.col(n) > 0 for n in names]
     cond = has[0]
     for h in has[1:]:
         cond = (cond | h) if mode == "any" else (cond & h)
     score = F.lit(0.0)
     for n in names:
-        d = F.col(f"_d{n}")
-        idf = F.greatest(F.log((F.col("_n") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
-        f = F.col(n)
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
-    ranked = counted.filter(cond).join(F.broadcast(totals)).select(key, (-score).alias("rank"))
-    ranked = ranked.orderBy("rank", key)
+        score = score + _term_score(F.col(n), F.col(f"_d{n}"), F.col("dl"), F.col("_n"), F.col("_avg"), k1, b)
+    ranked = counted.filter(cond).select(key, (-score).alias("rank")).orderBy("rank", key)
     return (ranked.offset(offset) if offset else ranked).limit(limit)
 
 

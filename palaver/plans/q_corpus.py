@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions import evaltext as E
@@ -12,10 +15,12 @@ from palaver.operators import glossary as G
 from palaver.operators import lookups as L
 from palaver.operators import search as R
 from palaver.operators.quota import rolling_quota
+from palaver.operators.textindex import TextIndex
 from palaver.plans.oracle import sql, words_of
 from palaver.plans.q_dashboard import as_of, since
 from palaver.plans.q_text import COMMON_IN, TERMS_SQL, VALID_SQL, key_sql, roman_sql
 from palaver.plans.registry import query
+from palaver.session import scratch_dir
 
 SOURCES = "source_type IN ('live_conversation', 'self_talk')"
 LIST = TERMS_SQL.replace("text", "transcript")
@@ -224,6 +229,31 @@ def bm25_prefix(t):
     return R.bm25_search(t.texts, "the hein", ["text"], "doc_id", mode="prefix").withColumn("rank", F.round("rank", 6))
 
 
+_SEARCHES = {
+    "any": ("Thed anre", [ONE.format(w="thed"), ONE.format(w="anre")], "tf0 > 0 OR tf1 > 0", "LIMIT 50"),
+    "all": ("the anre", [ONE.format(w="the"), ONE.format(w="anre")], "tf0 > 0 AND tf1 > 0", "LIMIT 20"),
+    "phrase": ("of the", ["len([i FOR i IN range(1, len(@)) IF @[i] = 'of' AND @[i + 1] = 'the'])"], "tf0 > 0", "LIMIT 50"),
+    "prefix": ("the hein", [ONE.format(w="the"), "len(list_filter(@, lambda x: starts_with(x, 'hein')))"], "tf0 > 0 AND tf1 > 0", "LIMIT 50"),
+}
+INDEX_SQL = " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, doc_id, rank FROM ({bm25_sql('v_texts', 'doc_id', ['text'], tf, cond, end)} SELECT doc_id, rank FROM hits)"
+    for mode, (_, tf, cond, end) in _SEARCHES.items()
+)
+
+
+# All texts are indexed, some with another text at first, which a second segment replaces.
+@query("index_search", sql("texts", INDEX_SQL))
+def index_search(t):
+    texts = t.texts.select("doc_id", "text")
+    changed = F.col("doc_id") % 7 == 0
+    index = TextIndex(t.spark, scratch_dir(t.spark, "index"), ["text"], "doc_id")
+    index.add(texts.withColumn("text", F.when(changed, F.concat(F.lit("of the hein the "), F.reverse("text"))).otherwise(F.col("text"))), 0)
+    index.add(texts.where(changed), 1)
+    found = [index.search(q, mode, limit=20 if mode == "all" else 50).withColumn("mode", F.lit(mode)) for mode, (q, *_) in _SEARCHES.items()]
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("mode", "doc_id", F.round("rank", 6).alias("rank"))
+
+
 @query(
     "fts_join",
     sql("conv", bm25_sql("v_conv", "conversation_id", ["summary", "transcript"], [ONE.format(w="the"), ONE.format(w="and")], "tf0 > 0 AND tf1 > 0", "LIMIT 20") + " SELECT conversation_id, rank, date, source_type FROM hits JOIN v_conv USING (conversation_id)"),
