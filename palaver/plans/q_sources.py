@@ -20,6 +20,7 @@ from palaver.plans.q_text import LOOP_SQL, SLUG
 from palaver.plans.registry import query
 from palaver.session import scratch_dir
 from palaver.sources import files, journal_csv, tables
+from palaver.sources.stored import StoredTable
 
 
 @query(
@@ -328,6 +329,27 @@ def eval_report_csv(t):
     return back.withColumns({c: F.col(c).cast("bigint") for c in counts})
 
 
+# Half of the segments are stored, the rest replaces some of them; then languages are set and rows removed.
+@query(
+    "stored_updates",
+    sql("segments", """SELECT segment_id, CASE WHEN event_id % 3 = 0 OR event_id % 2 = 1 THEN speaker ELSE 'before' END AS speaker,
+      CASE WHEN event_id % 11 = 0 THEN 'xx' ELSE language END AS language, end_us, (SELECT count(*) FROM v_segments WHERE event_id % 11 = 0) AS absent
+      FROM v_segments WHERE event_id % 7 <> 0"""),
+)
+def stored_updates(t):
+    rows = t.segments.select("segment_id", "speaker", "language", "end_us", "event_id")
+    kept = ["segment_id", "speaker", "language", "end_us"]
+    table = StoredTable(t.spark, scratch_dir(t.spark, "stored"), "segment_id string, speaker string, language string, end_us bigint", "segment_id")
+    even = F.col("event_id") % 2 == 0
+    table.replace(rows.where(even).withColumn("speaker", F.lit("before")).select(kept))
+    table.replace(rows.where(~even | (F.col("event_id") % 3 == 0)).select(kept))
+    some = rows.where("event_id % 11 = 0").select("segment_id", F.lit("xx").alias("language"))
+    unknown = some.withColumn("segment_id", F.concat(F.lit("no-"), "segment_id"))
+    _, absent = table.update(some.unionByName(unknown))
+    table.remove(rows.where("event_id % 7 = 0").select("segment_id"))
+    return table.read().crossJoin(F.broadcast(absent.agg(F.count("*").alias("absent"))))
+
+
 @query(
     "batch_conversations",
     sql("segments", f"""WITH p AS (SELECT *, lag(end_us) OVER (PARTITION BY device_id ORDER BY start_us, segment_id) AS pe FROM v_segments WHERE processed_us IS NULL),
