@@ -14,20 +14,33 @@ from palaver.llm.scratch import staged
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but id and text under names that no stage uses, and how they are called."""
+    names = {f"col{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed({c: n for n, c in names.items()}), names
+
+
+def as_before(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` with the columns of ``docs`` only, as they were called."""
+    return rows.select("doc_id", "text", *names).withColumnsRenamed(names).select(*docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; texts without letters and undecided texts go."""
     model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = language.identify(docs, model, names=("_lang", "_score"))
+    rows, names = apart(docs)
+    found = language.identify(rows, model, names=("_lang", "_score"))
     good = (F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(good).select(*docs.columns)
+    return as_before(found.where(good), docs, names)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in the corpus before; those with no line left go."""
-    kept = line_dedup.dedupe_lines(docs)
+    rows, names = apart(docs)
+    kept = line_dedup.dedupe_lines(rows)
     left = (F.col("n_removed") == 0) | (F.trim("text") != "")
-    text = kept.where(left).drop("n_lines", "n_removed")
-    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    text = as_before(kept.where(left), docs, names)
+    return text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,24 +48,26 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that agree in id and text too, one stays. Texts without words are in no class and all stay.
     """
-    rows = staged(jaccard_join.classes(docs).select("doc_id", "key", "h", "class"))
+    marked = staged(jaccard_join.classes(docs.select("doc_id", "text")).select("doc_id", "key", "h", "class"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "h")).alias("first")
-    kept = rows.where("class is not null").groupBy("class").agg(first).select("first.key", "first.h", F.lit(True).alias("_one"))
-    free = rows.where("class is null").select("key", "h", F.lit(False).alias("_one")).distinct()
+    kept = marked.where("class is not null").groupBy("class").agg(first).select("first.key", "first.h", F.lit(True).alias("_one"))
+    free = marked.where("class is null").select("key", "h", F.lit(False).alias("_one")).distinct()
     marks = kept.unionByName(free).withColumnsRenamed({"key": "_key", "h": "_h"})
     key, h = jaccard_join.row_key()
-    found = docs.withColumns({"_key": key, "_h": h}).join(marks, ["_key", "_h"])
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    number = F.row_number().over(Window.partitionBy("_key", "_h").orderBy(F.xxhash64(F.lit(0), *others)))
-    return found.withColumn("_n", number).where(~F.col("_one") | (F.col("_n") == 1)).select(*docs.columns)
+    rows, names = apart(docs)
+    found = rows.withColumns({"_key": key, "_h": h}).join(marks, ["_key", "_h"])
+    number = F.row_number().over(Window.partitionBy("_key", "_h").orderBy(F.xxhash64(F.lit(0), *names)))
+    return as_before(found.withColumn("_n", number).where(~F.col("_one") | (F.col("_n") == 1)), docs, names)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; a row is known by its id and a hash of its text."""
     own = F.xxhash64(F.col("doc_id").isNull(), F.col("text"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_text": own})
+    rows, names = apart(docs)
+    keyed = rows.withColumns({"_id": F.coalesce("doc_id", F.lit(0)), "_text": own})
     found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("_id", "_text"))
-    return keyed.join(found.select("_id", "_text").distinct(), ["_id", "_text"], "left_anti").select(*docs.columns)
+    clean = keyed.join(found.select("_id", "_text").distinct(), ["_id", "_text"], "left_anti")
+    return as_before(clean, docs, names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
