@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palaver.llm.queries import ORACLES, QUERIES
@@ -58,3 +59,18 @@ def test_only_leaking_rows_go(spark, stages):
     docs = spark.createDataFrame(rows, stages[0].schema)
     got = corpus_pipeline.uncontaminated(spark, docs, SF).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("5", ""), ("6", "None"), ("None", "clean")]
+
+
+def test_stages_with_clashing_names_nulls_and_no_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["n_lines", "n_removed", "_lang", "_score", "_id", "_text", "_key", "_h", "_one", "_n", "input", "key"]
+    more = docs.limit(40).select("*", *(F.lit(n).alias(n) for n in names))
+    more = more.unionByName(more.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in more.schema)))
+    for start in (more, more.limit(0)):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            now = spark.createDataFrame(now.collect(), start.schema)
+            assert now.columns == start.columns
+            assert now.where(" or ".join(f"{n} != '{n}'" for n in names)).count() == 0
+        assert now.count() <= start.count()
