@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.graph import connected_components
+from palaver.llm.ranks import bounded
 from palaver.llm.scratch import staged
 from palaver.llm.words import mix, steps
 
@@ -93,19 +94,24 @@ def _lines(keyed: DataFrame) -> DataFrame:
 def _meetings(lines: DataFrame) -> DataFrame:
     """(key, lid, short, head, size): distinct lines of each band of two or more, and the least short id of them.
 
-    Equal lines of a task are one row before the shuffle.
+    Keys are written once, as one array a line. Bands of one distinct line go by their least and greatest short
+    id, so equal lines need no shuffle of their own. The keys of the other bands are broadcast if they are few.
     """
     keyed = lines.select("lid", "line").mapInArrow(_keys, "lid binary, keys array<bigint>")
-    rows = keyed.select("lid", F.explode("keys").alias("key")).distinct()
-    rows = staged(rows.withColumn("short", F.xxhash64("lid")))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("short").alias("head")).where("size > 1")
-    return staged(rows.join(shared, "key"))
+    keyed = staged(keyed).withColumn("short", F.xxhash64("lid"))
+    each = keyed.select(F.explode("keys").alias("key"), "short")
+    shared = each.groupBy("key").agg(F.min("short").alias("head"), F.max("short").alias("last")).where("head != last")
+    shared = staged(shared.select("key", "head"))
+    rows = keyed.select("lid", "short", F.explode("keys").alias("key")).join(bounded(shared, BROADCAST_LINES), "key").distinct()
+    sizes = F.count("*").alias("size")
+    rows = staged(rows)
+    return rows.join(rows.groupBy("key").agg(sizes), "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     """Each line with the least head of its bands, if that is another one: a pair a line, however large a band is."""
     heads = met.groupBy("lid", "short").agg(F.min("head").alias("head")).where("head != short")
-    named = met.select(F.col("lid").alias("x"), F.col("short").alias("head")).distinct()
+    named = met.where("head = short").select(F.col("lid").alias("x"), "head").distinct()
     return heads.join(named, "head").select("x", F.col("lid").alias("y"))
 
 
@@ -125,18 +131,26 @@ def _counted(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, number, np.bincount(owner, minlength=len(lines))
 
 
+def _set_keys(lines: list[str]) -> np.ndarray:
+    """Sorted distinct shingles of lines: the number of the line in 16 bits, then 48 bits of the hash."""
+    hashes, owner = _hashes(lines)
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """(u, v) of the rows (x, y, a, b) whose lines ``a`` and ``b`` are alike."""
     for batch in steps(batches, "a", _STEP_BYTES):
-        n = batch.num_rows
-        owner, number, size = _counted(batch.column("a").to_pylist() + batch.column("b").to_pylist())
-        # A shingle that both lines of a row have stands twice under the row's number.
-        both = np.sort((owner % n) * (int(number.max(initial=0)) + 1) + number)
-        twice = both[1:][both[1:] == both[:-1]] // (int(number.max(initial=0)) + 1)
-        common = np.bincount(twice, minlength=n)
-        alike = pa.array(common >= threshold * (size[:n] + size[n:] - common))
-        found = batch.filter(alike)
-        yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], names=["u", "v"])
+        for first in range(0, batch.num_rows, 1 << 16):
+            part = batch.slice(first, 1 << 16)
+            n = part.num_rows
+            left, right = (_set_keys(part.column(c).to_pylist()) for c in ("a", "b"))
+            # Two sorted runs, which a stable sort merges; what both lines of a row have stands twice.
+            both = np.sort(np.concatenate([left, right]), kind="stable")
+            twice = both[1:][both[1:] == both[:-1]]
+            size, common = (sum(np.bincount((k >> np.uint64(48)).astype(np.int64), minlength=n) for k in x) for x in ((left, right), (twice,)))
+            found = part.filter(pa.array(common >= threshold * (size - common)))
+            yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], names=["u", "v"])
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -147,13 +161,18 @@ def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(lambda b: _compared(b, threshold), "u binary, v binary")
 
 
-def _cells(met: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+def _cells(met: DataFrame, pairs: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
     """(left, right): lines of bands that are not yet one component, in blocks, so that each pair meets.
 
-    Bands of the same lines are taken once. A band's lines grow by the number of its blocks.
+    Bands of the same lines are taken once, and two lines that were compared already are left out. A band's lines
+    grow by the number of its blocks.
     """
+    two = met.where("size = 2").groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b"))
+    seen = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    done = two.join(seen, ["a", "b"], "left_semi").select("key")
     inside = (
-        met.select("key", "lid")
+        met.join(done, "key", "left_anti")
+        .select("key", "lid")
         .join(texts.select("lid", F.length("line").alias("n")), "lid")
         .join(components, F.col("lid") == F.col("node"), "left")
         .select("key", "lid", "n", F.coalesce("component", "lid").alias("component"))
@@ -192,7 +211,7 @@ def _cells(met: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _cell_edges(left: list[dict], right: list[dict], threshold: float) -> set[tuple[bytes, bytes]]:
-    """Pairs of components with alike lines; ``right`` is empty where the left block is compared with itself."""
+    """Pairs of components that alike lines join; ``right`` is empty where the left block is compared with itself."""
     lines = [x["line"] for x in left] + [x["line"] for x in right]
     owner, number, size = _counted(lines)
     order = np.argsort(number, kind="stable")
@@ -218,7 +237,7 @@ def _cell_edges(left: list[dict], right: list[dict], threshold: float) -> set[tu
 def _across(cells: DataFrame, threshold: float) -> DataFrame:
     """Edges between components that hold alike lines: every pair of a cell from different ones is compared.
 
-    A cell returns each pair of components once, so edges do not grow with the pairs of lines.
+    A cell returns a spanning forest, so edges do not grow with the pairs of lines.
     """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +255,7 @@ def _components(met: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     pairs = staged(_pairs(met))
     texts = _texts(staged(met.select("lid").distinct()), lines)
     first = staged(connected_components(_alike(pairs, texts, threshold)))
-    more = staged(_across(_cells(met, first, texts), threshold))
+    more = staged(_across(_cells(met, pairs, first, texts), threshold))
     if not more.limit(1).count():
         return first
     return connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
