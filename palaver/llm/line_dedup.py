@@ -227,10 +227,18 @@ def _cell_edges(left: list[dict], right: list[dict], threshold: float) -> set[tu
     components = [x["component"] for x in left] + [x["component"] for x in right]
     if right:
         alike[: len(left), : len(left)] = alike[len(left) :, len(left) :] = False
-    out = set()
-    for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
-        if components[i] != components[j]:
-            out.add((components[i], components[j]))
+    # A walk over the alike lines: each line is reached once, so a cell has fewer edges than lines.
+    out, open_ = set(), np.ones(len(lines), bool)
+    for start in range(len(lines)):
+        reached = [start] if open_[start] else []
+        open_[start] = False
+        while reached:
+            i = reached.pop()
+            for j in np.flatnonzero(alike[i] & open_):
+                open_[j] = False
+                reached.append(j)
+                if components[i] != components[j]:
+                    out.add((components[i], components[j]))
     return out
 
 
