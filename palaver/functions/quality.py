@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +50,11 @@ ECHO_RULES = (
     ("आजकीबातचीत", ("partner",)),
 )
 
+#: Letters of the ends of two words by which a phrase is looked up.
+_ENDS = 3
+#: Letters read a word up to which phrases are searched without looking up their ends.
+_SEARCHED = 4000
+
 FOREIGN_SCRIPT = r"[\p{L}\p{M}&&[^\p{IsLatin}\x{0900}-\x{097F}\x{200C}\x{200D}]]"
 
 
@@ -109,20 +116,42 @@ def occurrences(text: Column, phrase: Column) -> Column:
     return (cut / F.length(phrase)).cast("bigint")
 
 
-def repetitive_phrase(text: Column, times: int = 3) -> Column:
-    """First two-word phrase, not among the last two starts, found ``times`` or more, else null."""
+def first_repeated_phrase(low: str, times: int) -> str | None:
+    """First two-word phrase of a trimmed lower-case text, not among the last two starts, found ``times`` or more.
 
-    def phrases(toks):
-        n = F.greatest(F.size(toks) - 3, F.lit(0))
-        return F.zip_with(
-            F.slice(toks, F.lit(1), n), F.slice(toks, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)
-        )
+    A phrase also counts where it ends and begins inside longer words. Pairs of whole words that occur often enough
+    settle all that comes after them; of the phrases before, a long text is searched only for those whose ends meet
+    often enough.
+    """
+    toks = low.split()
+    n = len(toks) - 3
+    if n <= 0:
+        return None
+    pairs = list(zip(toks, toks[1:], strict=False))
+    often = Counter(pairs)
+    stop = next((i for i in range(n) if often[pairs[i]] >= times and low.count(" ".join(pairs[i])) >= times), n)
+    first = dict.fromkeys(pairs[:stop])
+    if len(first) * len(low) > _SEARCHED * n:
+        ends: Counter = Counter()
+        for left, right in pairs:
+            befores = [left[-i:] for i in range(1, min(len(left), _ENDS) + 1)]
+            afters = [right[:i] for i in range(1, min(len(right), _ENDS) + 1)]
+            ends.update([(x, y) for x in befores for y in afters])
+        first = [(a, b) for a, b in first if ends[a[-_ENDS:], b[:_ENDS]] >= times]
+    for a, b in first:
+        if low.count(f"{a} {b}") >= times:
+            return f"{a} {b}"
+    return " ".join(pairs[stop]) if stop < n else None
+
+
+@F.pandas_udf(T.StringType())
+def _repeated_phrase(low: pd.Series, times: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else first_repeated_phrase(s, k) for s, k in zip(low, times, strict=True)], dtype=object)
 
-    def found(low):
-        hits = F.filter(let(words(low), phrases), lambda p: occurrences(low, p) >= times)
-        return F.try_element_at(hits, F.lit(1))
 
-    return let(normal(text), found)
+def repetitive_phrase(text: Column, times: int = 3) -> Column:
+    """First two-word phrase, not among the last two starts, found ``times`` or more, else null."""
+    return _repeated_phrase(normal(text), F.lit(times))
 
 
 def too_short_filler(text: Column, n_words: Column, min_words: int = 3) -> Column:

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -221,3 +222,21 @@ def test_search_modes(spark):
     assert ids("fox", "prefix") == [1, 2, 3]
     assert ids("cafe the", "any") == [1, 2, 3]
     assert ids("", "all") == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeated_phrase_equals_a_plain_loop(seed):
+    r = random.Random(seed)
+    for _ in range(300):
+        letters = r.choice(["ab", "abc", "abcdefgh"])
+        words = ["".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 60))]
+        low = r.choice([" ", "  ", "\n"]).join(words)
+        starts = [f"{a} {b}" for a, b in zip(words, words[1:])][: max(len(words) - 3, 0)]
+        assert Q.first_repeated_phrase(low, 3) == next((p for p in starts if low.count(p) >= 3), None)
+
+
+def test_repeated_phrase_of_a_long_text_takes_seconds_at_most():
+    words = [f"w{i:05d}" for i in range(30_000)]
+    began = time.perf_counter()
+    assert Q.first_repeated_phrase(" ".join(words), 3) is None
+    assert time.perf_counter() - began < 10
