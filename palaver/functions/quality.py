@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,27 +172,21 @@ def _loop_cover(text: pd.Series, limit: pd.Series) -> pd.Series:
         n = len(compact)
         if n < 12:
             return 0.0
-        codes = np.frombuffer(compact.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        _, ids, counts = np.unique(codes, return_inverse=True, return_counts=True)
-        top = int(counts.max())
+        counts = {c: compact.count(c) for c in set(compact)}
+        top = max(counts.values())
         if top >= 8 and top / n > th:
             return top / n
         for size in (2, 3, 4):
-            often = counts * size > th * n
-            inside = often[ids]
-            starts = inside[: n - size + 1].copy()
-            for j in range(1, size):
-                starts &= inside[j : n - size + 1 + j]
-            at = np.flatnonzero(starts)
-            if len(at) < 5 or len(at) * size <= th * n:
+            if top * size <= th * n:
                 continue
-            number = np.cumsum(often) - 1
-            packed = np.zeros(len(at), dtype=np.int64)
-            for j in range(size):
-                packed = packed * int(often.sum()) + number[ids[at + j]]
-            top = int(np.unique(packed, return_counts=True)[1].max())
-            if top >= 5 and top * size / n > th:
-                return top * size / n
+            rare = {ord(c): " " for c, k in counts.items() if k * size <= th * n}
+            runs = [r for r in compact.translate(rare).split(" ") if len(r) >= size]
+            starts = sum(len(r) - size + 1 for r in runs)
+            if starts < 5 or starts * size <= th * n:
+                continue
+            most = max(Counter(r[i : i + size] for r in runs for i in range(len(r) - size + 1)).values())
+            if most >= 5 and most * size / n > th:
+                return most * size / n
         return 0.0
 
     return pd.Series([cover(s or "", th) for s, th in zip(text, limit)], dtype="float64")

@@ -11,7 +11,7 @@ from palaver.functions import quality as Q
 from palaver.functions import romanize as R
 from palaver.functions import text as X
 from palaver.functions import timefmt as D
-from palaver.functions.editdist import split_distance
+from palaver.functions.editdist import distance, split_distance
 from palaver.operators.accuracy import full_report, score_pairs
 from palaver.operators.scoring import score_texts
 from palaver.operators.search import bm25_search
@@ -240,3 +240,24 @@ def test_repeated_phrase_of_a_long_text_takes_seconds_at_most():
     began = time.perf_counter()
     assert Q.first_repeated_phrase(" ".join(words), 3) is None
     assert time.perf_counter() - began < 10
+
+
+def test_distance_of_long_texts_without_a_bound_takes_seconds_at_most():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 26, 30_000)
+    y = np.delete(np.where(r.random(len(x)) < 0.08, r.integers(0, 26, len(x)), x), slice(50, None, 90))
+    began = time.perf_counter()
+    d = distance(x, y)
+    assert abs(len(x) - len(y)) < d <= (x[: len(y)] != y).sum() + len(x) - len(y)
+    assert time.perf_counter() - began < 15
+
+
+def test_segments_of_a_hypothesis_hold_all_its_words(spark):
+    from palaver.plans import views
+
+    words = [f"w{i}" for i in range(3 * views.SEGMENT + 1)]
+    df = spark.createDataFrame([("a", "s", 5, " ".join(words)), ("b", "s", 5, "")], "scenario string, system string, doc_id bigint, hypothesis string")
+    rows = views.pair_segments(df).collect()
+    got = sorted((x.compression_ratio, x.text) for x in rows if x.scenario == "a")
+    assert [t for _, t in got] == [" ".join(words[i : i + views.SEGMENT]) for i in range(0, len(words), views.SEGMENT)]
+    assert [c for c, _ in got] == [0.5, 0.6, 0.7, 0.8] and [x.text for x in rows if x.scenario == "b"] == [""]
