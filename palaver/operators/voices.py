@@ -15,6 +15,8 @@ from palaver.operators.sessions import islands
 # Up to this many vector elements the enrolled voices travel to every task as one matrix.
 BROADCAST_ELEMENTS = 8_000_000
 SHARD = 1024
+#: Similarities that a task holds at a time; vectors are scored in steps of so many rows.
+STEP_ELEMENTS = 1_000_000
 
 
 def enabled(profiles: DataFrame, model: str | None = None) -> DataFrame:
@@ -41,6 +43,29 @@ def best_and_second(
     return _by_shards(vectors, protos, key, -(-n // SHARD))
 
 
+def two_best(vectors: pd.Series, group: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best voice of each vector, its similarity and the next voice's (NaN if there is none).
+
+    ``matrix`` has the prototypes, ``group`` the ascending number of each one's voice. Of equal voices the first
+    wins. Similarities are made for a few vectors at a time, so memory does not grow with the prototypes.
+    """
+    n = len(vectors)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+    top, best, second = np.empty(n, np.int64), np.empty(n), np.full(n, np.nan)
+    rows = max(1, STEP_ELEMENTS // len(matrix))
+    for low in range(0, n, rows):
+        part = slice(low, low + rows)
+        sims = np.stack(vectors.iloc[part].to_numpy()).astype(np.float64) @ matrix.T
+        per = np.maximum.reduceat(sims, first, axis=1)
+        at = np.arange(len(per))
+        top[part] = per.argmax(axis=1)
+        best[part] = per[at, top[part]]
+        if per.shape[1] > 1:
+            per[at, top[part]] = -np.inf
+            second[part] = per.max(axis=1)
+    return top, best, second
+
+
 def _by_matrix(vectors: DataFrame, protos: DataFrame, key: str) -> DataFrame:
     rows = protos.orderBy("name").collect()  # size checked by the caller
     names = sorted({r["name"] for r in rows})
@@ -62,16 +87,11 @@ def _by_matrix(vectors: DataFrame, protos: DataFrame, key: str) -> DataFrame:
         if len(v) == 0 or len(who) == 0:
             nothing = [None] * len(v)
             return pd.DataFrame({"best_name": nothing, "best": nothing, "second": nothing})
-        sims = np.stack(v.to_numpy()).astype(np.float64) @ m.T
-        first = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
-        per = np.maximum.reduceat(sims, first, axis=1)
-        order = np.argsort(-per, axis=1, kind="stable")
-        at = np.arange(len(v))
-        second = per[at, order[:, 1]] if per.shape[1] > 1 else np.full(len(v), np.nan)
+        top, best, second = two_best(v, of, m)
         return pd.DataFrame(
             {
-                "best_name": [who[i] for i in order[:, 0]],
-                "best": per[at, order[:, 0]],
+                "best_name": [who[i] for i in top],
+                "best": best,
                 "second": pd.Series(second).where(pd.notna(second), None),
             }
         )

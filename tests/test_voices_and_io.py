@@ -1,5 +1,8 @@
 import math
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +141,17 @@ def test_paths_and_staged_rows(spark, tmp_path):
 def test_schema_alignment(spark):
     row = align(spark.createDataFrame([("t",)], "transcript string"), CONVERSATIONS, {"raw_transcript": "transcript"}).first()
     assert row.raw_transcript == "t" and row.slug is None and row.conversation_id is None
+
+
+def test_scoring_holds_few_similarities_at_a_time():
+    r = np.random.default_rng(5)
+    vectors, matrix, group = pd.Series(list(r.normal(size=(3000, 8)))), r.normal(size=(5000, 8)), np.arange(5000) // 2
+    tracemalloc.start()
+    top, best, second = O.two_best(vectors, group, matrix)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # all similarities at once are 120 MB
+    for i in (0, 199, 200, 2999):
+        per = (matrix @ vectors[i]).reshape(-1, 2).max(axis=1)
+        assert top[i] == per.argmax() and np.allclose([best[i], second[i]], sorted(per)[:-3:-1])
+    assert np.isnan(O.two_best(vectors[:3], np.zeros(4, int), matrix[:4])[2]).all()
