@@ -130,18 +130,15 @@ def _runs(recall: float, threshold: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - kept))
 
 
-def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, sid): sets of each small bucket, and the sketches of the sets that share any bucket.
-
-    A bucket that never gets small is dealt into small parts, by other lots in each run.
-    """
+def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bucket, sid) of the small buckets and of those that never got small, and the sketches of the sets in any."""
     rng = np.random.default_rng(7)
     roots = rng.choice(SKETCH, size=runs, replace=runs > SKETCH)
     starts = F.array(*(F.struct(F.lit(r).alias("run"), F.lit(int(c)).alias("at")) for r, c in enumerate(roots)))
     level = sets.select("sid", "sketch", F.explode(starts).alias("root")).select(
         "sid", F.xxhash64("root.run", _coordinate(F.col("root.at"))).alias("bucket")
     )
-    leaves, live = [], None
+    leaves, live, stuck = [], None, None
     for depth in range(DEPTH + 1):
         level = staged(level)
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -153,10 +150,7 @@ def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
         leaves.append(members.where(F.col("size") <= BUCKET).select("bucket", "sid"))
         large = members.where(F.col("size") > BUCKET)
         if depth == DEPTH:
-            lots = F.ceil(F.col("size") / BUCKET)
-            leaves.append(
-                large.select(F.xxhash64("bucket", F.pmod(F.xxhash64("sid", "bucket"), lots)).alias("bucket"), "sid")
-            )
+            stuck = large.select("bucket", "sid", F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks"))
             break
         chosen = [
             (F.pmod(F.xxhash64("bucket", F.lit(depth), F.lit(j)), F.lit(SKETCH))).alias("at") for j in range(BRANCHES)
@@ -172,7 +166,40 @@ def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out, live
+    return out, stuck, live
+
+
+def _block_pairs(stuck: DataFrame) -> DataFrame:
+    """(bucket, sid): large buckets as cells of two blocks each, so that every two sets of a bucket meet in one."""
+    block = F.pmod(F.xxhash64("sid", "bucket"), F.col("blocks")).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.xxhash64("bucket", F.least(j, F.col("block")), F.greatest(j, F.col("block"))),
+    )
+    return stuck.withColumn("block", block).select(F.explode(cells).alias("bucket"), "sid")
+
+
+def _linked(leaves: DataFrame, stuck: DataFrame | None, live: DataFrame, least: float) -> DataFrame:
+    """(node, component): sets that the sketches of any bucket link.
+
+    A large bucket is compared in lots first, each with the bucket's least set. If these links do not join all of
+    the bucket, it is compared whole, in pairs of blocks.
+    """
+    if stuck is None:
+        return connected_components(_links(leaves, live, least))
+    stuck = staged(stuck)
+    dealt = stuck.select("bucket", "sid", F.pmod(F.xxhash64("sid", "bucket"), F.col("blocks")).cast("int").alias("lot"))
+    least_sets = stuck.groupBy("bucket", "blocks").agg(F.min("sid").alias("sid"))
+    everywhere = least_sets.select("bucket", "sid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lot"))
+    lots = dealt.unionByName(everywhere).distinct().select(F.xxhash64("bucket", "lot").alias("bucket"), "sid")
+    links = staged(_links(leaves.unionByName(lots), live, least))
+    groups = staged(connected_components(links))
+    where = stuck.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
+    apart = where.groupBy("bucket").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("bucket")
+    rest = staged(stuck.join(apart, "bucket"))
+    if not rest.limit(1).count():
+        return groups
+    return connected_components(links.unionByName(_links(_block_pairs(rest), live, least)).distinct())
 
 
 def _links(leaves: DataFrame, live: DataFrame, least: float) -> DataFrame:
@@ -395,9 +422,8 @@ def classes(
     )
     # Sketches estimate a similarity with a deviation of at most 0.045, so three deviations are allowed.
     spread = math.sqrt(threshold * (1 - threshold) / SKETCH)
-    leaves, live = _leaves(sets, _runs(recall, threshold))
-    links = _links(leaves, live, threshold - 3 * spread)
-    groups = connected_components(links)
+    leaves, stuck, live = _leaves(sets, _runs(recall, threshold))
+    groups = _linked(leaves, stuck, live, threshold - 3 * spread)
     wanted = staged(
         groups.select(F.col("node").alias("sid"), "component").join(sets.select("sid", "row.key", "row.h", "a"), "sid")
     )

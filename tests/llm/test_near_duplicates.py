@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,21 @@ def test_one_row_of_each_class_stays(frame, spark):
     assert sorted(x for x, t in out if x is not None) == [3, 3, 5, 7, 9] and (7, b) in out and (5, c) in out
     assert sum(t == a for _, t in out) == 1 and sum((t or "").startswith(d) for _, t in out) == 1
     assert (None, None) in out and len(out) == 7
+
+
+def test_a_bucket_that_stays_large_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BUCKET", 4)
+    # One value at every sampled place: all sets stay in one bucket. Elsewhere only 3 and 37, 11 and 29 agree.
+    def sketch(i):
+        own = {37: 3, 29: 11}.get(i, i)
+        return np.r_[np.zeros(64), np.full(64, own + 1)].astype("<u4").tobytes()
+
+    live = spark.createDataFrame([(i, bytearray(sketch(i))) for i in range(40)], "sid long, sketch binary")
+    stuck = live.select(F.lit(5).cast("long").alias("bucket"), "sid", F.lit(10).alias("blocks"))
+    leaves = live.select(F.lit(0).cast("long").alias("bucket"), "sid").limit(0)
+    got = {(r.node, r.component) for r in jj._linked(leaves, stuck, live, 0.9).collect()}
+    assert got == {(3, 3), (37, 3), (11, 11), (29, 11)}
+    cells = jj._block_pairs(stuck).alias("x").join(jj._block_pairs(stuck).alias("y"), F.expr("x.bucket = y.bucket and x.sid < y.sid"))
+    assert cells.select("x.sid", F.col("y.sid").alias("other")).distinct().count() == 40 * 39 // 2
+    rows = jj._leaves(live.withColumn("sketch", F.lit(bytearray(bytes(512)))), 2)
+    assert rows[1].groupBy("bucket").count().where("count = 40").count() > 0
