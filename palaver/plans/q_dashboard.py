@@ -284,10 +284,11 @@ def daily_rollup(t):
     SELECT device_id, string_agg(language || ':' || CAST(CAST(round(p * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY p DESC, language) AS languages FROM l GROUP BY device_id"""),
 )
 def conversation_language_avg(t):
+    # Decimal sums do not depend on the order of the rows, so equal averages are equal and go by language.
     per = (
         t.segments.filter("language <> ''")
         .groupBy("device_id", "language")
-        .agg(F.avg("no_speech_prob").alias("p"))
+        .agg(F.avg(F.col("no_speech_prob").cast("decimal(20,10)")).alias("p"))
     )
     item = F.struct((-F.col("p")).alias("o"), F.col("language").alias("l"), F.round(F.col("p") * 1000000).cast("bigint").alias("m"))
     return per.groupBy("device_id").agg(

@@ -71,3 +71,15 @@ def test_profile_shards_give_the_same_speaker(spark):
     profiles = spark.createDataFrame([(f"p{i}", i / 3.0, 0.2 + i % 3 / 10, i / 5.0, 0.3, 2.0) for i in range(20)], "name string, pitch_mean double, pitch_std double, centroid_mean double, centroid_std double, multiplier double")
     one = sorted(map(tuple, zscore_match(features, profiles, "k").collect()))
     assert sorted(map(tuple, zscore_match(features, profiles, "k", shard_profiles=6).collect())) == one
+
+
+def test_equal_averages_of_languages_go_by_name(spark, tmp_path):
+    from palaver.plans import catalogue
+
+    # The same values in two orders, whose floating point sums differ.
+    rows = [(0, 83), (3, 2), (6, 1), (9, 3), (12, 69), (1, 2), (4, 3), (7, 83), (10, 69), (13, 1)]
+    made = ", ".join(f"({i}L, TIMESTAMP '2024-01-01 00:00:00', 5L, 'view', 2.0D, '{{\"k\": {k}}}')" for i, k in rows)
+    events = spark.sql(f"SELECT * FROM VALUES {made} AS e(event_id, ts, user_id, event_type, value, props)")
+    events.repartition(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["conversation_language_avg"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("dev-0", "en:316000,hi:316000")]
