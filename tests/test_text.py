@@ -261,3 +261,19 @@ def test_segments_of_a_hypothesis_hold_all_its_words(spark):
     got = sorted((x.compression_ratio, x.text) for x in rows if x.scenario == "a")
     assert [t for _, t in got] == [" ".join(words[i : i + views.SEGMENT]) for i in range(0, len(words), views.SEGMENT)]
     assert [c for c, _ in got] == [0.5, 0.6, 0.7, 0.8] and [x.text for x in rows if x.scenario == "b"] == [""]
+
+
+def test_scenarios_are_documents_and_their_lines(spark):
+    from palaver.plans import catalogue, views
+    from palaver.plans.registry import Tables
+
+    docs = Tables(spark, "/root/testdata/sf0.001").raw("documents").select("doc_id", "text").collect()
+    want = {f"doc-{d}" for d, text in docs if text.split()}
+    want |= {f"doc-{d}-{n}" for d, text in docs for n, line in enumerate(text.split("\n")) if line.split()}
+    for name in ("cer", "system_scenario_cross"):
+        rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").select("scenario", "system").collect()
+        assert len(rows) == 3 * len(want) and {r.scenario for r in rows} == want
+    ranked = catalogue.QUERIES["eval_ranking"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.scenarios for r in ranked} == {len(want)}
+    heard = views.line_pairs(spark.createDataFrame([(1, "a b\n" + "c " * 13)], "doc_id bigint, text string"))
+    assert {r.scenario: r.hypothesis for r in heard.where("system = 'sub13'").collect()} == {"doc-1-0": "a b", "doc-1-1": "c " * 12 + "um"}
