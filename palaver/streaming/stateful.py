@@ -43,7 +43,9 @@ class EventTimeFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
+        # One element holds all rows that a batch brought, as an array for each column.
+        columns = [f.split(" ", 1) for f in self.row_schema.split(", ")]
+        self.waiting = handle.getListState("waiting", ", ".join(f"{n} array<{kind}>" for n, kind in columns))
         self.kept = handle.getValueState("kept", self.state_schema)
         self.fields = [f.split()[0] for f in self.row_schema.split(", ")]
 
@@ -51,11 +53,15 @@ class EventTimeFold(StatefulProcessor):
         new = [r for pdf in rows for r in pdf[self.fields].itertuples(index=False, name=None)]
         now = timerValues.getCurrentWatermarkInMs() * 1000
         if min(r[0] for r in new) > now:
-            self.waiting.appendList(new)
+            self.waiting.appendList([self._packed(new)])
             self._wake(min(r[0] for r in new), now)
         else:
             yield self._advance(key, new, now)
 
+    @staticmethod
+    def _packed(rows: list[tuple]) -> tuple:
+        return tuple(list(column) for column in zip(*rows, strict=True))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
@@ -69,7 +75,7 @@ class EventTimeFold(StatefulProcessor):
             self.handle.registerTimer(time_ms)
 
     def _advance(self, key, new: list[tuple], now_us: int) -> pd.DataFrame:
-        held = [tuple(r) for r in self.waiting.get()] + new
+        held = [r for packed in self.waiting.get() for r in zip(*packed, strict=True)] + new
         ripe, rest = sorted((r for r in held if r[0] <= now_us), key=_in_order), [r for r in held if r[0] > now_us]
         had = self.kept.exists()
         state = self.restore(self.kept.get()) if had else None
@@ -80,7 +86,7 @@ class EventTimeFold(StatefulProcessor):
             out = out + self.finish(state)
             state = None
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put([self._packed(rest)])
         elif held:
             self.waiting.clear()
         if state is not None:
