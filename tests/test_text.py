@@ -11,6 +11,7 @@ from palaver.functions import quality as Q
 from palaver.functions import romanize as R
 from palaver.functions import text as X
 from palaver.functions import timefmt as D
+from palaver.functions import editdist
 from palaver.functions.editdist import distance, split_distance
 from palaver.operators.accuracy import full_report, score_pairs
 from palaver.operators.scoring import score_texts
@@ -180,6 +181,46 @@ def test_bands_equal_a_plain_table(seed):
         assert split_distance(np.array(a, np.int64), np.array(b, np.int64)) == (d, s, de, n)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_lists_of_words_equal_a_plain_table_and_bounded_ones_are_not_numbered(seed, monkeypatch):
+    r = random.Random(seed)
+    damage = {
+        "lost": lambda w: [x for x in w if r.random() > 0.2],
+        "twice": lambda w: [y for x in w for y in [x] * r.choice((1, 1, 2))],
+        "other": lambda w: [x if r.random() > 0.2 else "?" * len(x) for x in w],
+        "any": lambda w: [r.choice("abcde") for _ in range(r.randrange(20))],
+    }
+    for kind, heard in damage.items():
+        with monkeypatch.context() as m:
+            if kind != "any":
+                m.setattr(editdist, "_numbers", None)
+            for _ in range(40):
+                a = [r.choice("abcde") for _ in range(r.randrange(20))]
+                b = heard(a)
+                assert editdist.split_words(a, b) == edits_by_hand(a, b)
+
+
+def test_words_of_a_scenario_are_made_once(spark, capsys):
+    from palaver.plans import views
+
+    docs = spark.createDataFrame([(1, "a b c d e f g\nh i j k l m n"), (2, " \n "), (3, None), (4, "x")], "doc_id bigint, text string")
+    scores = score_pairs(views.pairs(docs)).select("scenario", "system", "ref_words", "hyp_words", "wer")
+    scores.explain()
+    # One look at the filter and one at the words: counts come with the edits.
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1
+    got = {(x.scenario, x.system): (x.ref_words, x.hyp_words, round(x.wer * x.ref_words)) for x in scores.collect()}
+    assert got == {
+        ("doc-1", "drop7"): (14, 12, 2), ("doc-1", "dup11"): (14, 15, 1), ("doc-1", "sub13"): (14, 14, 1),
+        ("doc-4", "drop7"): (1, 1, 0), ("doc-4", "dup11"): (1, 1, 0), ("doc-4", "sub13"): (1, 1, 0),
+    }
+
+
+def test_scores_of_null_texts(spark):
+    df = spark.createDataFrame([("a", "s", None, "x y"), ("b", "s", "x y", None)], "scenario string, system string, reference string, hypothesis string")
+    got = {r.scenario: (r.ref_words, r.hyp_words, r.substitutions, r.deletions, r.insertions) for r in score_pairs(df).collect()}
+    assert got == {"a": (None, 2, 0, 0, 2), "b": (2, None, 0, 2, 0)}
+
+
 def test_long_texts_with_errors_across_line_ends(spark):
     words = [f"w{i}" for i in range(20_000)]
     heard = [w for i, w in enumerate(words) if i % 1000 != 500]
