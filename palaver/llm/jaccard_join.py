@@ -29,6 +29,8 @@ SKETCH = 128
 BUCKET = 256
 #: Splits of a large bucket, and coordinates that each of its sets follows in a split.
 DEPTH, BRANCHES = 2, 2
+#: Sets of a stuck bucket, and of those of it that are not linked to most others, that one comparison takes.
+LOT = 2048
 #: Sets of a linked group that one exact comparison takes; larger groups are compared block by block.
 BLOCK = 512
 #: Sets of linked groups up to which their keys (40 bytes each) are broadcast; more are shuffled with the texts.
@@ -169,55 +171,74 @@ def _leaves(sets: DataFrame, runs: int) -> tuple[DataFrame, DataFrame, DataFrame
     return out, stuck, live
 
 
-def _block_pairs(stuck: DataFrame) -> DataFrame:
-    """(bucket, sid): large buckets as cells of two blocks each, so that every two sets of a bucket meet in one."""
-    block = F.pmod(F.xxhash64("sid", "bucket"), F.col("blocks")).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.xxhash64("bucket", F.least(j, F.col("block")), F.greatest(j, F.col("block"))),
+def _block_pairs(rest: DataFrame) -> DataFrame:
+    """(bucket, sid, joined): large buckets as cells in which every two sets meet that may still need a link.
+
+    ``rest`` has (bucket, sid, c), c being the component so far; without it each set is one. The largest component
+    of a bucket is joined already; its other sets are dealt into chunks, and each chunk meets each lot of the whole
+    bucket. So rows grow with the sets outside that component, and a bucket of one lot is not copied at all. A bucket
+    that is one component gives no rows.
+    """
+    if "c" not in rest.columns:
+        rest = rest.withColumn("c", F.col("sid"))
+    parts = rest.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket")
+    main = parts.agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most")).where("all > most.n").select(
+        "bucket",
+        F.col("most.c").alias("main"),
+        F.ceil(F.col("all") / LOT).cast("int").alias("lots"),
+        F.ceil((F.col("all") - F.col("most.n")) / LOT).cast("int").alias("chunks"),
     )
-    return stuck.withColumn("block", block).select(F.explode(cells).alias("bucket"), "sid")
+    deal = lambda n: F.pmod(F.xxhash64("sid", "bucket"), F.col(n)).cast("int")
+    placed = rest.join(main, "bucket").withColumns({"joined": F.col("c") == F.col("main"), "lot": deal("lots"), "chunk": deal("chunks")})
+    as_lot = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("bucket", "lot", j))
+    as_chunk = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda i: F.xxhash64("bucket", i, "chunk"))
+    cells = F.when(F.col("joined"), as_lot).otherwise(F.array_union(as_lot, as_chunk))
+    return placed.select(F.explode(cells).alias("bucket"), "sid", "joined")
 
 
 def _linked(leaves: DataFrame, stuck: DataFrame | None, live: DataFrame, least: float) -> DataFrame:
     """(node, component): sets that the sketches of any bucket link.
 
     A large bucket is compared in lots first, each with the bucket's least set. If these links do not join all of
-    the bucket, it is compared whole, in pairs of blocks.
+    the bucket, every set outside its largest component is compared with all of the bucket.
     """
     if stuck is None:
-        return connected_components(_links(leaves, live, least))
+        return connected_components(_links(leaves.withColumn("joined", F.lit(False)), live, least))
     stuck = staged(stuck)
     dealt = stuck.select("bucket", "sid", F.pmod(F.xxhash64("sid", "bucket"), F.col("blocks")).cast("int").alias("lot"))
     least_sets = stuck.groupBy("bucket", "blocks").agg(F.min("sid").alias("sid"))
     everywhere = least_sets.select("bucket", "sid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lot"))
     lots = dealt.unionByName(everywhere).distinct().select(F.xxhash64("bucket", "lot").alias("bucket"), "sid")
-    links = staged(_links(leaves.unionByName(lots), live, least))
+    links = staged(_links(leaves.unionByName(lots).withColumn("joined", F.lit(False)), live, least))
     groups = staged(connected_components(links))
     where = stuck.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("c", F.coalesce("component", "sid"))
-    apart = where.groupBy("bucket").agg((F.min("c") != F.max("c")).alias("apart")).where("apart").select("bucket")
-    rest = staged(stuck.join(apart, "bucket"))
-    if not rest.limit(1).count():
+    cells = staged(_block_pairs(staged(where.select("bucket", "sid", "c"))))
+    if not cells.limit(1).count():
         return groups
-    return connected_components(links.unionByName(_links(_block_pairs(rest), live, least)).distinct())
+    return connected_components(links.unionByName(_links(cells, live, least)).distinct())
 
 
 def _links(leaves: DataFrame, live: DataFrame, least: float) -> DataFrame:
-    """Edges (u, v) that span what the sketches of a bucket find alike; at most one per set and bucket."""
-
-    def forest(sid: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-        edges, open_ = [], np.arange(len(sid))
-        while len(open_) > 1:
-            # The group of the first set grows from its newest members until no other set is alike.
-            group, rest = open_[:1], open_[1:]
-            newest = group
+    """Edges (u, v) that span what the sketches of a bucket find alike; at most one per set and bucket.
+
+    Sets of a bucket that are ``joined`` are in one component already.
+    """
+
+    def forest(sid: np.ndarray, sketch: np.ndarray, joined: np.ndarray) -> list[tuple[int, int]]:
+        edges, open_ = [], np.flatnonzero(~joined)
+        known = np.flatnonzero(joined)
+        while len(open_) + len(known) > 1:
+            # The group of the known sets, or of the first one, grows from its newest members until no other is alike.
+            group, rest = (known, open_) if len(known) else (open_[:1], open_[1:])
+            newest, known = group, known[:0]
             while len(newest) and len(rest):
                 near = np.zeros(len(rest), bool)
                 for i in newest:
                     near |= (sketch[rest] == sketch[i]).mean(axis=1) >= least
                 newest, rest = rest[near], rest[~near]
                 group = np.concatenate([group, newest])
-            root = sid[group].min()
+            root = sid[group[0]] if joined[group[0]] else sid[group].min()
+            group = group[~joined[group]]
             edges.extend((int(s), int(root)) for s in sid[group] if s != root)
             open_ = rest
         return edges
@@ -236,11 +257,11 @@ def _links(leaves: DataFrame, live: DataFrame, least: float) -> DataFrame:
             held = rows.slice(stop).combine_chunks().to_batches()
             if not stop:
                 return
-            sid = rows.column("sid").to_numpy()
+            sid, joined = rows.column("sid").to_numpy(), rows.column("joined").to_numpy()
             raw = rows.column("sketch").combine_chunks()
             sketch = np.frombuffer(b"".join(raw.to_pylist()), "<u4").reshape(-1, SKETCH)
             bounds = [0, *cut[cut < stop].tolist(), stop]
-            edges = [e for i, j in zip(bounds, bounds[1:], strict=False) for e in forest(sid[i:j], sketch[i:j])]
+            edges = [e for i, j in zip(bounds, bounds[1:], strict=False) for e in forest(sid[i:j], sketch[i:j], joined[i:j])]
             if edges:
                 u, v = zip(*edges, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -252,7 +273,7 @@ def _links(leaves: DataFrame, live: DataFrame, least: float) -> DataFrame:
         yield from flush(True)
 
     rows = leaves.join(live, "sid").repartition("bucket").sortWithinPartitions("bucket", "sid")
-    return rows.select("bucket", "sid", "sketch").mapInArrow(run, "u long, v long").distinct()
+    return rows.select("bucket", "sid", "joined", "sketch").mapInArrow(run, "u long, v long").distinct()
 
 
 def _compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float):

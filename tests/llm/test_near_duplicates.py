@@ -96,6 +96,40 @@ def test_join_equals_brute_force(frame, monkeypatch, small):
     assert sorted(map(tuple, got), key=str) == sorted(brute_join(rows), key=str)
 
 
+@pytest.mark.parametrize("lot", [3, 2048])
+def test_rows_of_large_buckets_grow_with_the_sets_left_apart(frame, monkeypatch, lot):
+    monkeypatch.setattr(jj, "LOT", lot)
+    # Bucket 1 is nearly one component, bucket 2 falls apart; rows are (bucket, sid, component).
+    rest = [(1, i, i if i >= 38 else 0) for i in range(40)] + [(2, i, i) for i in range(30)]
+    cells, lots = {}, {1: -(-40 // lot), 2: -(-30 // lot)}
+    rows = jj._block_pairs(frame(rest, "bucket long, sid long, c long")).collect()
+    for r in rows:
+        cells.setdefault(r.bucket, {})[r.sid] = r.joined
+    for bucket, top in ((1, 40), (2, 30)):
+        component = {sid: c for b, sid, c in rest if b == bucket}
+        pairs = {(x, y) for x in range(top) for y in range(x) if component[x] != component[y]}
+        met = {(x, y) for c in cells.values() for x in c for y in c if x > y and not (c[x] and c[y])}
+        assert pairs <= met
+    # Each set once for each chunk of the two sets left apart, and these once for each lot.
+    assert len([1 for r in rows if r.joined]) <= 38 + -(-29 // lot)
+    if lot == 2048:
+        assert len(rows) == 70
+    else:
+        assert len(rows) <= 38 + 2 * (1 + lots[1]) + 30 * (10 + lots[2])
+
+
+def test_join_with_small_lots_equals_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(jj, "BUCKET", 8)
+    monkeypatch.setattr(jj, "LOT", 3)
+    calls = []
+    cells = jj._block_pairs
+    monkeypatch.setattr(jj, "_block_pairs", lambda rest: calls.append(rest) or cells(rest))
+    rows = [(i, t) for i, t in enumerate(documents(6))]
+    got = jj.jaccard_join(frame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_join(rows))
+    assert calls
+
+
 def test_join_repeated_ids_and_no_rows(frame):
     docs = documents(4)
     rows = [(i % 40, t) for i, t in enumerate(docs)]
