@@ -1,37 +1,41 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are sets of character shingles. Their least hashes from nine origins on are band keys; all lines that meet
-in a band are compared exactly unless they are linked already, and a distributed union-find keeps one line of
-each component. Everything is in SQL functions.
+Lines are sets of character shingles. Their signatures are banded with high recall; all lines that meet in a
+band are compared exactly unless they are linked already, and a distributed union-find keeps one line of each
+component. Hashing and comparing runs over Arrow batches in tasks; SQL functions alone took 480 CPU seconds a
+GB for the signatures. All else is in SQL functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.graph import connected_components
 from palaver.llm.ranks import bounded
 from palaver.llm.scratch import staged
+from palaver.llm.words import mix, steps
 
 #: Two lines are alike from this Jaccard similarity of their shingle sets on.
 THRESHOLD = 0.8
-#: Characters of a shingle.
-WIDTH = 8
-#: Least hashes from an origin on that make a band key, and the origins. A pair at the threshold shares no band with
-#: (1 - 0.41) ** 9, or 0.9 %.
-ROWS, ORIGINS = 4, [-(2**63) + i * (2**64 // 9) for i in range(9)]
-#: Spaces, and characters to a space, of lines that are known by their shingles after spaces only; other lines by all
-#: their shingles. Lines between the two limits are known by both, so lines at either side of a limit meet.
-SPACES, STRIDE = (10, 16), (10, 14)
+#: Least hashes by which a line is banded, four to a band. A pair at the threshold shares no band with
+#: (1 - 0.41) ** 9, or 0.9 %. Each shingle belongs to two bins, so that few bins of a short line are empty.
+BANDS, ROWS = 9, 4
+BINS = BANDS * ROWS
 #: Lines, and characters of lines, of one block of a larger band; all pairs of two blocks are compared at once.
 BLOCK, BLOCK_CHARS = 256, 500_000
-#: Lines of a cell of which all edges are returned at once.
-SMALL = 32
+#: Characters of a shingle.
+WIDTH = 8
 #: Candidate lines up to which their ids are broadcast (16 bytes each); more are shuffled with the lines.
 BROADCAST_LINES = 1_000_000
+#: Bytes of lines hashed at once, and shingles whose incidence is held at once in a comparison.
+_STEP_BYTES, _COLUMNS = 2_000_000, 20_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -39,48 +43,40 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hashes(line: Column, width: int) -> Column:
-    """Hashes of the ``width`` characters from every character of a line on; the last ones are shorter."""
-    return _let(
-        F.encode(line, "UTF-32"),
-        lambda e: F.transform(
-            F.sequence(F.lit(1), F.octet_length(e), F.lit(4)), lambda i: F.xxhash64(F.substr(e, i, F.lit(4 * width)))
-        ),
-    )
-
-
-def _sketched(lines: DataFrame) -> DataFrame:
-    """(id, h, n, short, lid, first, key): each line once for each of its band keys, the first time marked.
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles at every character of all lines, and the line of each.
 
-    A key is made of the next hashes from an origin on, in a ring. Of few hashes, each one is an origin. Steps are
-    columns of their own, as they are compiled then, and generators outer ones, which no filter makes twice.
+    The last shingles of a line end with it and are shorter: beyond the end there are zeros.
     """
-    line, spaces = F.col("line"), F.col("spaces")
-    dense = (spaces >= SPACES[0]) & (F.length(line) <= spaces * STRIDE[1])
-    sparse = (spaces < SPACES[1]) | (F.length(line) > spaces * STRIDE[0])
-    at_spaces = F.regexp_extract_all(line, F.lit(f"(?s) (?=(.{{0,{WIDTH}}}))"), F.lit(1))
-    origins = F.array(*map(F.lit, ORIGINS))
-    # The place of an origin among the hashes: origins before it do not count.
-    places = F.transform(origins, lambda o, i: (F.array_position("placed", o) - 1 - i).cast("int"))
-    few = F.size("least") <= len(ORIGINS)
-    own = ("id", "h", "n", "short", "lid")
-    return (
-        lines.withColumn("spaces", F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))))
-        .withColumn("lid", _lid("line"))
-        .withColumn("some", F.when(dense, F.transform(at_spaces, lambda x: F.xxhash64(x))))
-        .withColumn("all", F.when(sparse, _hashes(line, WIDTH)))
-        .select(*own, F.posexplode_outer(F.array_compact(F.array("some", "all"))).alias("kind", "hashes"))
-        .select(*own, "kind", F.sort_array(F.array_union("hashes", origins)).alias("placed"))
-        .withColumn("least", F.array_except("placed", origins))
-        .withColumn("ring", F.concat("least", F.slice("least", 1, ROWS)))
-        .withColumn("places", F.when(few, F.sequence(F.lit(0), F.size("least") - 1)).otherwise(places))
-        .select(*own, "kind", "ring", F.posexplode_outer("places").alias("place", "p"))
-        .select(
-            *own,
-            ((F.col("kind") == 0) & (F.col("place") == 0)).alias("first"),
-            F.xxhash64(*(F.get("ring", F.col("p") + r) for r in range(ROWS))).alias("key"),
-        )
-    )
+    data = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(x) for x in lines], np.int64)
+    owner = np.repeat(np.arange(len(lines)), sizes)
+    places = np.arange(len(data)) + owner * (WIDTH - 1)
+    padded = np.zeros(len(data) + len(lines) * (WIDTH - 1) + WIDTH, np.uint64)
+    padded[places] = data + np.uint64(1)
+    out = np.zeros(len(padded) - WIDTH, np.uint64)
+    for j in range(WIDTH):
+        out *= _BASE
+        out += padded[j : j + len(out)]
+    return mix(out[places]), owner
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, n, lid, keys): band keys of each line; a band whose bins are all empty, in a very short line, is left out."""
+    for batch in steps(batches, "line", _STEP_BYTES):
+        hashes, owner = _hashes(batch.column("line").to_pylist())
+        least = np.full(batch.num_rows * BINS, _NONE, np.uint64)
+        for shift in (np.uint64(0), np.uint64(20)):
+            np.minimum.at(least, owner * BINS + ((hashes >> shift) % np.uint64(BINS)).astype(np.int64), hashes)
+        least = least.reshape(-1, BANDS, ROWS)
+        key = np.zeros((batch.num_rows, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            key = mix(key * _BASE + least[:, :, r])
+        filled = (least != _NONE).any(axis=2)
+        offsets = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[filled].view(np.int64)))
+        own = ["id", "h", "n", "lid"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), keys], names=[*own, "keys"])
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -96,73 +92,97 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """Lines that are not blank, with their number and a short hash."""
+    """Lines that are not blank, with their number and an id that equal lines share."""
     rows = keyed.select("id", "h", F.posexplode(F.split("body", "\n")).alias("n", "line"))
-    return rows.where(F.trim("line") != "").withColumn("short", F.xxhash64("line"))
+    return rows.where(F.trim("line") != "").withColumn("lid", F.unhex(F.md5("line")))
 
 
-def _lid(line: str) -> Column:
-    """An id that equal lines share."""
-    return F.unhex(F.md5(line))
+def _sketched(lines: DataFrame) -> DataFrame:
+    """Lines with their band keys instead of their text, written once: texts are not cut again to place them."""
+    types = "id bigint, h bigint, n int, lid binary, keys array<bigint>"
+    return staged(lines.select("id", "h", "n", "lid", "line").mapInArrow(_keys, types))
 
 
 def _meetings(lines: DataFrame) -> DataFrame:
-    """(key, lid, short, head, size): distinct lines of each band of two or more, and the least short hash of them.
+    """(key, lid, short, head, size): distinct lines of each band of two or more, and the least short id of them.
 
-    A band holds the lines that share a key. Bands of one distinct line go by their least and greatest short
-    hash, so equal lines need no shuffle of their own. The keys of the other bands are broadcast if they are few.
+    Keys are written once, as one array a line. Bands of one distinct line go by their least and greatest short
+    id, so equal lines need no shuffle of their own. The keys of the other bands are broadcast if they are few.
     """
-    shared = lines.groupBy("key").agg(F.min("short").alias("head"), F.max("short").alias("last")).where("head != last")
+    keyed = lines.withColumn("short", F.xxhash64("lid"))
+    each = keyed.select(F.explode("keys").alias("key"), "short")
+    shared = each.groupBy("key").agg(F.min("short").alias("head"), F.max("short").alias("last")).where("head != last")
     shared = staged(shared.select("key", "head"))
-    rows = lines.select("lid", "short", "key").join(bounded(shared, BROADCAST_LINES), "key").distinct()
+    rows = keyed.select("lid", "short", F.explode("keys").alias("key")).join(bounded(shared, BROADCAST_LINES), "key").distinct()
     sizes = F.count("*").alias("size")
     rows = staged(rows)
-    return staged(rows.join(rows.groupBy("key").agg(sizes), "key"))
+    return rows.join(rows.groupBy("key").agg(sizes), "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """Each line with the heads of its bands, if they are other ones: a pair a key, however large a band is."""
-    heads = met.where("head != short").select("head", F.col("lid").alias("y")).distinct()
-    named = met.where("head = short").select("head", F.col("lid").alias("x")).distinct()
-    return named.join(heads, "head").select("x", "y")
+    """Each line with the least head of its bands, if that is another one: a pair a line, however large a band is."""
+    heads = met.groupBy("lid", "short").agg(F.min("head").alias("head")).where("head != short")
+    named = met.where("head = short").select(F.col("lid").alias("x"), "head").distinct()
+    return heads.join(named, "head").select("x", F.col("lid").alias("y"))
 
 
 def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """(lid, line): the wanted lines (lid, short), each once."""
-    found = lines.select("short", "line").join(bounded(wanted, BROADCAST_LINES), "short").where(_lid("line") == F.col("lid"))
-    return staged(found.select("lid", "line").dropDuplicates(["lid"]))
-
-
-def _reaches(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two sets are alike; where their sizes exclude it, they are not intersected."""
-    m, n = F.size(a), F.size(b)
-    near = (m >= threshold * n) & (n >= threshold * m)
-    return near & _let(F.size(F.array_intersect(a, b)), lambda c: c >= threshold * (m + n - c))
+    """(lid, line): the wanted lines, each once."""
+    small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    found = lines.select("lid", "line").join(F.broadcast(wanted) if small else wanted, "lid")
+    return staged(found.dropDuplicates(["lid"]))
+
+
+def _counted(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of shingles as pairs of a line and the number of a hash, and the size of each set."""
+    hashes, owner = _hashes(lines)
+    distinct, number = np.unique(hashes, return_inverse=True)
+    pairs = np.unique(owner * len(distinct) + number)
+    owner, number = pairs // max(1, len(distinct)), pairs % max(1, len(distinct))
+    return owner, number, np.bincount(owner, minlength=len(lines))
+
+
+def _set_keys(lines: list[str]) -> np.ndarray:
+    """Sorted distinct shingles of lines: the number of the line in 16 bits, then 48 bits of the hash."""
+    hashes, owner = _hashes(lines)
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def _compared(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the rows (x, y, a, b) whose lines ``a`` and ``b`` are alike."""
+    for batch in steps(batches, "a", _STEP_BYTES):
+        for first in range(0, batch.num_rows, 1 << 16):
+            part = batch.slice(first, 1 << 16)
+            n = part.num_rows
+            left, right = (_set_keys(part.column(c).to_pylist()) for c in ("a", "b"))
+            # Two sorted runs, which a stable sort merges; what both lines of a row have stands twice.
+            both = np.sort(np.concatenate([left, right]), kind="stable")
+            twice = both[1:][both[1:] == both[:-1]]
+            size, common = (sum(np.bincount((k >> np.uint64(48)).astype(np.int64), minlength=n) for k in x) for x in ((left, right), (twice,)))
+            found = part.filter(pa.array(common >= threshold * (size - common)))
+            yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], names=["u", "v"])
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact Jaccard similarity reaches the threshold, as edges; lines travel, not their sets."""
     left = texts.select(F.col("lid").alias("x"), F.col("line").alias("a"))
     right = texts.select(F.col("lid").alias("y"), F.col("line").alias("b"))
-    both = pairs.join(left, "x").join(right, "y")
-    for c in ("a", "b"):
-        both = both.withColumn(c, _hashes(F.col(c), WIDTH)).withColumn(c, F.array_distinct(c))
-    size = F.size("a") + F.size("b")
-    near = (F.size("a") >= threshold * F.size("b")) & (F.size("b") >= threshold * F.size("a"))
-    both = both.withColumn("common", F.when(near, F.size(F.array_intersect("a", "b"))))
-    # A generator, as a filter would be moved below and make the sets again for each of its terms.
-    found = F.when(F.col("common") >= threshold * (size - F.col("common")), F.array(F.struct(F.col("x").alias("u"), F.col("y").alias("v"))))
-    return both.select(F.explode_outer(found).alias("e")).where("e is not null").select("e.u", "e.v")
-
-
-def _cells(met: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, left, right): lines of bands that are not yet one component, in blocks, so that each pair meets.
-
-    Heads were compared with all lines of their bands already. Bands of the same lines are taken once. A band's
-    lines grow by the number of its blocks.
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
+    return both.mapInArrow(lambda b: _compared(b, threshold), "u binary, v binary")
+
+
+def _cells(met: DataFrame, pairs: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
+    """(left, right): lines of bands that are not yet one component, in blocks, so that each pair meets.
+
+    Bands of the same lines are taken once, and two lines that were compared already are left out. A band's lines
+    grow by the number of its blocks.
     """
+    two = met.where("size = 2").groupBy("key").agg(F.min("lid").alias("a"), F.max("lid").alias("b"))
+    seen = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    done = two.join(seen, ["a", "b"], "left_semi").select("key")
     inside = (
-        met.where("size > 2 and short != head")
+        met.join(done, "key", "left_anti")
         .select("key", "lid")
         .join(texts.select("lid", F.length("line").alias("n")), "lid")
         .join(components, F.col("lid") == F.col("node"), "left")
@@ -201,49 +221,63 @@ def _cells(met: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame
     )
 
 
-def _across(cells: DataFrame, threshold: float) -> DataFrame:
-    """(key, more, u, v): edges between components that hold alike lines; every pair of a cell from different ones is compared.
+def _cell_edges(left: list[dict], right: list[dict], threshold: float) -> set[tuple[bytes, bytes]]:
+    """Pairs of components that alike lines join; ``right`` is empty where the left block is compared with itself."""
+    lines = [x["line"] for x in left] + [x["line"] for x in right]
+    owner, number, size = _counted(lines)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    common = np.zeros((len(lines), len(lines)), np.float32)
+    last = int(number.max(initial=-1))
+    for first in range(0, last + 1, _COLUMNS):
+        a, b = np.searchsorted(number, [first, first + _COLUMNS])
+        has = np.zeros((len(lines), min(_COLUMNS, last + 1 - first)), np.float32)
+        has[owner[a:b], number[a:b] - first] = 1
+        common += has @ has.T
+    alike = common >= threshold * (size[:, None] + size[None, :] - common)
+    components = [x["component"] for x in left] + [x["component"] for x in right]
+    if right:
+        alike[: len(left), : len(left)] = alike[len(left) :, len(left) :] = False
+    # A walk over the alike lines: each line is reached once, so a cell has fewer edges than lines.
+    out, open_ = set(), np.ones(len(lines), bool)
+    for start in range(len(lines)):
+        reached = [start] if open_[start] else []
+        open_[start] = False
+        while reached:
+            i = reached.pop()
+            for j in np.flatnonzero(alike[i] & open_):
+                open_[j] = False
+                reached.append(j)
+                if components[i] != components[j]:
+                    out.add((components[i], components[j]))
+    return out
 
-    Of a small cell, all edges are returned. Of a larger one, each line goes with the least component only of the
-    later lines that it is alike to, so that edges do not grow with the pairs; ``more`` says that there may be others.
-    """
 
-    def sets(lines: Column) -> Column:
-        return F.transform(lines, lambda x: F.struct(x.component.alias("component"), F.array_distinct(_hashes(x.line, WIDTH)).alias("set")))
+def _across(cells: DataFrame, threshold: float) -> DataFrame:
+    """Edges between components that hold alike lines: every pair of a cell from different ones is compared.
 
-    def links(a: Column, others: Column, small: Column) -> Column:
-        alike = F.filter(others, lambda b: (a.component != b.component) & _reaches(a.set, b.set, threshold))
-        found = F.array_sort(F.array_distinct(F.transform(alike, lambda b: b.component)))
-        return F.transform(F.slice(found, F.lit(1), F.when(small, SMALL).otherwise(1)), lambda v: F.struct(a.component.alias("u"), v.alias("v")))
+    A cell returns a spanning forest, so edges do not grow with the pairs of lines.
+    """
 
-    def edges(s: Column) -> Column:
-        inner = F.transform(s.left, lambda a, i: links(a, F.slice(s.left, i + 2, F.size(s.left)), s.small))
-        outer = F.transform(s.left, lambda a: links(a, s.right, s.small))
-        return F.flatten(F.when(F.size(s.right) == 0, inner).otherwise(outer))
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _cell_edges(batch.column("left")[i].as_py(), batch.column("right")[i].as_py(), threshold)
+                columns = [pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
-    small = F.size("left") + F.size("right") <= SMALL
-    both = F.struct(sets(F.col("left")).alias("left"), sets(F.col("right")).alias("right"), small.alias("small"))
-    found = cells.select("key", (~small).alias("more"), F.explode_outer(_let(both, edges)).alias("e"))
-    return found.where("e is not null").select("key", "more", "e.u", "e.v")
+    return cells.select("left", "right").mapInArrow(edges, "u binary, v binary").distinct()
 
 
 def _components(met: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """Components of alike lines: by heads of bands first, then by all pairs of bands that these leave apart.
-
-    Large bands that gave an edge are looked at again, until no component in them is alike to another one.
-    """
-    texts = _texts(met.select("lid", "short").distinct(), lines)
-    found = staged(connected_components(_alike(_pairs(met), texts, threshold)))
-    while True:
-        edges = staged(_across(_cells(met, found, texts), threshold))
-        if not edges.limit(1).count():
-            return found
-        links = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = staged(connected_components(links.unionByName(edges.select("u", "v"))))
-        again = edges.where("more").select("key").distinct()
-        if not again.limit(1).count():
-            return found
-        met = met.join(again, "key", "left_semi")
+    """Components of alike lines: by heads of bands first, then by all pairs of bands that these leave apart."""
+    pairs = staged(_pairs(met))
+    texts = _texts(staged(met.select("lid").distinct()), lines)
+    first = staged(connected_components(_alike(pairs, texts, threshold)))
+    more = staged(_across(_cells(met, pairs, first, texts), threshold))
+    if not more.limit(1).count():
+        return first
+    return connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def _marks(lines: DataFrame, components: DataFrame) -> DataFrame:
@@ -270,8 +304,8 @@ def dedupe_lines(
     """
     keyed = _keyed(docs, text, doc_id)
     lines = _lines(keyed)
-    sketched = staged(_sketched(lines))
-    marks = _marks(sketched.where("first"), _components(_meetings(sketched), lines, threshold))
+    sketched = _sketched(lines)
+    marks = _marks(sketched, _components(_meetings(sketched), lines, threshold))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = keyed.select("id", "h", "input").join(bounded(staged(marks), BROADCAST_LINES), ["id", "h"], "left")
     body = F.coalesce(F.col("input").getField(text).cast("string"), F.lit(""))
