@@ -307,7 +307,10 @@ def dedupe_lines(
     sketched = _sketched(lines)
     marks = _marks(sketched, _components(_meetings(sketched), lines, threshold))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = keyed.select("id", "h", "input").join(bounded(staged(marks), BROADCAST_LINES), ["id", "h"], "left")
+    marks = staged(marks)
+    # Counted by lines, as a document may lose many.
+    small = (marks.agg(F.sum(F.size("removed"))).first()[0] or 0) <= BROADCAST_LINES
+    out = keyed.select("id", "h", "input").join(F.broadcast(marks) if small else marks, ["id", "h"], "left")
     body = F.coalesce(F.col("input").getField(text).cast("string"), F.lit(""))
     parts = F.split(body, "\n")
     stays = _let(

@@ -212,13 +212,18 @@ def test_large_band_is_compared_whole(frame, monkeypatch):
     assert sum(r.text != "" for r in got) <= 3
 
 
-def test_documents_are_not_shuffled_for_few_lines(frame):
+def test_documents_are_not_shuffled_for_few_lines(frame, monkeypatch):
     rows = [(3, "a b c d\nsame line here\n\nsame line here"), (1, "same line here\nother"), (1, "same line here\nother"), (2, "other")]
     got = line_dedup.dedupe_lines(frame(rows, "doc_id long, text string"))
     # What goes is broadcast; the texts stay where they lie, and are cut once.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
     assert sorted(map(tuple, got.collect())) == sorted(brute_lines(rows))
+    # Three lines go.
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 1)
+    got = line_dedup.dedupe_lines(frame(rows, "doc_id long, text string"))
+    assert "strategy=broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(brute_lines(rows))
 
 
 def plain(line):
