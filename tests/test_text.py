@@ -318,3 +318,50 @@ def test_scenarios_are_documents_and_their_lines(spark):
     assert {r.scenarios for r in ranked} == {len(want)}
     heard = views.line_pairs(spark.createDataFrame([(1, "a b\n" + "c " * 13)], "doc_id bigint, text string"))
     assert {r.scenario: r.hypothesis for r in heard.where("system = 'sub13'").collect()} == {"doc-1-0": "a b", "doc-1-1": "c " * 12 + "um"}
+
+
+def plain_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        above, row = row, [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (a != b)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_character_edits_by_words_equal_a_plain_table(seed, monkeypatch):
+    from palaver.functions import editdist
+
+    r = random.Random(seed)
+    monkeypatch.setattr(editdist, "_BLOCK", 7)
+    for n in range(500):
+        monkeypatch.setattr(editdist, "_LONG", (200, 4)[n % 2])
+        letters = r.choice(["ab", "abcd", "abcdefghijklmnop"])
+        word = lambda: "".join(r.choice(letters) for _ in range(r.randint(0, 5)))
+        heard, words, p = [], [word() for _ in range(r.randint(0, 14))], r.random() * 0.4
+        for w in words:
+            u = r.random() * 3
+            heard += [] if u < p else [word() for _ in range(r.randint(1, 2))] if u < 2 * p else [w] * (2 if u < 3 * p else 1)
+        a, b = " ".join(words), " ".join(heard)
+        assert editdist.text_distance(a, b) == plain_distance(a, b)
+
+
+def test_character_edits_of_a_long_text_with_words_of_other_lengths_take_seconds_at_most():
+    from palaver.functions.editdist import text_distance
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    heard = [w if i % 13 else "\ue000" * (len(w) + i // 13 % 3 - 1) for i, w in enumerate(words)]
+    began = time.perf_counter()
+    d = text_distance(" ".join(words), " ".join(heard))
+    assert d == sum(max(len(a), len(b)) for a, b in zip(words, heard) if a != b)
+    assert time.perf_counter() - began < 3
+
+
+def test_texts_are_normalised_once_for_their_scores(spark):
+    from palaver.plans import catalogue
+
+    plan = catalogue.QUERIES["asr_eval"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("edit_ops")]
+    assert "regexp_replace" not in above
