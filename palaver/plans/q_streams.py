@@ -64,13 +64,29 @@ def capped_session_stream(t):
     return out.select("device_id", "segment_id", "session_start_us", "session_first")
 
 
+#: Whole half-second frames of a segment.
+FRAMES = "(end_us - start_us) div 500000"
+
+
+def energy(i):
+    """Energy of frame ``i`` of a segment, made from its ids."""
+    return F.pmod(F.col("event_id") * 31 + i * 17, F.lit(101)) / 101.0
+
+
+def frame_chunks(seg):
+    """The frames of each segment as it comes in: one row with an array for each column of ``frame_rows``."""
+    chunk = F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr(FRAMES) - 1), energy)
+    rows = seg.filter(F.expr(FRAMES) > 0).select(F.col("segment_id").alias("device_id"), "start_us", chunk.alias("energy"))
+    return rows.withColumn("speech", F.transform("energy", lambda e: e > 0.05))
+
+
 def frame_rows(seg):
     """Half-second frames over each segment, with an energy made from its ids."""
-    n = F.expr("(end_us - start_us) div 500000")
+    n = F.expr(FRAMES)
     rows = seg.filter(n > 0).select(
         "segment_id", "event_id", "start_us", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i")
     )
-    e = F.pmod(F.col("event_id") * 31 + F.col("i") * 17, F.lit(101)) / 101.0
+    e = energy(F.col("i"))
     return rows.select(
         F.col("segment_id").alias("device_id"),
         (F.col("start_us") + F.col("i") * 500_000).alias("start_us"),
@@ -107,7 +123,9 @@ FROM u JOIN r USING (device_id, run) WHERE unit"""
 @query("bounded_units_stream", sql("segments", UNITS_SQL, recursive=True))
 def bounded_units_stream(t):
     marks = R.EndMarks(t.spark)
-    return R.run_append(Z.bounded_units_stream(marks.join(frame_rows(segment_stream(t)))), "units", marks=marks)
+    # One file may come in one split, and a segment makes many frames, so segments are dealt out first.
+    seg = segment_stream(t).repartition("segment_id")
+    return R.run_append(Z.bounded_units_stream(marks.join(frame_chunks(seg))), "units", marks=marks)
 
 
 # Requests and answers of an account in one order, folded row by row.

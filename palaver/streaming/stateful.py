@@ -4,6 +4,7 @@ Rows of a key wait in state until the watermark has passed them, then they are f
 batch they came in. A timer releases waiting rows, and closes a key when nothing that is still to come can
 change it; a closed key leaves no state. Rows behind the watermark are dropped by Spark. A key is one device or
 one account; its rows must be seen in order, so they share a task, and the watermark delay bounds what waits.
+Frames of speech are many and their devices may be, so there a key is a share of the devices (``UnitShares``).
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType
 
 from palaver.streaming.flows import timed
-from palaver.streaming.runtime import WATERMARK
+from palaver.streaming.runtime import END_US, WATERMARK
 
 DAY_US = 86_400_000_000
 OFFSET_US = 19_800_000_000
@@ -30,7 +33,18 @@ def _in_order(row: tuple) -> tuple:
     return tuple((x is not None, x) for x in row)
 
 
-class EventTimeFold(StatefulProcessor):
+class Waking(StatefulProcessor):
+    def _wake(self, time_us: int, now_us: int) -> None:
+        """Keep one timer for the key, the earliest that is asked for; one that has just fired is still listed."""
+        time_ms = -(-time_us // 1000)
+        set_ = [t for t in self.handle.listTimers() if t * 1000 > now_us]
+        if not set_ or min(set_) > time_ms:
+            for t in set_:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(time_ms)
+
+
+class EventTimeFold(Waking):
     """Releases rows in order of ``row_schema`` (its first column is the time in microseconds) to ``fold``.
 
     ``fold`` takes the state of the key, or None, and the ripe rows, and returns the new state, or None, and the
@@ -65,15 +79,6 @@ class EventTimeFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _wake(self, time_us: int, now_us: int) -> None:
-        """Keep one timer for the key, the earliest that is asked for; one that has just fired is still listed."""
-        time_ms = -(-time_us // 1000)
-        set_ = [t for t in self.handle.listTimers() if t * 1000 > now_us]
-        if not set_ or min(set_) > time_ms:
-            for t in set_:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(time_ms)
-
     def _advance(self, key, new: list[tuple], now_us: int) -> pd.DataFrame:
         held = [r for packed in self.waiting.get() for r in zip(*packed, strict=True)] + new
         ripe, rest = sorted((r for r in held if r[0] <= now_us), key=_in_order), [r for r in held if r[0] > now_us]
@@ -357,44 +362,220 @@ def cut_run(energy: np.ndarray, speech: np.ndarray, core: int, rules: UnitRules,
     return units, at, core
 
 
-class BoundedUnits(EventTimeFold):
-    """Open frames of a device. When the watermark is past the next frame's time, what follows is a new run."""
-
-    row_schema = "start_us bigint, energy double, speech boolean"
-    state_schema = "start_us bigint, core int, energy array<double>, speech array<boolean>"
-    columns = ["device_id", "start_us", "end_us", "core_start_us", "core_end_us"]
+class BoundedUnits:
+    """Open frames of a device: (start, frames of context, energies, speech). When no frame can follow, a run ends."""
 
     def __init__(self, rules: UnitRules, frame_us: int, jump_us: int):
         self.rules, self.frame_us, self.jump_us = rules, frame_us, jump_us
 
     def _units(self, start, core, energy, speech, ended):
-        units, at, core = cut_run(np.asarray(energy, float), np.asarray(speech, bool), core, self.rules, ended)
+        units, at, core = cut_run(energy, speech, core, self.rules, ended)
         state = (start + at * self.frame_us, core, energy[at:], speech[at:]) if at < len(energy) else None
         return state, [tuple(start + x * self.frame_us for x in u) for u in units]
 
-    def fold(self, state, rows):
-        times, out, low = np.array([r[0] for r in rows]), [], 0
-        while low < len(rows):
-            start, core, energy, speech = state or (rows[low][0], 0, [], [])
-            due = start + (len(energy) + np.arange(len(rows) - low)) * self.frame_us
+    def fold(self, state, rows: list[tuple]) -> tuple:
+        times, energy, speech = zip(*rows, strict=True)
+        return self.extend(state, np.array(times, np.int64), np.array(energy, float), np.array(speech, bool))
+
+    def extend(self, state, times: np.ndarray, energy: np.ndarray, speech: np.ndarray, now: int | None = None) -> tuple:
+        """The new state, or None, and the units that end in these frames, which come in order of time, or by ``now``."""
+        out, low = [], 0
+        while low < len(times):
+            start, core, e, s = state or (int(times[low]), 0, energy[:0], speech[:0])
+            due = start + (len(e) + np.arange(len(times) - low)) * self.frame_us
             jumps = np.flatnonzero(np.abs(times[low:] - due) > self.jump_us)
-            high = low + int(jumps[0]) if len(jumps) else len(rows)
-            energy, speech = energy + [r[1] for r in rows[low:high]], speech + [r[2] for r in rows[low:high]]
-            state, units = self._units(start, core, energy, speech, ended=high < len(rows))
+            high = low + int(jumps[0]) if len(jumps) else len(times)
+            e, s = (np.concatenate([x, y[low:high]]) if len(x) else y[low:high] for x, y in ((e, energy), (s, speech)))
+            over = now is not None and start + len(e) * self.frame_us + self.jump_us <= now
+            state, units = self._units(start, core, e, s, ended=over or high < len(times))
             out, low = out + units, high
         return state, out
 
-    def restore(self, row):
-        start, core, energy, speech = row
-        return start, core, [float(e) for e in energy], [bool(x) for x in speech]
-
-    def open_until(self, state):
+    def open_until(self, state) -> int:
         return state[0] + len(state[2]) * self.frame_us + self.jump_us
 
-    def finish(self, state):
+    def finish(self, state) -> list[tuple]:
         return self._units(*state, ended=True)[1]
 
 
+#: Shares of the devices, each one key of the state; their number stays the same for a checkpoint.
+SHARES = 256
+#: Frames of one device that came together: the least and the greatest time, and for each frame by how much it lies
+#: behind its due time, its energy and whether it is speech, as the bytes of arrays.
+PIECES = pa.schema([
+    ("device_id", pa.string()), ("start_us", pa.int64()), ("last_us", pa.int64()),
+    ("late", pa.binary()), ("energy", pa.binary()), ("speech", pa.binary()),
+])
+PIECE_COLUMNS = "device_id string, start_us bigint, last_us bigint, late binary, energy binary, speech binary"
+
+
+def _joined(values: np.ndarray, lows: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` as one value from each of the places ``lows`` to the next."""
+    ends = np.append(lows, len(values)).astype(np.int32) * np.int32(values.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(lows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _taken(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def to_pieces(device: np.ndarray, names: pa.Array, times, energy, speech, frame_us: int) -> pa.RecordBatch:
+    """Frames as pieces, one for each device; ``device`` is the number of the name of each frame."""
+    if (device[1:] < device[:-1]).any():
+        order = np.argsort(device, kind="stable")
+        device, times, energy, speech = device[order], times[order], energy[order], speech[order]
+    lows = np.flatnonzero(np.append(True, device[1:] != device[:-1]))
+    first = np.minimum.reduceat(times, lows)
+    counts = np.diff(np.append(lows, len(device)))
+    late = times - np.repeat(first, counts) - (np.arange(len(times)) - np.repeat(lows, counts)) * frame_us
+    columns = [names.take(pa.array(device[lows])), pa.array(first), pa.array(np.maximum.reduceat(times, lows))]
+    return pa.record_batch([*columns, _joined(late, lows), _joined(energy, lows), _joined(speech, lows)], schema=PIECES)
+
+
+def from_pieces(pieces: pa.Table, frame_us: int) -> tuple:
+    """(number of the device, names, times, energies, speech) of all frames of pieces."""
+    names = pieces["device_id"].combine_chunks().dictionary_encode()
+    energy, speech, late = _taken(pieces["energy"], np.float64), _taken(pieces["speech"], np.bool_), _taken(pieces["late"], np.int64)
+    counts = np.array([len(x) for x in pieces["speech"].to_pylist()], np.int64)
+    at = np.arange(len(energy)) - np.repeat(np.cumsum(counts) - counts, counts)
+    times = np.repeat(pieces["start_us"].to_numpy(), counts) + at * frame_us + late
+    return np.repeat(names.indices.to_numpy(), counts), names.dictionary, times, energy, speech
+
+
+def pack_frames(frames: DataFrame, frame_us: int) -> DataFrame:
+    """The frames of a device in each Arrow batch as one row. End marks have no device and pass as such."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names = batch["device_id"].dictionary_encode("encode")
+                energy = batch["energy"].cast(pa.float64()).fill_null(0.0).to_numpy()
+                speech = batch["speech"].fill_null(False).to_numpy(zero_copy_only=False)
+                yield to_pieces(names.indices.to_numpy(), names.dictionary, batch["start_us"].to_numpy(), energy, speech, frame_us)
+
+    return frames.select("device_id", "start_us", "energy", "speech").mapInArrow(pack, PIECE_COLUMNS)
+
+
+def pack_chunks(chunks: DataFrame, frame_us: int) -> DataFrame:
+    """Chunks (device_id, start_us, energy, speech as arrays of frames without a jump) as pieces, row by row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                energy, speech = batch["energy"], batch["speech"]
+                counts = np.diff(energy.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), counts)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                times = batch["start_us"].to_numpy()[row] + at * frame_us
+                loud, said = energy.flatten().fill_null(0.0).to_numpy(), speech.flatten().fill_null(False).to_numpy(zero_copy_only=False)
+                yield to_pieces(row, batch["device_id"], times, loud, said, frame_us)
+
+    # An end mark has no frames, so it gets one to be a piece of its own; empty chunks are none.
+    mark = F.col("device_id").isNull()
+    arrays = {
+        "energy": F.when(mark, F.array(F.lit(0.0))).otherwise(F.col("energy")).cast("array<double>"),
+        "speech": F.when(mark, F.array(F.lit(False))).otherwise(F.col("speech")),
+    }
+    rows = chunks.withColumns(arrays).where(F.size("energy") > 0)
+    return rows.select("device_id", "start_us", "energy", "speech").mapInArrow(pack, PIECE_COLUMNS)
+
+
+def _stored(pieces: pa.RecordBatch) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pieces.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(pieces)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _read(stored: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stored).read_all()
+
+
+class UnitShares(Waking):
+    """Units of a share of the devices. Pieces wait until the watermark has passed their frames.
+
+    Spark drops a piece when all of it is behind the watermark. Of another piece, frames at or before the watermark at
+    which the share was last released are dropped here, as long as the share holds anything, so no run is broken.
+    """
+
+    OPEN = pa.schema([("device_id", pa.string()), ("start_us", pa.int64()), ("core", pa.int64()), ("energy", pa.binary()), ("speech", pa.binary())])
+    columns = ["device_id", "start_us", "end_us", "core_start_us", "core_end_us"]
+
+    def __init__(self, units: BoundedUnits):
+        self.units = units
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "pieces binary")
+        self.kept = handle.getValueState("kept", "released_us bigint, open binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for pdf in rows:
+            pieces = pa.RecordBatch.from_pandas(pdf[PIECES.names], PIECES, preserve_index=False)
+            self.waiting.appendList([_stored(pieces)])
+            first = min(int(pdf["start_us"].min()), first or END_US)
+        if first <= now:
+            yield from self._advance(now)
+        else:
+            self._wake(first, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _opened(self) -> tuple[int | None, dict]:
+        if not self.kept.exists():
+            return None, {}
+        released, stored = self.kept.get()
+        rows = zip(*_read(bytes(stored)).to_pydict().values(), strict=True)
+        return released, {d: (t, core, np.frombuffer(e, np.float64), np.frombuffer(s, np.bool_)) for d, t, core, e, s in rows}
+
+    def _advance(self, now: int) -> Iterator[pd.DataFrame]:
+        released, states = self._opened()
+        held = [_read(bytes(stored)) for (stored,) in self.waiting.get()]
+        out, ends, rest = [], [], None
+        if held:
+            device, names, times, energy, speech = from_pieces(pa.concat_tables(held), self.units.frame_us)
+            ordered = (device[1:] > device[:-1]) | ((device[1:] == device[:-1]) & (times[1:] > times[:-1]))
+            if not ordered.all():
+                order = np.lexsort((speech, energy, times, device))
+                device, times, energy, speech = device[order], times[order], energy[order], speech[order]
+            if released is not None and (times <= released).any():
+                on_time = times > released
+                device, times, energy, speech = device[on_time], times[on_time], energy[on_time], speech[on_time]
+            ripe = times <= now
+            if not ripe.all():
+                rest = to_pieces(device[~ripe], names, times[~ripe], energy[~ripe], speech[~ripe], self.units.frame_us)
+                ends.append(int(times[~ripe].min()))
+                device, times, energy, speech = device[ripe], times[ripe], energy[ripe], speech[ripe]
+            cuts = np.flatnonzero(device[1:] != device[:-1]) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(device)], strict=True) if len(device) else ():
+                name = names[int(device[low])].as_py()
+                states[name], units = self.units.extend(states.get(name), times[low:high], energy[low:high], speech[low:high], now)
+                out += [(name, *u) for u in units]
+        for name, state in list(states.items()):
+            if state is None or self.units.open_until(state) <= now:
+                out += [(name, *u) for u in self.units.finish(state)] if state else []
+                del states[name]
+        self._keep(now, states, rest, bool(held))
+        ends += [self.units.open_until(state) for state in states.values()]
+        if ends:
+            self._wake(min(ends), now)
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def _keep(self, now: int, states: dict, rest: pa.RecordBatch | None, held: bool) -> None:
+        if rest is not None:
+            self.waiting.put([_stored(rest)])
+        elif held:
+            self.waiting.clear()
+        if states or rest is not None:
+            rows = [(d, t, core, e.tobytes(), s.tobytes()) for d, (t, core, e, s) in states.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(self.OPEN)
+            self.kept.update((now, *_stored(pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, self.OPEN, strict=True)], schema=self.OPEN))))
+        elif self.kept.exists():
+            self.kept.clear()
+
+
 def bounded_units_stream(
     frames: DataFrame,
     frame_s: float = 0.5,
@@ -404,8 +585,11 @@ def bounded_units_stream(
     jump_s: float = 0.025,
     overlap_s: float = 0.5,
     delay: str = WATERMARK,
+    shares: int = SHARES,
 ) -> DataFrame:
-    """Speech units of bounded length from frames (device_id, start_us, energy, speech).
+    """Speech units of bounded length from frames (device_id, start_us, energy, speech), or from chunks of them.
+
+    A chunk is a row whose energy and speech are arrays, of frames that follow each other from ``start_us`` on.
 
     A unit ends at a pause once it is long enough, at the quietest late frame when it reaches the maximum (the
     next unit then repeats a short context before its core), at a jump in time, and when no frame follows before
@@ -413,5 +597,11 @@ def bounded_units_stream(
     """
     us = lambda s: int(round(s * 1e6))
     rules = UnitRules(frame_s, target_s, max_s, pause_s, overlap_s)
+    units = BoundedUnits(rules, us(frame_s), us(jump_s))
+    pack = pack_chunks if isinstance(frames.schema["energy"].dataType, ArrayType) else pack_frames
+    rows = timed(pack(frames, us(frame_s)), "last_us", delay)
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("device_id"), F.lit(shares)).cast("int"))
     schema = "device_id string, start_us bigint, end_us bigint, core_start_us bigint, core_end_us bigint"
-    return _run(frames, "device_id", BoundedUnits(rules, us(frame_s), us(jump_s)), schema, delay)
+    return rows.select("share", *PIECES.names, "event_time").groupBy("share").transformWithStateInPandas(
+        statefulProcessor=UnitShares(units), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
